@@ -11,48 +11,87 @@ ranked in one task.
 
 Edge cases: a null text counts as empty; a document always ends with
 ``end_id``, so an empty one is one token; equal documents are packed one by one;
-an empty table gives no rows; other columns are not carried.
+an empty table gives no rows; a null id stays null; other columns are not carried.
 """
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import durable
 
 #: Words a worker remembers the ids of.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How the tokenizer cuts a normalised word before its merges; fixed by the tokenizer's file.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters alone are in normal form and lower-cased character by character.
+PLAIN = re.compile(r"[!-~\u00A1-\u012F\u0131-\u0148\u014A-\u017E]+")
+
+
+def byte_symbols() -> list[str]:
+    """The character by which byte-level vocabularies write each byte: itself if it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of whole texts.  No token of the tokenizer spans a blank or a line break, so texts are encoded word by word, each word once."""
+    """Ids of whole texts.  No token of the tokenizer spans a blank or a line break, so texts are encoded word by word, each word once.
+
+    Plain words are cut here and only their parts go to the tokenizer's merges; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {"": b""}
+        self.merges = self.encoder.model
+        self.symbols = byte_symbols()
+        self.ids: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def of_part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= CACHED_WORDS:
+                self.parts.clear()
+            tokens = self.merges.tokenize(part if part.isascii() else "".join(map(self.symbols.__getitem__, part.encode())))
+            found = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return found
+
+    def of_word(self, word: str) -> bytes:
+        if "<|" not in word and PLAIN.fullmatch(word):
+            lower = word.lower() if word.isascii() else "".join(map(str.lower, word))
+            if lower.isalpha():
+                return self.of_part(lower)
+            if lower[:-1].isalpha() and lower[-1] in ".,!?;:":
+                return self.of_part(lower[:-1]) + self.of_part(lower[-1])
+            return b"".join(map(self.of_part, CUT.findall(lower)))
+        return np.array(self.encoder.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Of each text, little-endian unsigned 32-bit ids."""
+        known = self.ids
         for text in texts:
             words = text.replace("\n", " ").split(" ")
-            new = [w for w in set(words) if w not in self.ids]
-            if len(self.ids) + len(new) > CACHED_WORDS:
-                self.ids = {"": b""}
-                new = list(set(words))
-            if new:
-                for word, found in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.ids[word] = np.array(found.ids, "<u4").tobytes()
-                self.ids[""] = b""
-            yield b"".join(map(self.ids.__getitem__, words))
+            new = set(words).difference(known)
+            if len(known) + len(new) > CACHED_WORDS:
+                known.clear()
+                new = set(words)
+            for word in new:
+                known[word] = self.of_word(word) if word else b""
+            yield b"".join(map(known.__getitem__, words))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -64,12 +103,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
         for batch in batches:
             rows = []
             texts = ["" if t is None else t for t in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], tokenizer.encode(texts), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].astype("Int64"), tokenizer.encode(texts), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
 
