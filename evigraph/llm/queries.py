@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import language, packing, quality_rules, url_filter
+from evigraph.llm import factorization, language, near_dup, packing, piece_sampling, quality_rules, substring_dedup, url_filter, voronoi_knn
 from evigraph.llm.common import durable, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -32,6 +32,44 @@ FROM parts p LEFT JOIN hits h ON p.page_id = h.page_id AND h.n = 1
 """
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.encoding_digest(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = factorization.fit_quality(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    score = factorization.quality_score(docs, "text", model)
+    return docs.select("doc_id", (remainder(5) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = voronoi_knn.quantized(table(spark, sf_dir, "embeddings"))
+    return voronoi_knn.top_k_by_inner_product(vectors, F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,9 +88,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
 
 
+ALL = (
+    op1_url_filter, op2_substring_dedup, op3_sentencepiece_sampling, op4_quality_classifier, op5_minhash_near_dup, op6_exact_top_k,
+    op7_best_fit_packing, op8_language_id, op10_quality_rules,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op7_best_fit_packing, op8_language_id, op10_quality_rules)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_exact_top_k": OP6_SQL}
