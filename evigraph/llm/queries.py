@@ -3,7 +3,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import factorization, language, near_dup, packing, piece_sampling, quality_rules, substring_dedup, url_filter, voronoi_knn
+from evigraph.llm import factorization, html_extract, language, near_dup, packing, piece_sampling, quality_rules, substring_dedup, url_filter, voronoi_knn
 from evigraph.llm.common import durable, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -81,6 +81,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score", "rejected", "cross_entropy")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = durable(quality_rules.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     fitted = quality_rules.fit_rules(counted)
@@ -90,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_url_filter, op2_substring_dedup, op3_sentencepiece_sampling, op4_quality_classifier, op5_minhash_near_dup, op6_exact_top_k,
-    op7_best_fit_packing, op8_language_id, op10_quality_rules,
+    op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_quality_rules,
 )
 
 
