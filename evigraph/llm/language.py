@@ -34,6 +34,8 @@ CACHED_WORDS = 150_000
 CALIBRATION_SHARE = 10
 #: Allowance for chance in short texts: this many nats by the square root of the characters.
 SHORT_TEXT = 9.0
+#: And this many nats for any text: few unusual words, often repeated, are still of their language.
+LEAST_MARGIN = 0.8
 
 
 def gram_keys(points: np.ndarray, order: int) -> np.ndarray:
@@ -232,7 +234,7 @@ def fit_languages(docs: DataFrame, lang: str = "lang", max_docs: int = MAX_DOCS_
     own = {r["lang"]: (r["mean"], r["sd"]) for r in calibrated}
     mean, sd = own.get("", (0, 0)) if not own else tuple(np.mean(list(own.values()), 0))
     spreads = np.array([max(0.05, own.get(x, (mean, sd))[1]) for x in languages])
-    open_model.limits = np.array([own.get(x, (mean, sd))[0] for x in languages]) + 6 * spreads
+    open_model.limits = np.array([own.get(x, (mean, sd))[0] for x in languages]) + np.maximum(6 * spreads, LEAST_MARGIN)
     open_model.spreads = spreads
     return open_model
 
