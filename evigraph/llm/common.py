@@ -30,6 +30,13 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts of any length go to Python: hold the rows of an Arrow batch down, so that a batch of long ones fits."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def byte_words(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8: ``bytes.split`` splits at just these characters."""
     return text.encode("utf-8", "surrogatepass").split()

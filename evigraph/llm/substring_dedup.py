@@ -15,7 +15,6 @@ passages; rows without an id are neither matched nor changed; ids are taken to b
 repeated id's rows share their passages); other columns pass through.
 """
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import byte_words, durable, gram_hashes, mix64
+from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashes, mix64
 from evigraph.llm.near_dup import ShingleHasher
 
 WORDS, WINDOW = 8, 12
@@ -36,11 +35,12 @@ CHAIN = "doc long, lead long, start int, end int, lead_start int, lead_end int"
 
 
 def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the smallest hash of each ``window`` in a row (the rightmost of equals)."""
+    """Positions of the smallest hash of each ``window`` in a row (the rightmost of equals); of one seed again and again only the first."""
     if len(hashes) <= window:
         return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    return np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
+    at = np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
+    return at[np.concatenate([[True], hashes[at[1:]] != hashes[at[:-1]]])]
 
 
 def seeds(docs: DataFrame, words: int = WORDS, window: int = WINDOW) -> DataFrame:
@@ -139,11 +139,19 @@ def chains(matches: DataFrame, words: int = WORDS, window: int = WINDOW, min_wor
         for own in np.split(np.arange(len(pos)), cuts):
             for x in chain(pos[own], lead_pos[own]):
                 i = own[x]
+                if len(i) == 1 and min_words >= words + 2 * window:
+                    continue  # equal words for that long hold two seeds at least
                 out.append((doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + words, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + words))
         long = [r for r in runs([(x[2], x[3]) for x in out], 2 * window) if r[1] - r[0] >= least]
-        starts = [r[0] for r in long]
-        inside = lambda x: (k := bisect_left(starts, x + 1)) > 0 and x < long[k - 1][1]
-        return [x for x in out if inside(x[2])]
+        if not long:
+            return []
+        # A chain inside of longer ones says nothing more about what is covered.
+        covered, kept = np.zeros(int(pos.max()) + words, bool), []
+        for x in sorted(out, key=lambda x: x[2] - x[3]):
+            if any(a <= x[2] < b for a, b in long) and not covered[x[2]:x[3]].all():
+                covered[x[2]:x[3]] = True
+                kept.append(x)
+        return kept
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -206,6 +214,7 @@ def passages_of(a: np.ndarray, b: np.ndarray, at: int, lead_at: int, similarity:
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, words: int = WORDS, window: int = WINDOW) -> DataFrame:
     """A row for each passage of a document that an earlier one holds: doc_id, start_word, end_word, n_words, source_id, source_start, similarity."""
+    bounded_batches(docs.sparkSession)
     found = seeds(docs, words, window)
     first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("seed", F.col("f.doc").alias("lead"), F.col("f.pos").alias("lead_pos"))
     matches = found.join(first, "seed").where("doc <> lead").select("doc", "pos", "lead", "lead_pos")
