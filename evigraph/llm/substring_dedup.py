@@ -97,7 +97,7 @@ def chain(pos: np.ndarray, lead: np.ndarray, weight: float = WORDS, gap_cost: fl
             k -= k & -k
         j = best[1]
         gain = best[0] - gap_cost * (int(p[i]) + int(q[i]))
-        if j >= 0 and gain > 0 and p[i] - p[j] <= max_gap and q[i] - q[j] <= max_gap:
+        if j >= 0 and gain > 0:
             score[i], before[i] = weight + gain, j
         else:
             score[i] = weight
@@ -110,7 +110,9 @@ def chain(pos: np.ndarray, lead: np.ndarray, weight: float = WORDS, gap_cost: fl
             own.append(i)
             i = before[i]
         if own:
-            out.append(order[np.array(own[::-1])])
+            at = np.array(own[::-1])
+            # Alignment meets again within ``max_gap`` words only, so a chain ends at a wider gap.
+            out += np.split(order[at], np.flatnonzero((np.diff(p[at]) > max_gap) | (np.diff(q[at]) > max_gap)) + 1)
     return out
 
 
