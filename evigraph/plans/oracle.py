@@ -176,13 +176,14 @@ SQL = {
         coalesce(array_to_string(list_sort(CASE WHEN m.id IS NOT NULL THEN list_filter(list_distinct(list_concat(CASE WHEN n.alias IS NULL THEN []::VARCHAR[] ELSE [n.alias] END, coalesce(m.al, []::VARCHAR[]), m.nm)), lambda x: x <> n.name) ELSE CASE WHEN n.alias IS NULL THEN []::VARCHAR[] ELSE [n.alias] END END), '|'), '') AS aliases
       FROM nodes n LEFT JOIN more m USING (id) LEFT JOIN targets t ON t.drop_ = n.id""",
     "apply_updates": "SELECT id, CASE kind WHEN 'part' THEN upper(name) ELSE name END AS name, CASE kind WHEN 'part' THEN 'archived' ELSE status END AS status, array_to_string(list_sort(list_distinct(list_filter([alias, CASE WHEN kind = 'part' AND upper(name) <> name THEN name END], lambda x: x IS NOT NULL))), '|') AS aliases, CASE kind WHEN 'part' THEN '\"new\"' END AS brand, CAST(NULL AS VARCHAR) AS type FROM nodes",
-    "upsert_edges": "SELECT id, src, dst, key, CASE WHEN conf > 0.45 THEN conf ELSE greatest(conf, 0.95) END AS conf FROM edges WHERE rel = 'same_as' UNION ALL SELECT 'e-' || substr(sha256(src || chr(31) || rel || chr(31) || dst || chr(31) || 'k'), 1, 12), src, dst, 'k', 0.95 FROM edges WHERE rel = 'same_as' AND conf > 0.45",
+    "upsert_edges": """, fresh AS (SELECT DISTINCT 'e-' || substr(sha256(least(src, dst) || chr(31) || rel || chr(31) || greatest(src, dst) || chr(31) || CASE WHEN conf > 0.45 THEN 'k' ELSE '' END), 1, 12) AS id, least(src, dst) AS src, greatest(src, dst) AS dst, CASE WHEN conf > 0.45 THEN 'k' END AS key FROM edges WHERE rel = 'same_as')
+      SELECT id, src, dst, key, CASE WHEN id IN (SELECT id FROM fresh) THEN greatest(conf, 0.95) ELSE conf END AS conf FROM edges WHERE rel = 'same_as' UNION ALL SELECT id, src, dst, key, 0.95 FROM fresh WHERE id NOT IN (SELECT id FROM edges)""",
     "erase_quotes": "SELECT record_id, ord, src, loc, CASE WHEN record_id LIKE 'supplier:%' THEN NULL ELSE quote END AS quote FROM prov",
     "op_problems": """, o AS (SELECT prop_id, n, CASE WHEN n > 7 THEN 'archive' ELSE op END AS op, CASE WHEN n = 1 THEN 'r1' END AS ref, CASE n WHEN 2 THEN '$r1' WHEN 3 THEN '$r9' ELSE kind || ':' || (n * 40) END AS target, CASE WHEN n = 8 THEN 9 ELSE 36 END AS reason FROM reviews), h AS (SELECT DISTINCT prop_id FROM o WHERE ref = 'r1')
       SELECT * FROM (SELECT o.prop_id, n, CASE WHEN starts_with(target, '$') AND NOT (target = '$r1' AND o.prop_id IN (SELECT prop_id FROM h)) THEN 'open_handle' WHEN NOT starts_with(target, '$') AND x.id IS NULL THEN 'unknown_target' WHEN x.status = 'archived' THEN 'archived_target' WHEN op IN ('merge', 'archive') AND reason < 20 THEN 'short_reason' END AS problem FROM o LEFT JOIN nodes x ON x.id = target) WHERE problem IS NOT NULL""",
     "verdict_states": "SELECT kind, CASE verdict WHEN 'accept' THEN 'confirmed' WHEN 'draft' THEN 'proposed' END AS status, CASE verdict WHEN 'accept' THEN 'reviewed' WHEN 'draft' THEN 'agent' END AS trust, count(*) AS n FROM reviews GROUP BY ALL",
     "failed_expectations": "SELECT id, 'status' AS field FROM nodes WHERE status <> 'confirmed'",
-    "csv_lines": "SELECT c_custkey AS row, 'row ' || c_custkey || ': ' || concat_ws(' | ', 'c_name=' || c_name, CASE WHEN c_acctbal > 0 THEN 'c_mktsegment=' || c_mktsegment END, 'c_nationkey=' || c_nationkey) AS line FROM customer",
+    "csv_lines": "SELECT c_custkey, 'row ' || c_custkey || ': ' || concat_ws(' | ', 'c_name=' || c_name, CASE WHEN c_acctbal > 0 THEN 'c_mktsegment=' || c_mktsegment END, 'c_nationkey=' || c_nationkey) AS line FROM customer",
     "find_text": "SELECT 'events' AS \"table\", CAST(event_id AS VARCHAR) AS id, 'event_type' AS path FROM events WHERE event_type = 'purchase'",
     "canonical_lines": "SELECT '{\"id\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS value FROM nation",
 }
