@@ -105,7 +105,7 @@ def test_redaction_chunks_and_text():
     assert clean == "mail [redacted:email], card [redacted:payment_card], no 4111 1111 1111 1112" and counts == {"payment_card": 1, "email": 1} and not refused
     assert texts.redacted("password: hunter2hunter2", {})[0] is None
     spans = texts.chunk_spans("a\n\nb\nb\n\n" + "\n".join(["x" * 700] * 3), 1500)
-    assert [(a, b) for _, a, b, _ in spans] == [(1, 4), (6, 7), (8, 8)]
+    assert [(a, b) for _, a, b, _ in spans] == [(1, 7), (8, 8)]
     assert texts.visible_text("<html><head><title>T &amp; U</title><style>x</style></head><body><p>a<br>b</p><script>z</script></body></html>") == "T & U\na\nb"
 
 
