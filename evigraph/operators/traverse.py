@@ -85,17 +85,21 @@ def shortest_paths(pairs: DataFrame, links: DataFrame, hubs: DataFrame, max_dept
     return done.withColumn("place", place).where(F.col("place") <= k).select("a", "z", "place", "cost", F.array_join("trail", ">").alias("trail"))
 
 
-def supersession_ends(rows: DataFrame, max_length: int = 50) -> DataFrame:
+def supersession_ends(rows: DataFrame) -> DataFrame:
     """(id, end, steps, state) of chains of ``superseded_by``: ``active``, ``loop`` or ``missing``.
 
     rows: (id, superseded_by, status).  Lengths double in each round, so a chain of n links takes log n joins.
+    Rounds go on until no pointer moves; one that still moves after as many links as there are is in or behind a loop.
     """
     at = written(rows.select("id", F.coalesce("superseded_by", "id").alias("to"), F.when(F.col("superseded_by").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    reach = 1
-    while reach < max_length:
+    reach, links = 1, at.where("steps > 0").count()
+    while reach < links:
         far = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_more"))
-        at = written(at.join(far, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps")))
+        more = F.coalesce("_more", F.lit(0))
+        at = written(at.join(far, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + more).alias("steps"), (more > 0).alias("moved")))
         reach *= 2
+        if at.where("moved").isEmpty():
+            break
     ends = rows.select(F.col("id").alias("to"), F.col("superseded_by").alias("_next"), F.lit(True).alias("_known"))
     joined = at.join(ends, "to", "left")
     state = F.when(F.col("_known").isNull(), "missing").when(F.col("_next").isNotNull(), "loop").otherwise("active")

@@ -57,6 +57,16 @@ def test_supersession_ends_and_loops(spark):
     assert got["x"][0] == got["y"][0] == "loop"
 
 
+def test_long_supersession_chains_are_no_loops(spark):
+    rows = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)] + [("c150", None), ("x", "y"), ("y", "z"), ("z", "y")]
+    df = spark.createDataFrame([(i, n, "superseded" if n else "active") for i, n in rows], "id string, superseded_by string, status string")
+    got = {r["id"]: (r["state"], r["end"], r["steps"]) for r in traverse.supersession_ends(df).collect()}
+    assert all(got[f"c{i:03}"] == ("active", "c150", 150 - i) for i in range(151))
+    assert {got[i] for i in "xyz"} == {("loop", None, None)}
+    merges = spark.createDataFrame([(f"c{i + 1:03}", f"c{i:03}") for i in range(150)], "keep string, drop string")
+    assert {tuple(r) for r in changes.merge_targets(merges).select("drop", "keep").collect()} == {(f"c{i:03}", "c150") for i in range(150)}
+
+
 def test_names_distances_and_slugs(spark):
     df = spark.createDataFrame([("Crème  Brûlée!", "creme brulee"), ("ABC-1", "abc 1"), ("Straße­", "strasse"), ("ca", "abc")], "a string, b string")
     rows = df.select(S.name_key("a").alias("k"), S.slugify("a").alias("s"), S.edit_distance(df.a, df.b, 3).alias("d"), "b").collect()
