@@ -1,19 +1,22 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
-Seeds are the minimizers of word k-mers: any two texts that share ``WORDS + WINDOW - 1``
-words in a row share one.  A seed's occurrences are not paired with each other; all
+Seeds are all k-mers of ``WORDS`` words (minimizers of them where ``WINDOW`` is more than 1):
+of 50 words with 10 changed, 40 equal ones lie in 11 runs at most, so the two texts share
+seven seeds at least, wherever the changes are.  A seed's occurrences are not paired with each other; all
 are matched with its first occurrence (smallest document, then place), an aggregate
 that joins back by the seed.  In each document the matches with one earlier document
 are chained: ordered in both texts, scored by what they cover less a cost for gaps, the
 best predecessor found in a Fenwick tree.  Chains are aligned word by word in both
-texts, and what aligned parts cover without a break, against whichever earlier
-documents, is a passage if it has at least ``min_words`` words.
+texts, a chain of a single seed too, and what aligned parts cover without a break, against
+whichever earlier documents, is a passage if it has at least ``min_words`` words.  A part is
+``PART`` words long at least: shorter ones are phrases that any two texts may share.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; null, empty and short texts hold no passage; of
 equal texts the smallest id keeps its words; repeats within one document are not
 passages; rows without an id are neither matched nor changed; ids are taken to be unique (a
 repeated id's rows share their passages); other columns pass through.
 """
+import difflib
 import re
 from collections.abc import Iterator
 
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashes, mix64
 from evigraph.llm.near_dup import ShingleHasher
 
-WORDS, WINDOW = 8, 12
+WORDS, WINDOW = 4, 1
 MIN_WORDS, SIMILARITY = 50, 0.8
 #: Words between two parts of one alignment at most, and what a word of a gap costs a chain.
 MAX_GAP, GAP_COST = 40, 0.15
 BREAK = 2
+#: Words of an aligned part at least.
+PART = 19
 
 CHAIN = "doc long, lead long, start int, end int, lead_start int, lead_end int"
 
@@ -127,33 +132,19 @@ def runs(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chains(matches: DataFrame, words: int = WORDS, window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """Chains of (doc, pos, lead, lead_pos) matches that can be part of a passage.
+def chains(matches: DataFrame, words: int = WORDS) -> DataFrame:
+    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too: any can lie in a passage.
 
     Rows come grouped by document; one document's matches are bounded by its length.
     """
-    #: A passage may begin and end a window before its first and after its last seed.
-    least = max(words, min_words - 2 * (window - 1))
-
     def of_document(doc: int, pos: np.ndarray, lead: np.ndarray, lead_pos: np.ndarray) -> list[tuple]:
         out = []
         cuts = np.flatnonzero(np.diff(lead)) + 1
         for own in np.split(np.arange(len(pos)), cuts):
-            for x in chain(pos[own], lead_pos[own]):
+            for x in chain(pos[own], lead_pos[own], words):
                 i = own[x]
-                if len(i) == 1 and min_words >= words + 2 * window:
-                    continue  # equal words for that long hold two seeds at least
                 out.append((doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + words, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + words))
-        long = [r for r in runs([(x[2], x[3]) for x in out], 2 * window) if r[1] - r[0] >= least]
-        if not long:
-            return []
-        # A chain inside of longer ones says nothing more about what is covered.
-        covered, kept = np.zeros(int(pos.max()) + words, bool), []
-        for x in sorted(out, key=lambda x: x[2] - x[3]):
-            if any(a <= x[2] < b for a, b in long) and not covered[x[2]:x[3]].all():
-                covered[x[2]:x[3]] = True
-                kept.append(x)
-        return kept
+        return out
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -176,8 +167,8 @@ def chains(matches: DataFrame, words: int = WORDS, window: int = WINDOW, min_wor
     return matches.select("doc", "lead", "pos", "lead_pos").repartition("doc").sortWithinPartitions("doc", "lead", "pos").mapInPandas(chained, CHAIN)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, max_gap: int = MAX_GAP, sure: int = 4) -> list[tuple[int, int, int]]:
-    """Runs (start in a, start in b, length) of equal words from the start of both on, as far as they meet again within ``max_gap`` words."""
+def aligned(a: np.ndarray, b: np.ndarray, max_gap: int = MAX_GAP, sure: int = 4, tail: bool = False) -> list[tuple[int, int, int]]:
+    """Runs (start in a, start in b, length) of equal words from the start of both on, as far as they meet again within ``max_gap`` words; ``tail`` adds equal words at equal distances beyond that."""
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         n = min(len(a) - i, len(b) - j)
@@ -193,25 +184,49 @@ def aligned(a: np.ndarray, b: np.ndarray, max_gap: int = MAX_GAP, sure: int = 4)
         equal = np.lib.stride_tricks.sliding_window_view(x, need)[:, None] == np.lib.stride_tricks.sliding_window_view(y, need)[None]
         at = np.argwhere(equal.all(2))
         if not len(at):
+            n = min(len(x), len(y)) if tail else 0
+            out += [(i + int(k), j + int(k), 1) for k in np.flatnonzero(x[:n] == y[:n])]
             break
-        di, dj = at[(at.sum(1)).argmin()]
-        i, j = i + int(di), j + int(dj)
+        di, dj = map(int, at[(at.sum(1)).argmin()])
+        if di == dj:
+            inside = [(int(k), int(k), 1) for k in np.flatnonzero(a[i:i + di] == b[j:j + dj])]
+        else:
+            inside = difflib.SequenceMatcher(None, a[i:i + di].tolist(), b[j:j + dj].tolist(), autojunk=False).get_matching_blocks()
+        out += [(i + k, j + l, n) for k, l, n in inside if n]
+        i, j = i + di, j + dj
     return out
 
 
-def passages_of(a: np.ndarray, b: np.ndarray, at: int, lead_at: int, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int]]:
-    """Aligned parts around a common seed: (start, end, lead_start, lead_end, equal words), each at least ``similarity`` alike."""
-    right = [(at + i, lead_at + j, n) for i, j, n in aligned(a[at:], b[lead_at:])]
-    left = [(at - i - n, lead_at - j - n, n) for i, j, n in aligned(a[:at][::-1], b[:lead_at][::-1])][::-1]
-    out: list[list[int]] = []
-    for i, j, n in left + right:
-        if out:
-            start, end, lead_start, lead_end, equal = out[-1]
-            if equal + n >= similarity * max(i + n - start, j + n - lead_start):
-                out[-1] = [start, i + n, lead_start, j + n, equal + n]
-                continue
-        out.append([i, i + n, j, j + n, n])
-    return [tuple(x) for x in out]
+def passages_of(a: np.ndarray, b: np.ndarray, at: int, lead_at: int, similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int]]:
+    """Aligned parts around a common seed: (start, end, lead_start, lead_end, equal words), each at least ``similarity`` alike.
+
+    Where no part has ``min_words`` words, the last few words of a passage after its last changed one may be what lacks.
+    """
+    out = _parts(a, b, at, lead_at, similarity, False)
+    return out if any(x[1] - x[0] >= min_words for x in out) else _parts(a, b, at, lead_at, similarity, True)
+
+
+def _parts(a: np.ndarray, b: np.ndarray, at: int, lead_at: int, similarity: float, tail: bool) -> list[tuple[int, int, int, int, int]]:
+    right = [(at + i, lead_at + j, n) for i, j, n in aligned(a[at:], b[lead_at:], tail=tail)]
+    left = [(at - i - n, lead_at - j - n, n) for i, j, n in aligned(a[:at][::-1], b[:lead_at][::-1], tail=tail)][::-1]
+    met = np.array(left + right).reshape(-1, 3)
+    start, lead_start, n = met.T
+    end, lead_end, equal = start + n, lead_start + n, np.concatenate([[0], np.cumsum(n)])
+    out, open_ = [], [(0, len(met))]
+    while open_:
+        low, high = open_.pop()
+        best = (0, low, low)
+        for x in range(low, high):  # the longest part first, then those beside it
+            if end[high - 1] - start[x] <= best[0]:
+                break
+            fit = np.flatnonzero(equal[x + 1:high + 1] - equal[x] >= similarity * np.maximum(end[x:high] - start[x], lead_end[x:high] - lead_start[x]))
+            y = x + int(fit[-1])
+            best = max(best, (int(end[y] - start[x]), x, y + 1), key=lambda v: v[0])
+        _, x, y = best
+        if x < y:
+            out.append((int(start[x]), int(end[y - 1]), int(lead_start[x]), int(lead_end[y - 1]), int(equal[y] - equal[x])))
+            open_ += [(low, x), (y, high)]
+    return sorted(out)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, words: int = WORDS, window: int = WINDOW) -> DataFrame:
@@ -220,7 +235,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     found = seeds(docs, words, window)
     first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("seed", F.col("f.doc").alias("lead"), F.col("f.pos").alias("lead_pos"))
     matches = found.join(first, "seed").where("doc <> lead").select("doc", "pos", "lead", "lead_pos")
-    linked = durable(chains(matches, words, window, min_words))
+    linked = durable(chains(matches, words))
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
 
     @F.pandas_udf("string")
@@ -243,10 +258,11 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
                 codes: dict[bytes, int] = {}
                 a = np.array([codes.setdefault(w, len(codes)) for w in byte_words(x)])
                 b = np.array([codes.setdefault(w, len(codes)) for w in lead_words[f:e]])
-                out.append([{"start": s + p, "end": s + q, "lead_start": f + u, "lead_end": f + v, "equal": n} for p, q, u, v, n in passages_of(a, b, i - s, j - f, similarity)])
+                out.append([{"start": s + p, "end": s + q, "lead_start": f + u, "lead_end": f + v, "equal": n} for p, q, u, v, n in passages_of(a, b, i - s, j - f, similarity, min_words) if q - p >= PART])
             yield pd.Series(out)
 
-    margin = window + MAX_GAP
+    # A passage of ``min_words`` with one seed lies within so many words of it.
+    margin = min_words + window + MAX_GAP
     asked = linked.withColumns({"_from": F.greatest(F.lit(0), F.col("start") - margin), "_to": F.col("end") + margin, "_lead_from": F.greatest(F.lit(0), F.col("lead_start") - margin), "_lead_to": F.col("lead_end") + margin})
     own = asked.join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("_own", part("text", "_from", "_to")).drop("text")
     both = own.join(texts.withColumnRenamed("doc_id", "lead"), "lead").withColumn("_parts", align("_own", "text", "_lead_from", "_lead_to", "_from", "start", "lead_start"))

@@ -89,6 +89,23 @@ def test_passages_shared_by_many_and_fuzzy(spark):
     assert len(kept[0]) == 130 and all(58 <= len(kept[i]) <= 62 for i in range(1, 60)) and len(kept[100]) == 500
 
 
+def test_passages_with_many_changed_words(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], set()
+    for k in range(160):
+        passage = [word() for _ in range(60)]
+        every = (5, 8, 10, 12)[k % 4]
+        # Regular changes, or as many at random: 0.8 to 0.92 alike.  Both ends of a passage stay as they are.
+        at = set(range(every // 2, 59, every)) if k < 80 else set(rng.sample(range(1, 59), 60 // every))
+        changed = [word() if i in at else w for i, w in enumerate(passage)]
+        rows += [(2 * k, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])), (2 * k + 1, " ".join([word() for _ in range(20)] + changed + [word() for _ in range(20)]))]
+        want.add(2 * k + 1)
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(found) == want
+    assert all(r["source_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.8 for r in found.values())
+
+
 def test_chain_is_the_best_one():
     rng = np.random.default_rng(3)
     for _ in range(50):
