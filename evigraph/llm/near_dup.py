@@ -14,8 +14,7 @@ range-partitioned sort that cuts a large bucket across tasks.  At first a docume
 bucket's smallest id and the rows that follow it.  Multiset overlap is verified on the whole
 texts and classes are formed.  Only buckets that still hold several classes go on: they are
 sorted anew by other components, and rows of different classes meet within a window that
-grows fourfold each round, if the low bytes of their signatures agree as often as those of
-documents at the threshold do but for once in a hundred times.  The search ends when no bucket
+grows fourfold each round, if their sizes allow the threshold.  The search ends when no bucket
 is mixed, when the window has covered the largest, or after ``QUIET`` rounds without a new link.
 Exact copies are one document from the start.
 
@@ -40,8 +39,6 @@ SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 FOLLOWING, SMALL = 4, 12
 #: Rounds without a new link that end the search.
 QUIET = 2
-#: Standard deviations below the expected agreement of signatures at which a pair is not worth verifying.
-DEVIATIONS = 2.5
 CACHED_WORDS = 300_000
 
 
@@ -122,36 +119,26 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("copy_key")).mapInPandas(signed, "doc_id long, copy_key string, n long, bands array<long>, sketch binary")
 
 
-def least_agreement(m: int, threshold: float) -> float:
-    """Components of m that agree in all but one of a hundred pairs at the threshold."""
-    return m * threshold - DEVIATIONS * np.sqrt(m * threshold * (1 - threshold))
-
-
 def neighbour_pairs(rows: DataFrame, turn: int, threshold: float, bands: int, band_rows: int) -> DataFrame:
-    """(a, b), a > b, of rows near each other in a bucket that have different labels, and sizes and sketches that allow the threshold.  rows: (bucket, band, doc, n, label, sketch)."""
+    """(a, b), a > b, of rows near each other in a bucket that have different labels and sizes that allow the threshold.  rows: (bucket, band, doc, n, label, sketch)."""
     m = bands * band_rows
     window = FOLLOWING * 4**turn
-    # Of a signature's low bytes one in 256 agrees by chance.
-    least = least_agreement(m, threshold)
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # a partition of ids and sketches, bounded by the shuffle's partition size
+        parts = list(batches)  # a partition of ids, bounded by the shuffle's partition size
         if not parts:
             return
         bucket, doc, label, n = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("bucket", "doc", "label", "n"))
-        sketch = np.frombuffer(b"".join(x for p in parts for x in p["sketch"]), np.uint8).reshape(len(bucket), m)
         _, run, size = np.unique(bucket, return_inverse=True, return_counts=True)
         small = size[run] <= SMALL
         for step in range(1, min(max(window + 1, SMALL), int(size.max()))):
             x, y = slice(None, -step), slice(step, None)
             meet = np.flatnonzero((bucket[x] == bucket[y]) & (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (small[x] if step > window else True))
-            if len(meet):
-                meet = meet[(sketch[meet] == sketch[meet + step]).sum(1) >= least]
             if len(meet):
                 yield pd.DataFrame({"a": np.maximum(doc[meet], doc[meet + step]), "b": np.minimum(doc[meet], doc[meet + step])})
 
     start = F.pmod(F.col("band") * band_rows + band_rows + 40 * turn, F.lit(m - 8)).cast("int") + 1
-    placed = rows.select("bucket", F.substring("sketch", start, F.lit(8)).alias("code"), "doc", "n", "label", "sketch")
+    placed = rows.select("bucket", F.substring("sketch", start, F.lit(8)).alias("code"), "doc", "n", "label")
     return placed.repartitionByRange("bucket", "code", "doc").sortWithinPartitions("bucket", "code", "doc").mapInPandas(paired, "a long, b long").distinct()
 
 
@@ -192,25 +179,19 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     copies = durable(copies.unionByName(alone))
     heads = worded.join(first.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
     keyed = heads.select(F.col("doc_id").alias("doc"), "n", "sketch", F.posexplode("bands").alias("band", "bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "n", "sketch")).alias("low"), F.max("doc").alias("high")).where("low.doc < high").select("bucket", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n"), F.col("low.sketch").alias("low_sketch"))
+    shared = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max("doc").alias("high")).where("low.doc < high").select("bucket", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n"))
     buckets = durable(keyed.join(shared, "bucket"))
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
     texts = durable(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        m = bands * rows
-        a, b = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), m) for c in (x, y))
-        return pd.Series((a == b).sum(1) >= least_agreement(m, threshold))
-
     tested = links = classes = None
     quiet = turn = 0
     while quiet < QUIET:
         if classes is None:
             pairs = neighbour_pairs(buckets.withColumn("label", F.col("doc")), turn, threshold, bands, rows)
-            pairs = pairs.unionByName(buckets.where((F.col("doc") != F.col("low")) & (F.least("n", "low_n") >= threshold * F.greatest("n", "low_n")) & alike("sketch", "low_sketch")).select(F.col("doc").alias("a"), F.col("low").alias("b"))).distinct()
+            pairs = pairs.unionByName(buckets.where((F.col("doc") != F.col("low")) & (F.least("n", "low_n") >= threshold * F.greatest("n", "low_n"))).select(F.col("doc").alias("a"), F.col("low").alias("b"))).distinct()
         else:
             # Small buckets have compared all; of the large ones those count that still hold several classes.
-            labelled = buckets.drop("low", "low_n", "low_sketch").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+            labelled = buckets.drop("low", "low_n").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
             mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).where((F.col("_x") < F.col("_y")) & (F.col("_n") > SMALL)).select("bucket")
             labelled = durable(labelled.join(mixed, "bucket", "left_semi"))
             largest = labelled.groupBy("bucket").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]

@@ -208,6 +208,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_links_at_the_threshold_whose_signatures_agree_less(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    hasher, docs = near_dup.ShingleHasher(), []
+    while len(docs) < 6:
+        base = [word() for _ in range(94)]
+        pair = " ".join(base), " ".join([*base[:84], *[word() for _ in range(10)]])  # 80 of 90 shingles each: 80 / 100
+        a, b = (near_dup.bag_min_hash(*hasher.bag(x), 96) for x in pair)
+        if (a == b).sum() < 66 and set(near_dup.band_keys(a, 24, 4)) & set(near_dup.band_keys(b, 24, 4)):
+            docs += [(len(docs), pair[0]), (len(docs) + 1, pair[1])]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_signature_agreement_is_weighted_jaccard():
     rng = np.random.default_rng(4)
     keys = rng.integers(0, 2**63, 60, dtype=np.uint64)
