@@ -8,14 +8,13 @@ earliest point, so two documents agree in it with a probability equal to their
 weighted Jaccard similarity.  Points are only generated up to the time at which the
 slowest component is likely filled (and on from there if it is not).
 
-Candidates share a band of components.  A band's bucket is never paired off whole: its
-rows lie sorted by further components, so that those most alike are near each other, in a
-range-partitioned sort that cuts a large bucket across tasks.  At first a document meets the
-bucket's smallest id and the rows that follow it.  Multiset overlap is verified on the whole
-texts and classes are formed.  Only buckets that still hold several classes go on: they are
-sorted anew by other components, and rows of different classes meet within a window that
-grows fourfold each round, if their sizes allow the threshold.  The search ends when no bucket
-is mixed, when the window has covered the largest, or after ``QUIET`` rounds without a new link.
+Candidates share a band of components.  Buckets of up to ``SMALL`` texts compare all.  A larger
+bucket's rows lie sorted by further components, so that those most alike are near each other, in a
+range-partitioned sort that cuts it across tasks; a document meets the bucket's smallest id
+and the rows that follow it.  Multiset overlap is verified on the whole texts and classes are
+formed.  Large buckets that still hold several classes are then decided exactly: their texts are
+dealt into blocks of about ``BLOCK``, each two blocks meet in one group, and the overlaps of all their
+pairs come from products of shingle matrices, so nothing depends on the order or on where a sort was cut.
 Exact copies are one document from the start.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words than a shingle is
@@ -35,10 +34,10 @@ from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashe
 from evigraph.operators.components import connected_components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
-#: Rows that follow a row in a bucket and meet it in the first round; buckets up to SMALL compare all.
+#: Rows that follow a row in a bucket and meet it at first; buckets up to SMALL compare all.
 FOLLOWING, SMALL = 4, 12
-#: Rounds without a new link that end the search.
-QUIET = 2
+#: Texts of a block of a large bucket, and shingles of one matrix product.
+BLOCK, COLUMNS = 128, 8192
 CACHED_WORDS = 300_000
 
 
@@ -119,27 +118,83 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("copy_key")).mapInPandas(signed, "doc_id long, copy_key string, n long, bands array<long>, sketch binary")
 
 
-def neighbour_pairs(rows: DataFrame, turn: int, threshold: float, bands: int, band_rows: int) -> DataFrame:
-    """(a, b), a > b, of rows near each other in a bucket that have different labels and sizes that allow the threshold.  rows: (bucket, band, doc, n, label, sketch)."""
-    m = bands * band_rows
-    window = FOLLOWING * 4**turn
+def neighbour_pairs(rows: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
+    """(a, b), a > b, whose sizes allow the threshold: all of a small bucket, rows near each other in a large one.  rows: (bucket, band, doc, n, sketch, size)."""
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = list(batches)  # a partition of ids, bounded by the shuffle's partition size
         if not parts:
             return
-        bucket, doc, label, n = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("bucket", "doc", "label", "n"))
-        _, run, size = np.unique(bucket, return_inverse=True, return_counts=True)
-        small = size[run] <= SMALL
-        for step in range(1, min(max(window + 1, SMALL), int(size.max()))):
+        bucket, doc, n, size = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("bucket", "doc", "n", "size"))
+        for step in range(1, min(max(FOLLOWING + 1, SMALL), len(bucket))):
             x, y = slice(None, -step), slice(step, None)
-            meet = np.flatnonzero((bucket[x] == bucket[y]) & (label[x] != label[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & (small[x] if step > window else True))
+            meet = np.flatnonzero((bucket[x] == bucket[y]) & (doc[x] != doc[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & ((size[x] <= SMALL) | (step <= FOLLOWING)))
             if len(meet):
                 yield pd.DataFrame({"a": np.maximum(doc[meet], doc[meet + step]), "b": np.minimum(doc[meet], doc[meet + step])})
 
-    start = F.pmod(F.col("band") * band_rows + band_rows + 40 * turn, F.lit(m - 8)).cast("int") + 1
-    placed = rows.select("bucket", F.substring("sketch", start, F.lit(8)).alias("code"), "doc", "n", "label")
-    return placed.repartitionByRange("bucket", "code", "doc").sortWithinPartitions("bucket", "code", "doc").mapInPandas(paired, "a long, b long").distinct()
+    m = bands * band_rows
+    start = F.pmod(F.col("band") * band_rows + band_rows, F.lit(m - 8)).cast("int") + 1
+    placed = rows.select("bucket", F.substring("sketch", start, F.lit(8)).alias("code"), "doc", "n", "size")
+    # Small buckets stay whole; large ones may be cut, as they are decided exactly later.
+    whole = placed.where(F.col("size") <= SMALL).repartition("bucket").sortWithinPartitions("bucket", "code", "doc")
+    spread = placed.where(F.col("size") > SMALL).repartitionByRange("bucket", "code", "doc").sortWithinPartitions("bucket", "code", "doc")
+    return whole.mapInPandas(paired, "a long, b long").unionByName(spread.mapInPandas(paired, "a long, b long")).distinct()
+
+
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Multiset overlap of each two different bags: a shingle of count c is c different ones, and a product of 0-1 matrices counts what is common."""
+    tokens, owner = [], []
+    for k, (keys, counts) in enumerate(bags):
+        rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        tokens.append(mix64(np.repeat(keys, counts) + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+        owner.append(np.full(len(rank), k))
+    token, owner = np.concatenate(tokens), np.concatenate(owner)
+    _, column, often = np.unique(token, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    column, owner = (np.cumsum(often > 1) - 1)[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(bags), len(bags)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        own = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        matrix = np.zeros((len(bags), COLUMNS), np.float32)
+        matrix[owner[own], column[own] - low] = 1
+        out += matrix @ matrix.T
+    return out
+
+
+def exact_links(rows: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(a, b, similarity), a > b: verified links that join all classes of a bucket that any pair of its texts joins.  rows: (bucket, doc, label, size)."""
+
+    def decided(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        doc, label, own = (group[c].to_numpy() for c in ("doc", "label", "own"))
+        out = []
+        if (label != label[0]).any():
+            hasher = ShingleHasher(size)
+            bags = [hasher.bag(t) for t in group["text"]]
+            both, n = overlaps(bags), np.array([counts.sum() for _, counts in bags])
+            alike = both / (n[:, None] + n[None] - both)
+            fit = np.triu(alike >= threshold, 1) & (label[:, None] != label[None])
+            if key[1] != key[2]:
+                fit &= own[:, None] != own[None]
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for x, y in np.argwhere(fit):
+                p, q = root(int(label[x])), root(int(label[y]))
+                if p != q:
+                    joined[max(p, q)] = min(p, q)
+                    out.append((max(doc[x], doc[y]), min(doc[x], doc[y]), alike[x, y]))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    dealt = rows.withColumn("_of", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), "_of").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"), "doc", "label", "own")
+    return dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc").groupBy("bucket", "x", "y").applyInPandas(decided, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
@@ -179,35 +234,24 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     copies = durable(copies.unionByName(alone))
     heads = worded.join(first.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
     keyed = heads.select(F.col("doc_id").alias("doc"), "n", "sketch", F.posexplode("bands").alias("band", "bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max("doc").alias("high")).where("low.doc < high").select("bucket", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n"))
+    shared = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low.doc < high").select("bucket", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n"), "size")
     buckets = durable(keyed.join(shared, "bucket"))
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
     texts = durable(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    tested = links = classes = None
-    quiet = turn = 0
-    while quiet < QUIET:
-        if classes is None:
-            pairs = neighbour_pairs(buckets.withColumn("label", F.col("doc")), turn, threshold, bands, rows)
-            pairs = pairs.unionByName(buckets.where((F.col("doc") != F.col("low")) & (F.least("n", "low_n") >= threshold * F.greatest("n", "low_n"))).select(F.col("doc").alias("a"), F.col("low").alias("b"))).distinct()
-        else:
-            # Small buckets have compared all; of the large ones those count that still hold several classes.
-            labelled = buckets.drop("low", "low_n").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-            mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n")).where((F.col("_x") < F.col("_y")) & (F.col("_n") > SMALL)).select("bucket")
-            labelled = durable(labelled.join(mixed, "bucket", "left_semi"))
-            largest = labelled.groupBy("bucket").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
-            if largest is None or turn and FOLLOWING * 4 ** (turn - 1) >= largest:
-                break
-            pairs = neighbour_pairs(labelled, turn, threshold, bands, rows).join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        found = durable(_verified(pairs, texts, threshold, size))
-        tested = pairs if tested is None else durable(tested.unionByName(pairs))
-        turn += 1
-        if links is not None and found.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = found if links is None else durable(links.unionByName(found))
-        classes = connected_components(links, "a", "b").select(F.col("id").alias("doc"), F.col("component").alias("label"))
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        return connected_components(links, "a", "b").select(F.col("id").alias("doc"), F.col("component").alias("label"))
+
+    pairs = neighbour_pairs(buckets, threshold, bands, rows)
+    pairs = pairs.unionByName(buckets.where((F.col("doc") != F.col("low")) & (F.least("n", "low_n") >= threshold * F.greatest("n", "low_n"))).select(F.col("doc").alias("a"), F.col("low").alias("b"))).distinct()
+    links = durable(_verified(durable(pairs), texts, threshold, size))
+    classes = classes_of(links)
+    labelled = buckets.where(F.col("size") > SMALL).select("bucket", "doc", "size").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("bucket")
+    found = durable(exact_links(labelled.join(mixed, "bucket", "left_semi"), texts, threshold, size))
+    if not found.isEmpty():
+        links = durable(links.unionByName(found))
+        classes = classes_of(links)
     return copies, links, classes
 
 

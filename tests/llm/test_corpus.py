@@ -208,6 +208,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == brute_classes(texts)
 
 
+def test_large_mixed_buckets_are_decided_exactly(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    # Independent edits of one text, most pairs below the threshold, and a near copy of some of them far off in any order of ids.
+    first = [[w if rng.random() > 0.055 else word() for w in base] for _ in range(400)]
+    second = [[*x[:60], word(), *x[61:]] for x in first[::10]]
+    texts = {i: " ".join(x) for i, x in enumerate(first)} | {10_000 + i: " ".join(x) for i, x in enumerate(second)}
+    hasher = near_dup.ShingleHasher()
+    few = [hasher.bag(texts[i]) for i in range(20)] + [hasher.bag("a b c d e f a b c d e f")] * 2
+    plain = [[sum(min(c, dict(zip(*y)).get(k, 0)) for k, c in zip(*x)) for y in few] for x in few]
+    assert np.triu(near_dup.overlaps(few), 1).tolist() == np.triu(plain, 1).tolist()
+    # One bucket of all of them, each a class of its own: the blocks must find every class.
+    rows = spark.createDataFrame([(1, i, i, len(texts)) for i in texts], "bucket long, doc long, label long, size long")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links = near_dup.exact_links(rows, frame, 0.8, 5)
+    got = {r["id"]: r["component"] for r in near_dup.connected_components(links, "a", "b").collect()}
+    want = brute_classes(texts)
+    assert {i: got.get(i, i) for i in texts} == want
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(frame).collect()} == want
+
+
 def test_links_at_the_threshold_whose_signatures_agree_less(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
