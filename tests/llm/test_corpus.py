@@ -368,6 +368,15 @@ def test_main_text_and_wrappers(spark):
     assert got[9] == "" and got[1] == "2 one two three four five six seven eight\nmore words that differ 2\nmore words that differ 2"
 
 
+def test_blocks_of_a_single_page_are_no_template():
+    bodies = ["<p>first body</p><blockquote>a quoted line</blockquote>", "<p>second body</p><h2>A lone heading</h2><p>more</p>", "<p>third body</p>"]
+    pages = [f"<html><body><div class=top>Welcome</div><div class=post>{b}</div><div class=low>The end</div></body></html>" for b in bodies]
+    rules = html_extract.rules_of(pages)
+    assert rules["constants"] == ["The end", "Welcome"]
+    got = [html_extract.main_text(p, rules) for p in pages]
+    assert got == ["first body\na quoted line", "second body\nA lone heading\nmore", "third body"]
+
+
 # ---- 10
 
 
