@@ -98,6 +98,12 @@ def test_spelling_and_scopes(spark):
     assert {tuple(r) for r in search.scope_overlaps(records, scopes).collect()} == {("a/b:c", "1"), ("a/b:c", "2"), ("a/b:c", "3")}
 
 
+def test_phrases_of_many_words(spark):
+    phrases = spark.createDataFrame([("a", "One two three, four five six"), ("b", "two three"), ("c", "!")], "id string, phrase string")
+    t = spark.createDataFrame([("s", "nothing\nand one two three four five six seven"), ("r", "one two three four five")], "src string, text string")
+    assert {(r["id"], r["src"], r["line"]) for r in search.phrase_lines(phrases, t).collect()} == {("a", "s", 2), ("b", "s", 2), ("b", "r", 1)}
+
+
 def test_quotes_over_lines(spark):
     t = spark.createDataFrame([("s", "one two\nthree  four\nfive")], "id string, text string")
     prov = spark.createDataFrame([("r", 1, "s", "L1-L2", "two three four"), ("r", 2, "s", "L1-L1", "three"), ("r", 3, "s", "P", "four five"), ("r", 4, "s", "L2-L9", "five")], "record_id string, ord int, src string, loc string, quote string")
