@@ -6,23 +6,33 @@ rate is the range's width; every point falls on one of ``m`` components and at o
 weight of its range, and counts if that weight is below c.  A component keeps its
 earliest point, so two documents agree in it with a probability equal to their
 weighted Jaccard similarity.  Points are only generated up to the time at which the
-slowest component is likely filled (and on from there if it is not).
-
-Candidates share a band of components.  Buckets of up to ``SMALL`` texts compare all.  A larger
-bucket's rows lie sorted by further components, so that those most alike are near each other, in a
-range-partitioned sort that cuts it across tasks; a document meets the bucket's smallest id
-and the rows that follow it.  Multiset overlap is verified on the whole texts and classes are
-formed.  Large buckets that still hold several classes are then decided exactly: their texts are
-dealt into blocks of about ``BLOCK``, each two blocks meet in one group, and the overlaps of all their
-pairs come from products of shingle matrices, so nothing depends on the order or on where a sort was cut.
-Exact copies are one document from the start.
+slowest component is likely filled (and on from there if it is not), for all texts of a
+batch at once.
+
+Candidates share a band of components.  Exact copies are one document from the start.
+
+1. Every document meets the smallest id of each bucket it lies in; the multiset overlap of
+   these pairs is verified on whole texts and classes are formed.  That settles buckets whose
+   texts all resemble one of them, however large.
+2. Rows of buckets that still hold several classes meet in groups of at most two blocks of
+   ``BLOCK`` rows, as sketches of a byte a component.  Each row names its ``PARTNERS`` most
+   agreeing partners of other classes, and these pairs are verified: what is made grows with the
+   rows, not with the square of a bucket.
+3. Rows that even then have an untested partner of another class have their texts brought
+   together block by block, and the overlaps of all pairs come from products of shingle matrices;
+   only links that join two classes leave the task.
+
+Nothing depends on how rows are dealt to partitions.  Steps 2 and 3 pass over pairs that agree
+in fewer components than all but one in ``MISSED`` pairs at the threshold do, and take a pair in the first
+band that it shares only; a link at exactly 0.8 is lost by the bands with probability 3e-6 and so with 4e-6 in all.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words than a shingle is
 one shingle; null texts and texts without words are near nothing, each its own
 class; rows without an id are not listed (and kept by ``keep_one_of_each``); repeated ids with equal text are one document; an empty table gives no rows;
 other columns are ignored.
 """
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,11 +44,17 @@ from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashe
 from evigraph.operators.components import connected_components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
-#: Rows that follow a row in a bucket and meet it at first; buckets up to SMALL compare all.
-FOLLOWING, SMALL = 4, 12
-#: Texts of a block of a large bucket, and shingles of one matrix product.
-BLOCK, COLUMNS = 128, 8192
+#: Sketches of a block of a large bucket, and the best partners that each row names.
+BLOCK, PARTNERS = 1024, 2
+#: One in so many pairs at the threshold agrees in fewer components than step 2 asks for.
+MISSED = 1_000_000
+#: Shingles of the texts of a block of a large bucket, and of one matrix product.
+SHINGLES, COLUMNS = 200_000, 8192
+#: Words of the texts that are signed at once.
+BATCH_WORDS = 250_000
 CACHED_WORDS = 300_000
+KEY_BITS = 54
+KEY_MASK = np.uint64(2**KEY_BITS - 1)
 
 
 class ShingleHasher:
@@ -57,126 +73,218 @@ class ShingleHasher:
             known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
+    def bags(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, counts, text): the shingles of up to 1,024 texts, ordered by text; keys have 54 bits."""
+        words = [self.word_hashes(t) for t in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words), dtype=np.uint64), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # words from here to the text's end
+        flat = np.concatenate([*words, np.zeros(self.size, np.uint64)])
+        grams = np.zeros(len(owner), np.uint64)
+        for k in range(self.size):
+            grams = mix64(grams + np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(owner)])
+        whole = left >= self.size
+        short = [k for k in np.flatnonzero((sizes > 0) & (sizes < self.size))]
+        keys = np.concatenate([grams[whole], np.array([gram_hashes(words[k], self.size)[0] for k in short], np.uint64)])
+        owner = np.concatenate([owner[whole], np.array(short, np.uint64)])
+        found = np.sort((owner << np.uint64(KEY_BITS)) | (keys & KEY_MASK))
+        if not len(found):
+            return found, np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        return found[at] & KEY_MASK, np.diff(np.append(at, len(found))), (found[at] >> np.uint64(KEY_BITS)).astype(np.int64)
+
+    def all_bags(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``bags``, for any number of texts."""
+        parts = in_parts(texts.str.len().fillna(0).to_numpy(np.int64), 6 * BATCH_WORDS, 1000)
+        found = [self.bags(texts.iloc[part]) for part in parts]
+        return tuple(np.concatenate([f[k] + part.start if k == 2 else f[k] for f, part in zip(found, parts, strict=True)]) for k in range(3))
+
     def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(gram_hashes(self.word_hashes(text), self.size), return_counts=True)
-
-
-def bag_min_hash(keys: np.ndarray, counts: np.ndarray, m: int) -> np.ndarray:
-    """Earliest point of each of ``m`` components, as float64 bits; keys with counts are a non-empty multiset."""
-    level = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)  # the top range that a count reaches
-    own = np.repeat(np.arange(len(keys)), level + 1)
-    rank = np.arange(len(own)) - np.repeat(np.cumsum(level + 1) - level - 1, level + 1)
-    start = np.where(rank == 0, 0, 2.0 ** (rank - 1))
-    width = np.maximum(start, 1.0)
-    seeds = mix64(keys[own] + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    weight = counts[own]
-    until = (np.log(m) + 3) / counts.sum()
-    while True:
-        out = np.full(m, np.inf)
-        at, seed, wide, low, limit = np.zeros(len(own)), seeds, width, start, weight
+        return self.bags([text])[:2]
+
+
+def bag_min_hashes(keys: np.ndarray, counts: np.ndarray, text: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Earliest point of each of ``m`` components of ``n`` texts, as float64 bits; rows of texts without shingles are of no meaning."""
+    out = np.full((n, m), np.inf)
+    weight = np.bincount(text, counts, n)
+    until = (np.log(m) + 3) / np.maximum(weight, 1)
+    while len(keys):
+        level = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64)  # the top range that a count reaches
+        own = np.repeat(np.arange(len(keys)), level + 1)
+        rank = np.arange(len(own)) - np.repeat(np.cumsum(level + 1) - level - 1, level + 1)
+        low = np.where(rank == 0, 0, 2.0 ** (rank - 1))
+        wide = np.maximum(low, 1.0)
+        seed = mix64(keys[own] + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        at, limit, place = np.zeros(len(own)), counts[own], text[own]
+        end = until[place]
         while len(at):
             seed = mix64(seed + np.uint64(0x9E3779B97F4A7C15))
             at = at - np.log(((seed >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (m * wide)
-            live = at < until
-            at, seed, wide, low, limit = at[live], seed[live], wide[live], low[live], limit[live]
+            live = np.flatnonzero(at < end)
+            at, seed, wide, low, limit, place, end = at[live], seed[live], wide[live], low[live], limit[live], place[live], end[live]
             draw = mix64(seed ^ np.uint64(0x5851F42D4C957F2D))
-            hit = low + wide * ((draw >> np.uint64(32)).astype(np.float64) * 2.0**-32) < limit
-            slot, when = (draw[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(m), at[hit]
-            late = np.argsort(-when, kind="stable")
-            slot, when = slot[late].astype(np.int64), when[late]
-            first = np.full(m, np.inf)
-            first[slot] = when  # the last, so the earliest, stays
-            out = np.minimum(out, first)
-        if np.isfinite(out).all():
-            return out.view(np.uint64)
-        until *= 2
-
-
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    parts = signature[:bands * rows].reshape(bands, rows)
-    out = mix64(np.arange(1, bands + 1, dtype=np.uint64))
+            hit = np.flatnonzero(low + wide * ((draw >> np.uint64(32)).astype(np.float64) * 2.0**-32) < limit)
+            np.minimum.at(out.reshape(-1), place[hit] * m + ((draw[hit] & np.uint64(0xFFFFFFFF)) % np.uint64(m)).astype(np.int64), at[hit])
+        open_ = (~np.isfinite(out)).any(1)
+        again = open_[text]
+        keys, counts, text = keys[again], counts[again], text[again]
+        until = until * 2
+    return out.view(np.uint64)
+
+
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each text and band; ``signatures`` has a row a text."""
+    parts = signatures[:, :bands * rows].reshape(-1, bands, rows)
+    out = np.broadcast_to(mix64(np.arange(1, bands + 1, dtype=np.uint64)), parts.shape[:2])
     for k in range(rows):
-        out = mix64(out + np.uint64(0x9E3779B97F4A7C15) + parts[:, k])
+        out = mix64(out + np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     return out.view(np.int64)
 
 
+def in_parts(sizes: np.ndarray, most: int, rows: int) -> list[slice]:
+    """Cuts of a row of texts into runs of at most ``rows`` texts and, but for a single one, ``most`` characters."""
+    out, start, sum_ = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (sum_ + n > most or k - start == rows):
+            out.append(slice(start, k))
+            start, sum_ = k, 0
+        sum_ += n
+    return [*out, slice(start, len(sizes))] if len(sizes) else out
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, copy_key, n, bands, sketch): n shingles, band keys (none where there are no words) and the low byte of each component."""
+    m = bands * rows
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = ShingleHasher(size)
         for batch in batches:
-            found, sketches, sizes = [], [], []
-            for text in batch["text"]:
-                keys, counts = hasher.bag(text)
-                sizes.append(counts.sum())
-                signature = bag_min_hash(keys, counts, bands * rows) if len(keys) else np.empty(0, np.uint64)
-                found.append(band_keys(signature, bands, rows) if len(keys) else np.empty(0, np.int64))
-                sketches.append(signature.astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "copy_key": batch["copy_key"], "n": np.array(sizes, np.int64), "bands": found, "sketch": sketches})
+            for part in in_parts(batch["text"].str.len().fillna(0).to_numpy(np.int64), 6 * BATCH_WORDS, 1000):
+                own = batch.iloc[part]
+                keys, counts, text = hasher.bags(own["text"])
+                n = np.bincount(text, counts, len(own)).astype(np.int64)
+                signature = bag_min_hashes(keys, counts, text, len(own), m)
+                found, sketches = band_keys(signature, bands, rows), signature.astype(np.uint8)
+                none = np.empty(0, np.int64)
+                yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "copy_key": own["copy_key"].to_numpy(), "n": n, "bands": [x if k else none for x, k in zip(found, n, strict=True)], "sketch": [x.tobytes() if k else b"" for x, k in zip(sketches, n, strict=True)]})
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("copy_key")).mapInPandas(signed, "doc_id long, copy_key string, n long, bands array<long>, sketch binary")
 
 
-def neighbour_pairs(rows: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
-    """(a, b), a > b, whose sizes allow the threshold: all of a small bucket, rows near each other in a large one.  rows: (bucket, band, doc, n, sketch, size)."""
-
-    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)  # a partition of ids, bounded by the shuffle's partition size
-        if not parts:
-            return
-        bucket, doc, n, size = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("bucket", "doc", "n", "size"))
-        for step in range(1, min(max(FOLLOWING + 1, SMALL), len(bucket))):
-            x, y = slice(None, -step), slice(step, None)
-            meet = np.flatnonzero((bucket[x] == bucket[y]) & (doc[x] != doc[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y])) & ((size[x] <= SMALL) | (step <= FOLLOWING)))
-            if len(meet):
-                yield pd.DataFrame({"a": np.maximum(doc[meet], doc[meet + step]), "b": np.minimum(doc[meet], doc[meet + step])})
-
-    m = bands * band_rows
-    start = F.pmod(F.col("band") * band_rows + band_rows, F.lit(m - 8)).cast("int") + 1
-    placed = rows.select("bucket", F.substring("sketch", start, F.lit(8)).alias("code"), "doc", "n", "size")
-    # Small buckets stay whole; large ones may be cut, as they are decided exactly later.
-    whole = placed.where(F.col("size") <= SMALL).repartition("bucket").sortWithinPartitions("bucket", "code", "doc")
-    spread = placed.where(F.col("size") > SMALL).repartitionByRange("bucket", "code", "doc").sortWithinPartitions("bucket", "code", "doc")
-    return whole.mapInPandas(paired, "a long, b long").unionByName(spread.mapInPandas(paired, "a long, b long")).distinct()
-
-
-def overlaps(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Multiset overlap of each two different bags: a shingle of count c is c different ones, and a product of 0-1 matrices counts what is common."""
-    tokens, owner = [], []
-    for k, (keys, counts) in enumerate(bags):
-        rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        tokens.append(mix64(np.repeat(keys, counts) + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
-        owner.append(np.full(len(rank), k))
-    token, owner = np.concatenate(tokens), np.concatenate(owner)
+def fewest_agreeing(threshold: float, m: int, missed: int = MISSED) -> int:
+    """All but one in ``missed`` pairs of similarity ``threshold`` agree in so many of ``m`` components."""
+    below = 0.0
+    for k in range(m + 1):
+        below += math.comb(m, k) * threshold**k * (1 - threshold) ** (m - k)
+        if below > 1 / missed:
+            return k
+    return m
+
+
+def best_partners(doc: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, own: np.ndarray, across: bool, band: int, band_rows: int, threshold: float, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, partner, agreement) of the rows of one bucket of ``band``: partners of another class that agree enough, meet in this band first and whose sizes allow the threshold; ``across``: in the other block only."""
+    classes, often = np.unique(label, return_counts=True)
+    minor = np.flatnonzero(label != classes[often.argmax()])  # rows of the commonest class have no pair among them
+    for low in range(0, len(minor), 64):
+        x = minor[low:low + 64]
+        equal = sketch[x][:, None, :] == sketch[None]
+        agree = equal.sum(2, dtype=np.int16)
+        fit = (agree >= least) & (label[x][:, None] != label[None]) & (np.minimum(n[x][:, None], n[None]) >= threshold * np.maximum(n[x][:, None], n[None]))
+        if across:
+            fit &= own[x][:, None] != own[None]
+        i, j = np.nonzero(fit)
+        if band and len(i):
+            before = equal[i, j, :band * band_rows].reshape(len(i), band, band_rows).all(2).any(1)
+            i, j = i[~before], j[~before]
+        if len(i):
+            yield x[i], j, agree[i, j]
+
+
+def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Deals the rows of each bucket, which has ``size``, to blocks of about ``block``: each two blocks, and so each two rows, meet in one group (bucket, x, y)."""
+    dealt = rows.withColumn("_of", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), "_of").cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    return dealt.withColumn("x", F.least("own", "_other")).withColumn("y", F.greatest("own", "_other")).drop("_of", "_other")
+
+
+def in_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows as one frame for each (bucket, x, y), which batches may cut."""
+    rest = None
+    for batch in batches:
+        now = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = now[["bucket", "x", "y"]].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield now.iloc[a:b]
+        rest = now.iloc[cuts[-1]:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def partners(rows: DataFrame, threshold: float, bands: int, band_rows: int, most: int | None) -> DataFrame:
+    """What is left to compare in mixed buckets.  rows: (bucket, band, doc, label, n, sketch, size).
+
+    With ``most``: (a, b), a > b, the most agreeing pairs of each row, so many of them.
+    Without: (bucket, doc, n) of all rows that have such a partner, and those partners.
+    """
+    least, m = fewest_agreeing(threshold, bands * band_rows), bands * band_rows
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in in_groups(batches):
+            doc, label, n, own = (group[c].to_numpy() for c in ("doc", "label", "n", "own"))
+            if (label == label[0]).all():
+                continue
+            sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), m)
+            bucket, band, x, y = group.iloc[0][["bucket", "band", "x", "y"]]
+            for i, j, agree in best_partners(doc, label, n, sketch, own, x != y, int(band), band_rows, threshold, least):
+                if most is None:
+                    both = np.union1d(i, j)
+                    yield pd.DataFrame({"bucket": bucket, "doc": doc[both], "n": n[both]})
+                else:
+                    order = np.lexsort((doc[j], -agree, i))
+                    i, j = i[order], j[order]
+                    start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                    rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                    p, q = doc[i[rank < most]], doc[j[rank < most]]
+                    yield pd.DataFrame({"a": np.maximum(p, q), "b": np.minimum(p, q)})
+
+    dealt = in_blocks(rows, BLOCK).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "doc")
+    return dealt.mapInPandas(compared, "bucket long, doc long, n int" if most is None else "a long, b long").distinct()
+
+
+def overlaps(keys: np.ndarray, counts: np.ndarray, text: np.ndarray, n: int, some: np.ndarray) -> np.ndarray:
+    """Multiset overlap of ``some`` of ``n`` bags with each other bag: a shingle of count c is c different ones, and a product of 0-1 matrices counts what is common."""
+    rank = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    token, owner = mix64(np.repeat(keys, counts) + rank.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), np.repeat(text, counts)
     _, column, often = np.unique(token, return_inverse=True, return_counts=True)
     shared = often[column] > 1
     column, owner = (np.cumsum(often > 1) - 1)[column[shared]], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(bags), len(bags)))
+    out = np.zeros((len(some), n))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         own = slice(*np.searchsorted(column, [low, low + COLUMNS]))
-        matrix = np.zeros((len(bags), COLUMNS), np.float32)
+        matrix = np.zeros((n, COLUMNS), np.float32)
         matrix[owner[own], column[own] - low] = 1
-        out += matrix @ matrix.T
+        out += matrix[some] @ matrix.T
     return out
 
 
 def exact_links(rows: DataFrame, texts: DataFrame, threshold: float, size: int) -> DataFrame:
-    """(a, b, similarity), a > b: verified links that join all classes of a bucket that any pair of its texts joins.  rows: (bucket, doc, label, size)."""
+    """(a, b, similarity), a > b: verified links that join all classes of a bucket that any pair of its texts joins.  rows: (bucket, doc, label, size), size: the shingles of the bucket's rows."""
 
     def decided(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         doc, label, own = (group[c].to_numpy() for c in ("doc", "label", "own"))
         out = []
         if (label != label[0]).any():
-            hasher = ShingleHasher(size)
-            bags = [hasher.bag(t) for t in group["text"]]
-            both, n = overlaps(bags), np.array([counts.sum() for _, counts in bags])
-            alike = both / (n[:, None] + n[None] - both)
-            fit = np.triu(alike >= threshold, 1) & (label[:, None] != label[None])
+            keys, counts, text = ShingleHasher(size).all_bags(group["text"])
+            n, (classes, often) = np.bincount(text, counts, len(group)), np.unique(label, return_counts=True)
+            minor = np.flatnonzero(label != classes[often.argmax()])  # rows of the commonest class have no pair among them
+            both = overlaps(keys, counts, text, len(group), minor)
+            alike = both / (n[minor][:, None] + n[None] - both)
+            fit = (alike >= threshold) & (label[minor][:, None] != label[None])
             if key[1] != key[2]:
-                fit &= own[:, None] != own[None]
+                fit &= own[minor][:, None] != own[None]
             joined: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -184,16 +292,15 @@ def exact_links(rows: DataFrame, texts: DataFrame, threshold: float, size: int)
                     x = joined[x]
                 return x
 
-            for x, y in np.argwhere(fit):
+            for k, y in np.argwhere(fit):
+                x = minor[k]
                 p, q = root(int(label[x])), root(int(label[y]))
                 if p != q:
                     joined[max(p, q)] = min(p, q)
-                    out.append((max(doc[x], doc[y]), min(doc[x], doc[y]), alike[x, y]))
+                    out.append((max(doc[x], doc[y]), min(doc[x], doc[y]), alike[k, y]))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    dealt = rows.withColumn("_of", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc"), "_of").cast("int"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
-    dealt = dealt.select("bucket", F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"), "doc", "label", "own")
+    dealt = in_blocks(rows, SHINGLES).select("bucket", "x", "y", "doc", "label", "own")
     return dealt.join(texts.withColumnRenamed("doc_id", "doc"), "doc").groupBy("bucket", "x", "y").applyInPandas(decided, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
@@ -233,25 +340,40 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     alone = signed.where(F.size("bands") == 0).select("doc_id", F.col("doc_id").alias("copy_of")).distinct()
     copies = durable(copies.unionByName(alone))
     heads = worded.join(first.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
-    keyed = heads.select(F.col("doc_id").alias("doc"), "n", "sketch", F.posexplode("bands").alias("band", "bucket"))
+    keyed = heads.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "bucket"))
     shared = keyed.groupBy("bucket").agg(F.min(F.struct("doc", "n")).alias("low"), F.max("doc").alias("high"), F.count("*").alias("size")).where("low.doc < high").select("bucket", F.col("low.doc").alias("low"), F.col("low.n").alias("low_n"), "size")
     buckets = durable(keyed.join(shared, "bucket"))
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
     texts = durable(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
-    def classes_of(links: DataFrame) -> DataFrame:
+    def labels(links: DataFrame) -> DataFrame:
         return connected_components(links, "a", "b").select(F.col("id").alias("doc"), F.col("component").alias("label"))
 
-    pairs = neighbour_pairs(buckets, threshold, bands, rows)
-    pairs = pairs.unionByName(buckets.where((F.col("doc") != F.col("low")) & (F.least("n", "low_n") >= threshold * F.greatest("n", "low_n"))).select(F.col("doc").alias("a"), F.col("low").alias("b"))).distinct()
-    links = durable(_verified(durable(pairs), texts, threshold, size))
-    classes = classes_of(links)
-    labelled = buckets.where(F.col("size") > SMALL).select("bucket", "doc", "size").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("bucket")
-    found = durable(exact_links(labelled.join(mixed, "bucket", "left_semi"), texts, threshold, size))
-    if not found.isEmpty():
+    def mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """The rows of buckets of more than one class, each with its own."""
+        own = rows.drop("label").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+        several = own.groupBy("bucket").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).where("_x < _y").select("bucket")
+        return durable(own.join(several, "bucket", "left_semi"))
+
+    allowed = F.least("n", "low_n") >= threshold * F.greatest("n", "low_n")
+    tested = durable(buckets.where((F.col("doc") != F.col("low")) & allowed).select(F.col("doc").alias("a"), F.col("low").alias("b")).distinct())
+    links = durable(_verified(tested, texts, threshold, size))
+    classes = labels(links)
+    # In a bucket of two, both have met.
+    open_ = mixed(buckets.where("size > 2").drop("low", "low_n"), classes)
+    sketched = open_.join(signed.select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"]), "doc")
+    best = durable(partners(sketched, threshold, bands, rows, PARTNERS).join(tested, ["a", "b"], "left_anti"))
+    if not best.isEmpty():
+        links = durable(links.unionByName(_verified(best, texts, threshold, size)))
+        classes = labels(links)
+        tested = tested.unionByName(best)
+        sketched = mixed(sketched, classes)
+    left = durable(partners(sketched, threshold, bands, rows, None))
+    if not left.isEmpty():
+        of = left.groupBy("bucket").agg(F.sum("n").alias("size"))
+        found = durable(exact_links(left.join(of, "bucket").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc")), texts, threshold, size))
         links = durable(links.unionByName(found))
-        classes = classes_of(links)
+        classes = labels(links)
     return copies, links, classes
 
 

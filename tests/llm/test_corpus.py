@@ -217,17 +217,27 @@ def test_large_mixed_buckets_are_decided_exactly(spark):
     second = [[*x[:60], word(), *x[61:]] for x in first[::10]]
     texts = {i: " ".join(x) for i, x in enumerate(first)} | {10_000 + i: " ".join(x) for i, x in enumerate(second)}
     hasher = near_dup.ShingleHasher()
-    few = [hasher.bag(texts[i]) for i in range(20)] + [hasher.bag("a b c d e f a b c d e f")] * 2
-    plain = [[sum(min(c, dict(zip(*y)).get(k, 0)) for k, c in zip(*x)) for y in few] for x in few]
-    assert np.triu(near_dup.overlaps(few), 1).tolist() == np.triu(plain, 1).tolist()
+    some = [*list(texts.values())[:20], *["a b c d e f a b c d e f"] * 2]
+    few = [hasher.bag(x) for x in some]
+    plain = np.array([[sum(min(c, dict(zip(*y)).get(k, 0)) for k, c in zip(*x)) for y in few] for x in few])
+    keys, counts, text = hasher.bags(some)
+    rows = np.array([3, 20])
+    apart = rows[:, None] != np.arange(22)[None]
+    assert near_dup.overlaps(keys, counts, text, 22, rows)[apart].tolist() == plain[rows][apart].tolist()
     # One bucket of all of them, each a class of its own: the blocks must find every class.
-    rows = spark.createDataFrame([(1, i, i, len(texts)) for i in texts], "bucket long, doc long, label long, size long")
+    rows = spark.createDataFrame([(1, i, i, 1_500_000) for i in texts], "bucket long, doc long, label long, size long")
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     links = near_dup.exact_links(rows, frame, 0.8, 5)
     got = {r["id"]: r["component"] for r in near_dup.connected_components(links, "a", "b").collect()}
     want = brute_classes(texts)
     assert {i: got.get(i, i) for i in texts} == want
-    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(frame).collect()} == want
+    for parts in (1, 7, 200):
+        assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(frame.repartition(parts)).collect()} == want
+
+
+def signature(hasher, text, m):
+    keys, counts = hasher.bag(text)
+    return near_dup.bag_min_hashes(keys, counts, np.zeros(len(keys), int), 1, m)[0]
 
 
 def test_links_at_the_threshold_whose_signatures_agree_less(spark):
@@ -237,8 +247,8 @@ def test_links_at_the_threshold_whose_signatures_agree_less(spark):
     while len(docs) < 6:
         base = [word() for _ in range(94)]
         pair = " ".join(base), " ".join([*base[:84], *[word() for _ in range(10)]])  # 80 of 90 shingles each: 80 / 100
-        a, b = (near_dup.bag_min_hash(*hasher.bag(x), 96) for x in pair)
-        if (a == b).sum() < 66 and set(near_dup.band_keys(a, 24, 4)) & set(near_dup.band_keys(b, 24, 4)):
+        a, b = (signature(hasher, x, 96) for x in pair)
+        if (a == b).sum() < 66 and set(near_dup.band_keys(a[None], 24, 4)[0]) & set(near_dup.band_keys(b[None], 24, 4)[0]):
             docs += [(len(docs), pair[0]), (len(docs) + 1, pair[1])]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
@@ -250,7 +260,7 @@ def test_signature_agreement_is_weighted_jaccard():
     a, b = rng.integers(1, 9, 60), rng.integers(1, 9, 60)
     a[:10] = 0
     m = 4096
-    x, y = (near_dup.bag_min_hash(keys[c > 0], c[c > 0], m) for c in (a, b))
+    x, y = (near_dup.bag_min_hashes(keys[c > 0], c[c > 0], np.zeros((c > 0).sum(), int), 1, m)[0] for c in (a, b))
     assert (x == y).mean() == pytest.approx(np.minimum(a, b).sum() / np.maximum(a, b).sum(), abs=0.03)
 
 
