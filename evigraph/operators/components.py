@@ -6,19 +6,28 @@ with a third of all vertices is a skewed join key, which adaptive execution
 splits, and never a collected list.  Rounds are cut by tables written to the
 folder that executors share.
 """
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_dir(spark) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, the warehouse on a cluster; a new temporary folder where driver and executors are one process.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='evigraph-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
+    if not place and not spark.sparkContext.master.startswith("local-cluster") and spark.sparkContext.master.startswith("local"):
+        place = _own_dir()
+    return (place or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -51,7 +60,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops = known.where(F.col(src) == F.col(dst)).select(F.col(src).alias("id")).distinct()
     now = written(known.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct())
     digest = None
-    for _ in range(max_rounds):
+    for round_ in range(max_rounds + 1):
+        if round_ == max_rounds:
+            raise RuntimeError(f"components still change after {max_rounds} rounds")
         now = written(_small_star(_large_star(now)))
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == digest:
