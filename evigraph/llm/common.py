@@ -1,10 +1,13 @@
 """Helpers that several corpus operators share."""
-import tempfile
+import re
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from evigraph.operators.components import shared_dir
+
 #: ASCII white space, the only characters that separate words here.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -13,15 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where none is set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='evigraph-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -53,6 +47,61 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes that are hashed at once; a longer text is cut at white space.
+PIECE = 1 << 20
+_SPACE = np.isin(np.arange(256), list(ASCII_SPACE.encode()))
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of ``raw``: a polynomial in the word's bytes, from differences of prefix sums modulo 2^64."""
+    x = np.frombuffer(raw, np.uint8)
+    if not _powers or len(_powers[0]) <= len(x):
+        n = max(len(x), PIECE) + 1
+        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)])) for base in (_BASE, pow(_BASE, -1, 2**64))]
+    power, inverse = _powers
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[x], [True]])))
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * power[:len(x)])])
+    return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+
+
+def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` of the texts, one text after the other, and the number of words of each."""
+    out, sizes, group = [np.empty(0, np.uint64)], [], []
+
+    def flush() -> None:
+        hashes, start = _hashed(b" ".join(group))
+        ends = np.cumsum([len(x) + 1 for x in group])
+        out.append(hashes)
+        sizes.extend(np.diff(np.searchsorted(start, ends), prepend=0))
+        group.clear()
+
+    length = 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if group and length + len(raw) > PIECE:
+            flush()
+            length = 0
+        if len(raw) <= PIECE:
+            group.append(raw)
+            length += len(raw) + 1
+            continue
+        at, n = 0, 0
+        while at < len(raw):
+            cut = re.compile(rb"[\x20\x09-\x0D]").search(raw, min(len(raw), at + PIECE))
+            end = cut.start() if cut else len(raw)
+            hashes, _ = _hashed(raw[at:end])
+            out.append(hashes)
+            n, at = n + len(hashes), end
+        sizes.append(n)
+    if group:
+        flush()
+    return np.concatenate(out), np.array(sizes, np.int64)
+
+
 def gram_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all runs of ``size`` words; a text with fewer words is one run."""
     n = len(word_hashes)
@@ -63,3 +112,14 @@ def gram_hashes(word_hashes: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = mix64(out + np.uint64(0x9E3779B97F4A7C15) + word_hashes[k:n - size + 1 + k])
     return out
+
+
+def in_parts(sizes: np.ndarray, most: int, rows: int) -> list[slice]:
+    """Cuts of a row of texts into runs of at most ``rows`` texts and, but for a single one, ``most`` characters."""
+    out, start, total = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (total + n > most or k - start == rows):
+            out.append(slice(start, k))
+            start, total = k, 0
+        total += n
+    return [*out, slice(start, len(sizes))] if len(sizes) else out

@@ -36,11 +36,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashes, mix64
+from evigraph.llm.common import bounded_batches, durable, gram_hashes, in_parts, mix64, word_hashes
 from evigraph.operators.components import connected_components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -52,7 +51,6 @@ MISSED = 1_000_000
 SHINGLES, COLUMNS = 200_000, 8192
 #: Words of the texts that are signed at once.
 BATCH_WORDS = 250_000
-CACHED_WORDS = 300_000
 KEY_BITS = 54
 KEY_MASK = np.uint64(2**KEY_BITS - 1)
 
@@ -62,30 +60,20 @@ class ShingleHasher:
 
     def __init__(self, size: int = SHINGLE):
         self.size = size
-        self.words: dict[bytes, int] = {}
-
-    def word_hashes(self, text: str | None) -> np.ndarray:
-        words = byte_words(text or "")
-        known = self.words
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def bags(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(keys, counts, text): the shingles of up to 1,024 texts, ordered by text; keys have 54 bits."""
-        words = [self.word_hashes(t) for t in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        owner = np.repeat(np.arange(len(words), dtype=np.uint64), sizes)
-        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # words from here to the text's end
-        flat = np.concatenate([*words, np.zeros(self.size, np.uint64)])
+        words, sizes = word_hashes(texts)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(owner))  # words from here to the text's end
+        flat = np.concatenate([words, np.zeros(self.size, np.uint64)])
         grams = np.zeros(len(owner), np.uint64)
         for k in range(self.size):
             grams = mix64(grams + np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(owner)])
         whole = left >= self.size
         short = [k for k in np.flatnonzero((sizes > 0) & (sizes < self.size))]
-        keys = np.concatenate([grams[whole], np.array([gram_hashes(words[k], self.size)[0] for k in short], np.uint64)])
+        keys = np.concatenate([grams[whole], np.array([gram_hashes(words[ends[k] - sizes[k]:ends[k]], self.size)[0] for k in short], np.uint64)])
         owner = np.concatenate([owner[whole], np.array(short, np.uint64)])
         found = np.sort((owner << np.uint64(KEY_BITS)) | (keys & KEY_MASK))
         if not len(found):
@@ -141,17 +129,6 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def in_parts(sizes: np.ndarray, most: int, rows: int) -> list[slice]:
-    """Cuts of a row of texts into runs of at most ``rows`` texts and, but for a single one, ``most`` characters."""
-    out, start, sum_ = [], 0, 0
-    for k, n in enumerate(sizes):
-        if k > start and (sum_ + n > most or k - start == rows):
-            out.append(slice(start, k))
-            start, sum_ = k, 0
-        sum_ += n
-    return [*out, slice(start, len(sizes))] if len(sizes) else out
-
-
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, copy_key, n, bands, sketch): n shingles, band keys (none where there are no words) and the low byte of each component."""
     m = bands * rows

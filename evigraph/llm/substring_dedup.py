@@ -1,23 +1,33 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
-Seeds are all k-mers of ``WORDS`` words (minimizers of them where ``WINDOW`` is more than 1):
-of 50 words with 10 changed, 40 equal ones lie in 11 runs at most, so the two texts share
-seven seeds at least, wherever the changes are.  A seed's occurrences are not paired with each other; all
-are matched with its first occurrence (smallest document, then place), an aggregate
-that joins back by the seed.  In each document the matches with one earlier document
-are chained: ordered in both texts, scored by what they cover less a cost for gaps, the
-best predecessor found in a Fenwick tree.  Chains are aligned word by word in both
-texts, a chain of a single seed too, and what aligned parts cover without a break, against
-whichever earlier documents, is a passage if it has at least ``min_words`` words.  A part is
-``PART`` words long at least: shorter ones are phrases that any two texts may share.
+Seeds are all k-mers of ``WORDS`` words: of 50 words with 10 changed, 40 equal ones lie in 11
+runs at most, so the two texts share seven seeds at least, wherever the changes are.  Exact copies
+are whole passages of the smallest id among them and have no seeds of their own.
+
+A seed's occurrences are not paired with each other; all are matched with its first occurrence
+(smallest document, then place).  To find it, the seeds of a run of texts are dealt by hash
+into parts, each packed into one small compressed value (sorted hashes as differences, places in
+planes of bytes), so that one shuffle of about five bytes a word brings a part together.  A seed that
+a run of texts holds more than ``HOT`` times sends its first place alone to its part; the others are dealt
+evenly and meet the first occurrence in a join, which adaptive execution splits, so no task holds
+all rows of a frequent seed.
+
+In each document the matches with one earlier document are chained: ordered in both texts,
+scored by what they cover less a cost for gaps, the best predecessor found in a Fenwick tree.  A
+chain is kept, even one of a single seed, if as many matched seeds as a passage shares at least, with whatever earlier documents, lie
+so near that one passage could hold them.  Chains are aligned word by word in both texts, and what
+aligned parts cover without a break, against whichever earlier documents, is a passage if it
+has at least ``min_words`` words.  A part is ``PART`` words long at least: shorter ones are phrases that
+any two texts may share.  Words are compared by 32-bit hashes here.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; null, empty and short texts hold no passage; of
 equal texts the smallest id keeps its words; repeats within one document are not
 passages; rows without an id are neither matched nor changed; ids are taken to be unique (a
-repeated id's rows share their passages); other columns pass through.
+repeated id's rows share their passages); other columns pass through; an empty table gives no rows.
 """
 import difflib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,49 +35,159 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded_batches, byte_words, durable, gram_hashes, mix64
-from evigraph.llm.near_dup import ShingleHasher
+from evigraph.llm.common import bounded_batches, durable, in_parts, mix64, word_hashes
 
-WORDS, WINDOW = 4, 1
+WORDS = 4
 MIN_WORDS, SIMILARITY = 50, 0.8
 #: Words between two parts of one alignment at most, and what a word of a gap costs a chain.
 MAX_GAP, GAP_COST = 40, 0.15
 BREAK = 2
-#: Words of an aligned part at least.
+#: Words that a part of an alignment has at least.
 PART = 19
+#: Words of a run of texts whose seeds are packed together, and seeds of a part.
+RUN_WORDS, PART_SEEDS = 600_000, 3_000_000
+#: Occurrences in a run from which on a seed is frequent.
+HOT = 64
+#: Places of a slice of a text are rounded to so many words, so that requests repeat.
+SLICE = 32
 
 CHAIN = "doc long, lead long, start int, end int, lead_start int, lead_end int"
+MATCH = "doc long, pos int, lead long, lead_pos int, seed long"
 
 
-def minimizers(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the smallest hash of each ``window`` in a row (the rightmost of equals); of one seed again and again only the first."""
-    if len(hashes) <= window:
-        return np.array([len(hashes) - 1 - int(np.argmin(hashes[::-1]))]) if len(hashes) else np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1]
-    at = np.unique(np.arange(len(views)) + window - 1 - views.argmin(1))
-    return at[np.concatenate([[True], hashes[at[1:]] != hashes[at[:-1]]])]
+def planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def seeds(docs: DataFrame, words: int = WORDS, window: int = WINDOW) -> DataFrame:
-    """(seed, doc, pos)."""
+def from_planes(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, n).T.copy().view(kind).reshape(n)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = ShingleHasher()
+
+def pack(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> bytes:
+    """Sorted 64-bit ``keys`` with their documents and places, small."""
+    known, index = np.unique(docs, return_inverse=True)
+    longest = int(pos.max()) + 1
+    place = index.astype(np.uint64) * np.uint64(longest) + pos.astype(np.uint64)
+    head = np.array([len(keys), len(known), longest], np.uint64).tobytes()
+    return zlib.compress(head + planes(np.diff(known, prepend=0)) + planes(np.diff(keys, prepend=np.uint64(0))) + planes(place), 1)
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n, k, longest = (int(x) for x in np.frombuffer(data[:24], np.uint64))
+    known = np.cumsum(from_planes(data[24:24 + 8 * k], np.int64, k))
+    keys = np.cumsum(from_planes(data[24 + 8 * k:24 + 8 * (k + n)], np.uint64, n))
+    place = from_planes(data[24 + 8 * (k + n):], np.uint64, n)
+    return keys, known[(place // np.uint64(longest)).astype(np.int64)], (place % np.uint64(longest)).astype(np.int32)
+
+
+def seeds_of(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, pos) of the k-mers of some texts; of one seed again and again only the first."""
+    flat, sizes = word_hashes(texts)
+    ends = np.cumsum(sizes)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(np.repeat(ends, sizes) - np.arange(len(flat)) >= words)
+    grams = np.zeros(len(at), np.uint64)
+    for k in range(words):
+        grams = mix64(grams + np.uint64(0x9E3779B97F4A7C15) + flat[at + k])
+    own = own[at]
+    if len(at):
+        new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])])
+        grams, own, at = grams[new], own[new], at[new]
+    return grams, own, at - (ends - sizes)[own]
+
+
+def packed_seeds(docs: DataFrame, words: int, bits: int, parts: int, hot: int = HOT) -> DataFrame:
+    """(part, kind, data): a run's seeds of a part (kind 0), the first places of its frequent seeds (1), and the other places of those (2), dealt evenly to parts from ``parts`` on."""
+    edges = np.array([(k << bits) // parts for k in range(parts)] , np.uint64)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found, places, ids = [], [], []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = hasher.word_hashes(text)
-                if len(own) < words:
+            for cut in in_parts(batch["text"].str.len().fillna(0).to_numpy(np.int64), 6 * RUN_WORDS, 100_000):
+                ids = batch["doc_id"].to_numpy()[cut]
+                keys, own, pos = seeds_of(batch["text"].iloc[cut], words)
+                if not len(keys):
                     continue
-                keys = gram_hashes(own, words)
-                at = minimizers(mix64(keys), window)
-                found.append(keys[at].view(np.int64))
-                places.append(at)
-                ids.append(np.full(len(at), doc))
-            if found:
-                yield pd.DataFrame({"seed": np.concatenate(found), "doc": np.concatenate(ids), "pos": np.concatenate(places).astype(np.int32)})
+                keys, doc = keys >> np.uint64(64 - bits), ids[own]
+                order = np.lexsort((pos, doc, keys)) if hot < len(keys) else np.argsort(keys, kind="stable")
+                keys, doc, pos = keys[order], doc[order], pos[order]
+                start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                often = np.diff(np.append(start, len(keys)))
+                kind = np.repeat(np.where(often > hot, 2, 0), often)
+                kind[start[often > hot]] = 1
+                rows = []
+                for what in (0, 1, 2):
+                    k, d, p = (x[kind == what] for x in (keys, doc, pos))
+                    if what == 2:
+                        rows += [(parts + int(mix64(d[:1] + at)[0] % np.uint64(parts)), 2, pack(k[at:at + RUN_WORDS], d[at:at + RUN_WORDS], p[at:at + RUN_WORDS])) for at in range(0, len(k), RUN_WORDS)]
+                        continue
+                    low = np.searchsorted(k, edges)
+                    high = np.append(low[1:], len(k))
+                    rows += [(part, what, pack(k[x:y], d[x:y], p[x:y])) for part, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if x < y]
+                yield pd.DataFrame(rows, columns=["part", "kind", "data"])
+
+    return docs.select("doc_id", "text").mapInPandas(packed, "part int, kind int, data binary")
+
+
+def first_matches(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, frequent: np.ndarray) -> pd.DataFrame:
+    """Rows of MATCH: each occurrence in a later document with the seed's first; for frequent seeds their first occurrence too, without a document."""
+    order = np.argsort(keys, kind="stable")
+    keys, doc, pos, frequent = keys[order], doc[order], pos[order], frequent[order]
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    often = np.diff(np.append(start, len(keys)))
+    lead, last, hot = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start), np.logical_or.reduceat(frequent, start)
+    lead_pos = np.minimum.reduceat(np.where(doc == np.repeat(lead, often), pos, np.iinfo(np.int32).max), start)
+    later = doc != np.repeat(lead, often)
+    n, firsts = int(later.sum()), int(hot.sum())
+    none = np.arange(n + firsts) >= n
+    return pd.DataFrame({
+        "doc": pd.arrays.IntegerArray(np.concatenate([doc[later], np.zeros(firsts, np.int64)]), none),
+        "pos": np.concatenate([pos[later], np.zeros(firsts, np.int32)]),
+        "lead": np.concatenate([np.repeat(lead, often)[later], lead[hot]]),
+        "lead_pos": np.concatenate([np.repeat(lead_pos, often)[later], lead_pos[hot]]),
+        "seed": pd.arrays.IntegerArray(np.concatenate([np.zeros(n, np.int64), keys[start][hot].view(np.int64)]), ~none),
+    })
+
+
+def matches_of(packed: DataFrame, parts: int) -> DataFrame:
+    """Rows of MATCH: matches; first occurrences of frequent seeds (no doc); occurrences of those (no lead)."""
+
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = None, []
+
+        def joined() -> pd.DataFrame:
+            found = [(*unpack(data), kind) for kind, data in held]
+            keys, doc, pos = (np.concatenate([x[c] for x in found]) for c in range(3))
+            return first_matches(keys, doc, pos, np.concatenate([np.full(len(x[0]), x[3] == 1) for x in found]))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(cut, "seed long, doc long, pos int")
+        for batch in batches:
+            for now, kind, data in zip(batch["part"], batch["kind"], batch["data"], strict=True):
+                if kind == 2:
+                    keys, doc, pos = unpack(data)
+                    yield pd.DataFrame({"doc": doc, "pos": pos, "lead": pd.array([pd.NA] * len(doc), "Int64"), "lead_pos": 0, "seed": keys.view(np.int64)})
+                    continue
+                if now != part and held:
+                    yield joined()
+                    held = []
+                part = now
+                held.append((kind, data))
+        if held:
+            yield joined()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(matched, MATCH)
+
+
+def seed_matches(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """(doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document."""
+    spark = docs.sparkSession
+    n_words = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
+    # As many bits as leave about a thousand chance matches, which alignment refuses.
+    bits = min(64, max(40, 2 * n_words.bit_length() - 12))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PART_SEEDS))
+    found = durable(matches_of(packed_seeds(docs, words, bits, parts, hot), parts))
+    first = found.where("doc IS NULL").groupBy("seed").agg(F.min(F.struct("lead", "lead_pos")).alias("f"))
+    often = found.where("lead IS NULL").select("doc", "pos", "seed").join(first, "seed").select("doc", "pos", F.col("f.lead").alias("lead"), F.col("f.lead_pos").alias("lead_pos"))
+    return found.where("seed IS NULL").drop("seed").unionByName(often.where("doc <> lead"))
 
 
 def chain(pos: np.ndarray, lead: np.ndarray, weight: float = WORDS, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[np.ndarray]:
@@ -132,18 +252,29 @@ def runs(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chains(matches: DataFrame, words: int = WORDS) -> DataFrame:
-    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too: any can lie in a passage.
+def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too, that a passage can hold.
 
     Rows come grouped by document; one document's matches are bounded by its length.
     """
+    # A changed word spoils ``words`` seeds at most.
+    least = max(1, min_words - words + 1 - round(min_words * (1 - similarity)) * words)
+
     def of_document(doc: int, pos: np.ndarray, lead: np.ndarray, lead_pos: np.ndarray) -> list[tuple]:
         out = []
         cuts = np.flatnonzero(np.diff(lead)) + 1
+        places = np.unique(pos)
+
+        def near(first: int, last: int) -> int:
+            return np.searchsorted(places, last + min_words, "right") - np.searchsorted(places, first - min_words)
+
         for own in np.split(np.arange(len(pos)), cuts):
+            if near(pos[own[0]], pos[own[-1]]) < least:
+                continue
             for x in chain(pos[own], lead_pos[own], words):
                 i = own[x]
-                out.append((doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + words, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + words))
+                if near(pos[i[0]], pos[i[-1]]) >= least:
+                    out.append((doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + words, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + words))
         return out
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,60 +360,84 @@ def _parts(a: np.ndarray, b: np.ndarray, at: int, lead_at: int, similarity: floa
     return sorted(out)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, words: int = WORDS, window: int = WINDOW) -> DataFrame:
-    """A row for each passage of a document that an earlier one holds: doc_id, start_word, end_word, n_words, source_id, source_start, similarity."""
-    bounded_batches(docs.sparkSession)
-    found = seeds(docs, words, window)
-    first = found.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last")).where("f.doc < last").select("seed", F.col("f.doc").alias("lead"), F.col("f.pos").alias("lead_pos"))
-    matches = found.join(first, "seed").where("doc <> lead").select("doc", "pos", "lead", "lead_pos")
-    linked = durable(chains(matches, words))
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+def pairs_met(a: np.ndarray, b: np.ndarray) -> int:
+    """Pairs of adjacent words of ``a`` that ``b`` holds too."""
+    x, y = ((w[:-1].astype(np.uint64) << np.uint64(32)) | w[1:] for w in (a, b))
+    y = np.sort(y)
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
 
-    @F.pandas_udf("string")
-    def part(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, start, end in batches:
-            out, last, own = [], None, []
-            for t, s, e in zip(text, start, end, strict=True):
-                if t is not last:
-                    last, own = t, byte_words(t or "")
-                out.append(b" ".join(own[s:e]).decode("utf-8", "surrogatepass"))
-            yield pd.Series(out)
-
-    @F.pandas_udf("array<struct<start:int,end:int,lead_start:int,lead_end:int,equal:int>>")
-    def align(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for own, text, lead_from, lead_to, shift, at, lead_at in batches:
-            out, last, lead_words = [], None, []
-            for x, t, f, e, s, i, j in zip(own, text, lead_from, lead_to, shift, at, lead_at, strict=True):
-                if t is not last:
-                    last, lead_words = t, byte_words(t or "")
-                codes: dict[bytes, int] = {}
-                a = np.array([codes.setdefault(w, len(codes)) for w in byte_words(x)])
-                b = np.array([codes.setdefault(w, len(codes)) for w in lead_words[f:e]])
-                out.append([{"start": s + p, "end": s + q, "lead_start": f + u, "lead_end": f + v, "equal": n} for p, q, u, v, n in passages_of(a, b, i - s, j - f, similarity, min_words) if q - p >= PART])
-            yield pd.Series(out)
-
-    # A passage of ``min_words`` with one seed lies within so many words of it.
-    margin = min_words + window + MAX_GAP
-    asked = linked.withColumns({"_from": F.greatest(F.lit(0), F.col("start") - margin), "_to": F.col("end") + margin, "_lead_from": F.greatest(F.lit(0), F.col("lead_start") - margin), "_lead_to": F.col("lead_end") + margin})
-    own = asked.join(texts.withColumnRenamed("doc_id", "doc"), "doc").withColumn("_own", part("text", "_from", "_to")).drop("text")
-    both = own.join(texts.withColumnRenamed("doc_id", "lead"), "lead").withColumn("_parts", align("_own", "text", "_lead_from", "_lead_to", "_from", "start", "lead_start"))
-    parts = both.select("doc", "lead", F.explode("_parts").alias("p")).select("doc", F.struct("p.start", "p.end", "lead", "p.lead_start", "p.lead_end", "p.equal").alias("p"))
+
+def slices(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lead, from, to, words): 32-bit hashes of the words asked for; asked: (lead, from, to).  A text's requests are bounded by its length."""
+
+    @F.pandas_udf("array<struct<from:int,to:int,words:binary>>")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for part in in_parts(text.str.len().fillna(0).to_numpy(np.int64), 1_000_000, 1000):
+            flat, sizes = word_hashes(text.iloc[part])
+            flat, ends = flat.astype(np.uint32), np.cumsum(sizes)
+            for own, end, n in zip(spans.iloc[part], ends, sizes, strict=True):
+                out.append([{"from": s["from"], "to": s["to"], "words": flat[end - n + min(n, s["from"]):end - n + min(n, s["to"])].tobytes()} for s in own])
+        return pd.Series(out)
+
+    spans = asked.distinct().groupBy("lead").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    cuts = texts.withColumnRenamed("doc_id", "lead").join(spans, "lead").select("lead", F.explode(cut("text", "spans")).alias("s"))
+    return cuts.select("lead", "s.from", "s.to", "s.words")
+
+
+def aligned_passages(linked: DataFrame, texts: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Passages of the documents of ``linked`` chains (see ``CHAIN``)."""
+    margin = min_words + MAX_GAP
+    # Of the pairs of adjacent words of a part, a changed word spoils two.
+    least = PART - 1 - 2 * int(PART * (1 - similarity) + 1e-9)
+    low = F.greatest(F.lit(0), F.col("lead_start") - margin)
+    asked = linked.withColumns({"from": (low - F.pmod(low, F.lit(SLICE))).cast("int"), "to": (F.ceil((F.col("lead_end") + margin) / SLICE) * SLICE).cast("int")})
+    cuts = slices(texts, asked.select("lead", "from", "to"))
+    # All chains of a document meet its text; both are bounded by its length.
+    whole = asked.join(cuts, ["lead", "from", "to"]).groupBy("doc").agg(F.collect_list(F.struct("start", "end", "lead", "lead_start", "from", "words")).alias("chains"))
 
     @F.pandas_udf("array<struct<start_word:int,end_word:int,source_id:long,source_start:int,similarity:double>>")
-    def merged(rows: pd.Series) -> pd.Series:
+    def merged(text: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for own in rows:
-            own = sorted((p["start"], p["end"], p["lead"], p["lead_start"], p["lead_end"], p["equal"]) for p in own)
-            here = []
-            for start, end in runs([(x[0], x[1]) for x in own], BREAK):
+        for t, own in zip(text, found, strict=True):
+            flat = word_hashes([t])[0].astype(np.uint32)
+            parts, covered = set(), []
+            for c in sorted(own, key=lambda c: (c["start"] - c["end"], c["start"], c["lead"], c["lead_start"])):
+                if any(x <= c["start"] and c["end"] <= y for x, y in covered):
+                    continue  # inside of a passage with another text
+                s, f = max(0, c["start"] - margin), c["from"]
+                a, b = flat[s:c["end"] + margin], np.frombuffer(c["words"], np.uint32)
+                if c["end"] - c["start"] < PART and pairs_met(flat[max(0, c["start"] - min_words):c["end"] + min_words], b) < least:
+                    continue  # too little in common for a part
+                here = {(s + p, s + q, c["lead"], f + u, f + v, n) for p, q, u, v, n in passages_of(a, b, c["start"] - s, c["lead_start"] - f, similarity, min_words) if q - p >= PART}
+                parts |= here
+                covered += [x[:2] for x in here if x[1] - x[0] >= min_words]
+            parts, here = sorted(parts), []
+            for start, end in runs([(x[0], x[1]) for x in parts], BREAK):
                 if end - start >= min_words:
-                    best = max((x for x in own if start <= x[0] < end), key=lambda x: (x[5], -x[2]))
+                    best = max((x for x in parts if start <= x[0] < end), key=lambda x: (x[5], -x[2], -x[3]))
                     here.append({"start_word": start, "end_word": end, "source_id": best[2], "source_start": best[3], "similarity": best[5] / max(best[1] - best[0], best[4] - best[3])})
             out.append(here)
         return pd.Series(out)
 
-    whole = parts.groupBy("doc").agg(F.collect_set("p").alias("p"))
-    return whole.select(F.col("doc").alias("doc_id"), F.explode(merged("p")).alias("m")).select("doc_id", "m.start_word", "m.end_word", (F.col("m.end_word") - F.col("m.start_word")).alias("n_words"), "m.source_id", "m.source_start", "m.similarity")
+    rows = whole.join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    return rows.select(F.col("doc").alias("doc_id"), F.explode(merged("text", "chains")).alias("m")).select("doc_id", "m.start_word", "m.end_word", "m.source_id", "m.source_start", "m.similarity")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """A row for each passage of a document that an earlier one holds: doc_id, start_word, end_word, n_words, source_id, source_start, similarity."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
+    keyed = texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("_last")).where("source_id < _last").drop("_last")
+    copies = durable(keyed.join(first, "_key").where("doc_id <> source_id").select("doc_id", "source_id").distinct())
+    heads = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
+    linked = durable(chains(seed_matches(heads, words), words, min_words, similarity))
+    passages = aligned_passages(linked, heads, min_words, similarity)
+    size = F.size(F.split(F.rtrim(F.ltrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " "))
+    whole = texts.join(copies, "doc_id").select("doc_id", F.lit(0).alias("start_word"), size.alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.lit(1.0).alias("similarity")).where(F.col("end_word") >= min_words)
+    out = passages.unionByName(whole)
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "source_id", "source_start", "similarity")
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
