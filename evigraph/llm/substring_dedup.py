@@ -8,9 +8,9 @@ A seed's occurrences are not paired with each other; all are matched with its fi
 (smallest document, then place).  To find it, the seeds of a run of texts are dealt by hash
 into parts, each packed into one small compressed value (sorted hashes as differences, places in
 planes of bytes), so that one shuffle of about five bytes a word brings a part together.  A seed that
-a run of texts holds more than ``HOT`` times sends its first place alone to its part; the others are dealt
-evenly and meet the first occurrence in a join, which adaptive execution splits, so no task holds
-all rows of a frequent seed.
+a run of texts holds so often that, at that rate, it would fill a part alone, sends its first place alone to its
+part; the others are dealt evenly and meet the first occurrence in a join, which adaptive execution splits, so
+no task holds all rows of a frequent seed.
 
 In each document the matches with one earlier document are chained: ordered in both texts,
 scored by what they cover less a cost for gaps, the best predecessor found in a Fenwick tree.  A
@@ -46,8 +46,6 @@ BREAK = 2
 PART = 19
 #: Words of a run of texts whose seeds are packed together, and seeds of a part.
 RUN_WORDS, PART_SEEDS = 600_000, 3_000_000
-#: Occurrences in a run from which on a seed is frequent.
-HOT = 64
 #: Places of a slice of a text are rounded to so many words, so that requests repeat.
 SLICE = 32
 
@@ -97,7 +95,7 @@ def seeds_of(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return grams, own, at - (ends - sizes)[own]
 
 
-def packed_seeds(docs: DataFrame, words: int, bits: int, parts: int, hot: int = HOT) -> DataFrame:
+def packed_seeds(docs: DataFrame, words: int, bits: int, parts: int, hot: int) -> DataFrame:
     """(part, kind, data): a run's seeds of a part (kind 0), the first places of its frequent seeds (1), and the other places of those (2), dealt evenly to parts from ``parts`` on."""
     edges = np.array([(k << bits) // parts for k in range(parts)] , np.uint64)
 
@@ -177,10 +175,16 @@ def matches_of(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(matched, MATCH)
 
 
-def seed_matches(docs: DataFrame, words: int = WORDS, hot: int = HOT) -> DataFrame:
-    """(doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document."""
+def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) -> DataFrame:
+    """(doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document.
+
+    ``hot``: occurrences in a run beyond which a seed is frequent; by default so many that the rows of one seed in its part stay below ``PART_SEEDS``.
+    """
     spark = docs.sparkSession
-    n_words = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // 6)
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.count("*").alias("rows")).first()
+    n_words = max(1, size["chars"] // 6)
+    if hot is None:
+        hot = PART_SEEDS // (n_words // RUN_WORDS + size["rows"] // 1000 + int(spark.conf.get("spark.sql.shuffle.partitions")))
     # As many bits as leave about a thousand chance matches, which alignment refuses.
     bits = min(64, max(40, 2 * n_words.bit_length() - 12))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PART_SEEDS))

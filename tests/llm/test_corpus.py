@@ -106,6 +106,41 @@ def test_passages_with_many_changed_words(spark):
     assert all(r["source_id"] == r["doc_id"] - 1 and r["similarity"] >= 0.8 for r in found.values())
 
 
+def test_seeds_meet_their_first_occurrence(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 60)))) for i in range(300)] + [(900, "a " * 50), (901, "a " * 9)]
+    rng.shuffle(rows)
+    first, want = {}, set()
+    for i, text in sorted(rows):
+        w = text.split()
+        for k in range(len(w) - 3):
+            own = tuple(w[k:k + 4])
+            lead = first.setdefault(own, (i, k))
+            if lead[0] != i and (k == 0 or tuple(w[k - 1:k + 3]) != own):
+                want.add((i, k, *lead))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (None, 2, 0):  # seeds of every frequency by either way
+        got = [tuple(r) for r in substring_dedup.seed_matches(docs.repartition(3), hot=hot).select("doc", "pos", "lead", "lead_pos").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
+    docs_, pos = np.random.default_rng(2).integers(-5, 2**62, 500), np.arange(500, dtype=np.int64)
+    assert all((x == y).all() for x, y in zip(substring_dedup.unpack(substring_dedup.pack(keys, docs_, pos)), (keys, docs_, pos), strict=True))
+
+
+def test_passages_of_odd_rows(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    same, long = text(60), text(30_000)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, same), (6, same), (None, same), (7, long), (8, long + " more"), (9, f"{text(40)} {same}"), (10, f"{same} {same}")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 9) for i, t in rows], "doc_id long, text string, start_word int, lead string, n_words int")
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["source_id"]) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert got == {(6, 0, 60, 5), (8, 0, 30_000, 7), (9, 40, 100, 5), (10, 0, 120, 5)}
+    kept = substring_dedup.drop_passages(docs, substring_dedup.repeated_passages(docs))
+    assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.where("doc_id IN (1, 4, 5, 8)").collect()} == {1: None, 4: "one two", 5: same, 8: "more"}
+    assert kept.where("doc_id IS NULL").first()["text"] == same and kept.where("doc_id IN (6, 10)").count() == 0
+    assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
+
+
 def test_chain_is_the_best_one():
     rng = np.random.default_rng(3)
     for _ in range(50):
