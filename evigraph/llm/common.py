@@ -55,17 +55,27 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
 
-def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts) of the words of ``raw``: a polynomial in the word's bytes, from differences of prefix sums modulo 2^64."""
-    x = np.frombuffer(raw, np.uint8)
-    if not _powers or len(_powers[0]) <= len(x):
-        n = max(len(x), PIECE) + 1
+def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of ``values`` (uint64): a polynomial, from differences of prefix sums modulo 2^64, so alike wherever a span lies."""
+    if not _powers or len(_powers[0]) <= len(values):
+        n = max(len(values), PIECE) + 1
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)])) for base in (_BASE, pow(_BASE, -1, 2**64))]
     power, inverse = _powers
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[x], [True]])))
-    start, end = edge[::2], edge[1::2]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[x] * power[:len(x)])])
-    return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)), start
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[:len(values)])])
+    return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    return edge[::2], edge[1::2]
+
+
+def _hashed(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, starts) of the words of ``raw``."""
+    x = np.frombuffer(raw, np.uint8)
+    start, end = spans_of(~_SPACE[x])
+    return span_hashes(_BYTES[x], start, end), start
 
 
 def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -384,16 +384,61 @@ def test_languages_held_out_and_edges(spark):
     assert {r["language"] for r in language.score_languages(odd_docs(spark), none).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    counts = collections.Counter()
-    for word in ("abba", "bab", "cab", "abc"):
-        padded = f" {word} "
-        for end in range(2, len(padded) + 1):
-            counts[padded[max(0, end - 3):end]] += 1
-    model = language.LanguageModel(["x"], [language.KneserNey.fit(counts, 3, alphabet=4)], np.zeros(1), np.ones(1), 3)
-    # P(next | "ab") over the alphabet {a, b, c, blank}: differences of the scores of words that go on differently.
-    logs = [model.word_scores(["ab" + c])[0, 0] for c in "abc"]
-    assert all(np.isfinite(logs))
+def test_kneser_ney_against_plain_code():
+    order, alphabet = 3, "abc "
+    rng = random.Random(3)
+    counts = {}
+    for name, letters in (("x", "abc"), ("y", "bbca")):
+        counts[name] = collections.Counter()
+        for _ in range(30):
+            padded = f" {''.join(rng.choice(letters) for _ in range(rng.randrange(1, 6)))} "
+            for end in range(2, len(padded) + 1):
+                counts[name][padded[max(0, end - order):end]] += 1
+
+    def plain(own):
+        """p(next | before) by the textbook recursion."""
+        level = [collections.Counter() for _ in range(order + 1)]
+        for g, n in own.items():
+            level[len(g)][g] += n
+        for k in range(order, 1, -1):
+            for g in level[k]:
+                level[k - 1][g[1:]] += 1
+
+        def p(before, c):
+            k = len(before) + 1
+            lower = p(before[1:], c) if before else 1 / len(alphabet)
+            total = sum(n for g, n in level[k].items() if g[:-1] == before)
+            if not total:
+                return lower
+            ones, twos = (sum(1 for n in level[k].values() if n == x) for x in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            kinds = sum(1 for g in level[k] if g[:-1] == before)
+            return max(level[k][before + c] - d, 0) / total + d * kinds / total * lower
+
+        return p
+
+    tables, probability = {}, {name: plain(own) for name, own in counts.items()}
+    for name, own in counts.items():
+        for context, found in zip((False, True), language.kneser_ney(own, order, len(alphabet)), strict=True):
+            for k, values in enumerate(found, 1):
+                tables[name, k, context] = language.hash_arrays(values, k - context)
+        for before in ("", "a", "ab", " a", "bc", " "):
+            assert sum(probability[name](before, c) for c in alphabet) == pytest.approx(1)
+    model = language.LanguageModel.of(["x", "y"], tables, order, len(alphabet))
+    scorer = language.LanguageScorer(model)
+    texts = ["abc", "b", "cc aab", "abcabcabc b a", "bb-ca 7 a_c", "", "12", None, "aaa " * 50]
+    got, chars = scorer.entropies(texts)
+    for text, row, n in zip(texts, got, chars, strict=True):
+        words = [w for w in "".join(c if c.isalpha() else " " for c in text or "").split()]
+        assert n == sum(len(w) + 1 for w in words)
+        for c, name in enumerate(("x", "y")):
+            want = 0
+            for w in words:
+                padded = f" {w} "
+                want -= sum(np.log(probability[name](padded[max(0, i - order + 1):i], padded[i])) for i in range(1, len(padded)))
+            assert row[c] * max(n, 1) == pytest.approx(want)
+    again, _ = scorer.entropies(texts[::-1])
+    assert np.allclose(again, got[::-1])
 
 
 # ---- 9
