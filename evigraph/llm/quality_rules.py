@@ -2,22 +2,23 @@
 
 Each rule votes good, bad or abstains.  Expectation-maximisation over the counts
 of vote patterns (at most 3 ** rules of them, whatever the corpus) estimates how
-accurate each rule is; a document is kept if its posterior probability of being
-good reaches the threshold.
+accurate each rule's good and bad votes are; a document is kept if its posterior probability
+of being good reaches the threshold.
 
 Edge cases: a null or empty text has no words, so all counts are 0 and the base
 rules fail it; a text of white space only likewise; repeated rows vote alike;
 counts cover whole texts; an empty table fits the prior alone; all columns pass
-through.
+through, but ``with_counts`` replaces those named like its own.
 """
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import ASCII_SPACE, byte_words, mix64
+from evigraph.llm.common import ASCII_SPACE, byte_words, durable, mix64
 
 SYMBOLS = "#*$%&|<>"
 RULES = ["length", "word_length", "symbols", "repeat_lines", "repeat_words", "upper_case", "word_variety", "letters"]
@@ -99,33 +100,49 @@ def pattern_votes(code: int, rules: int = len(RULES)) -> np.ndarray:
     return np.array([code // 3 ** k % 3 - 1 for k in range(rules)])
 
 
-#: Beliefs about any rule before the data: how often it votes bad, abstains or votes good on bad and on good documents.
-BELIEFS = np.array([[0.25, 0.60, 0.15], [0.002, 0.498, 0.50]])
+#: Beliefs before the data: a rule's accuracy where it votes, the share of good documents, and how many votes or
+#: documents these count as, whatever the corpus' size.
+ACCURACY, SHARE, TRUST = 0.9, 0.8, 50.0
 
 
-def fit_posteriors(patterns: dict[int, int], rounds: int = 60, prior: float = 0.8, trust: float = 0.5) -> dict[int, float]:
+@dataclass
+class FittedRules:
+    """What expectation-maximisation found: the share of good documents, how often each rule's good and bad votes are right, and P(good | votes) by pattern."""
+
+    share: float
+    good: np.ndarray
+    bad: np.ndarray
+    posteriors: dict[int, float]
+
+    def accuracies(self) -> dict[str, tuple[float, float]]:
+        """Of each rule: the share of its good and of its bad votes that are right."""
+        return dict(zip(RULES, zip(self.good.tolist(), self.bad.tolist(), strict=True), strict=True))
+
+
+def fit_patterns(patterns: dict[int, int], rounds: int = 200, trust: float = TRUST, rules: int = len(RULES)) -> FittedRules:
     """P(good | votes) of each pattern, by expectation-maximisation over pattern counts.
 
-    Each rule has its own rates of good, bad and no votes for good and for bad documents.
-    The start takes any bad vote as a sign of a bad document.  ``trust`` weighs BELIEFS
-    against the data; without them a large group of like documents of either kind could
-    take the place of the class of bad ones.
+    A vote speaks by its own accuracy, which is estimated from all documents, against the share of good documents; a rule
+    that abstains says nothing, so a document without any vote is as likely good as any.  Beliefs count as ``trust`` votes
+    of each kind.  The start takes any bad vote as a sign of a bad document.
     """
-    if not patterns:
-        return {}
-    codes = np.array(sorted(patterns))
+    codes = np.array(sorted(patterns), np.int64)
     n = np.array([patterns[int(c)] for c in codes], float)
-    table = np.stack([pattern_votes(int(c)) for c in codes]) + 1
-    p = np.where((table == 0).any(1), 0.02, 0.98)
-    for _ in range(rounds):
-        share = ((n * p).sum() + trust * prior * n.sum()) / ((1 + trust) * n.sum())
-        like = np.stack([np.full(len(codes), np.log(1 - share)), np.full(len(codes), np.log(share))])
-        for side, weight in enumerate((n * (1 - p), n * p)):
-            for rule in range(table.shape[1]):
-                rates = np.bincount(table[:, rule], weight, 3) + trust * max(weight.sum(), 1.0) * BELIEFS[side]
-                like[side] += np.log(rates / rates.sum())[table[:, rule]]
-        p = 1 / (1 + np.exp(np.clip(like[0] - like[1], -500, 500)))
-    return {int(c): float(x) for c, x in zip(codes, p, strict=True)}
+    table = np.stack([pattern_votes(int(c), rules) for c in codes]) if len(codes) else np.zeros((0, rules), int)
+    good, bad = (table == 1).astype(float), (table == -1).astype(float)
+    p = np.where(bad.any(1), 0.02, 0.98)
+    share, right = SHARE, np.full((2, rules), ACCURACY)
+    for _ in range(rounds if len(codes) else 0):
+        before = p
+        share = ((n * p).sum() + trust * SHARE) / (n.sum() + trust)
+        right = np.stack([((n * p) @ good + trust * ACCURACY) / (n @ good + trust), ((n * (1 - p)) @ bad + trust * ACCURACY) / (n @ bad + trust)])
+        # What a vote adds to the log odds: those of being good given this vote, less those of any document.
+        odds = np.log(share / (1 - share))
+        said = good @ (np.log(right[0] / (1 - right[0])) - odds) + bad @ (np.log((1 - right[1]) / right[1]) - odds)
+        p = 1 / (1 + np.exp(-np.clip(odds + said, -500, 500)))
+        if np.abs(p - before).max() < 1e-9:
+            break
+    return FittedRules(float(share), *right, {int(c): float(x) for c, x in zip(codes, p, strict=True)})
 
 
 def counts_column(text: str) -> Column:
@@ -142,20 +159,22 @@ def counts_column(text: str) -> Column:
 
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds NUMBERS and pattern."""
-    return docs.withColumn("_counts", counts_column(text)).select(*docs.columns, "_counts.*")
+    """Adds NUMBERS and pattern, in the place of columns of those names."""
+    added = [*NUMBERS, "pattern"]
+    counted = docs.select(*[c for c in docs.columns if c not in added], counts_column(text).alias("_counts"))
+    return counted.select(*counted.columns[:-1], *[F.col(f"_counts.{c}").alias(c) for c in added])
 
 
-def fit_rules(counted: DataFrame) -> dict[int, float]:
-    """Posteriors by pattern from a table that has ``pattern``; what reaches the driver is bounded by 3 ** rules."""
-    return fit_posteriors({r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
+def fit_rules(counted: DataFrame) -> FittedRules:
+    """From a table that has ``pattern``; what reaches the driver is bounded by 3 ** rules."""
+    return fit_patterns({r["pattern"]: r["n"] for r in counted.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
 
 
-def posterior(pattern: Column, fitted: dict[int, float]) -> Column:
+def posterior(pattern: Column, fitted: FittedRules) -> Column:
     """Probability that a document with this pattern is good."""
-    if not fitted:
-        return F.lit(0.0)
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(fitted.items()) for x in pair]), pattern)
+    if not fitted.posteriors:
+        return F.lit(fitted.share)
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(fitted.posteriors.items()) for x in pair]), pattern)
 
 
 def base_failed() -> Column:
@@ -164,9 +183,8 @@ def base_failed() -> Column:
 
 def keep_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, base: bool = False) -> DataFrame:
     """The documents whose posterior reaches the threshold (and that pass the base rules, if asked), with their own columns."""
-    counted = counts_column(text)
-    fitted = fit_rules(docs.select(counted["pattern"].alias("pattern")))
-    out = docs.withColumn("_counts", counted).where(posterior(F.col("_counts.pattern"), fitted) >= threshold)
+    counted = durable(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), counts_column(text).alias("_counts")))
+    out = counted.where(posterior(F.col("_counts.pattern"), fit_rules(counted.select("_counts.pattern"))) >= threshold)
     if base:
         out = out.where((F.col("_counts.n_words") >= 50) & (100 * F.col("_counts.n_repeat_words") <= 50 * F.col("_counts.n_words")))
-    return out.select(*docs.columns)
+    return out.select("_doc.*")

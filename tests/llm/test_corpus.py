@@ -510,7 +510,7 @@ def test_wrappers_accept_their_pages():
             elif x[0] == "text":
                 out.append(re.escape(f"[{x[2]}]") if x[2] is not None else r"\[[^\]]*\]")
             else:
-                out.append(f"(?:{pattern(x[1])})" + ("+" if x[0] == "rep" else "?"))
+                out.append(f"(?:{pattern(x[1])}){html_extract.MARK[x[0]]}")
         return "".join(out)
 
     def flat(page):
@@ -561,7 +561,28 @@ def test_base_counts_against_plain_code(spark):
     rows = queries.op10_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     assert np.mean([(r["posterior"] >= 0.5) == bool(r["quality"]) for r in rows]) > 0.97
     assert quality_rules.keep_quality(empty_docs(spark)).count() == 0
-    assert set(quality_rules.keep_quality(odd_docs(spark)).columns) == set(odd_docs(spark).columns)
+    assert quality_rules.keep_quality(odd_docs(spark)).columns == odd_docs(spark).columns
+    counted = quality_rules.with_counts(odd_docs(spark).withColumn("n_words", F.lit("x")))
+    assert counted.columns.count("n_words") == 1 and {r["n_words"] for r in counted.where("doc_id IN (4, 5)").collect()} == {8000}
+
+
+def test_accuracies_of_planted_rules_are_found():
+    rng = np.random.default_rng(5)
+    share, n = 0.7, 200_000
+    right = np.array([0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.95, 0.85])
+    good = rng.random(n) < share
+    votes = np.where(rng.random((n, 8)) < right, 1, -1) * np.where(good, 1, -1)[:, None]
+    votes[rng.random((n, 8)) < 0.4] = 0
+    fitted = quality_rules.fit_patterns(dict(collections.Counter(quality_rules.pattern_codes(votes).tolist())))
+    assert fitted.share == pytest.approx(share, abs=0.03)
+    for k, name in enumerate(quality_rules.RULES):
+        means_good, means_bad = good[votes[:, k] == 1].mean(), 1 - good[votes[:, k] == -1].mean()
+        assert fitted.accuracies()[name] == (pytest.approx(means_good, abs=0.05), pytest.approx(means_bad, abs=0.05))
+    kept = np.array([fitted.posteriors[int(c)] for c in quality_rules.pattern_codes(votes)]) >= 0.5
+    assert (kept == good).mean() > 0.95
+    # The same beliefs for a corpus of any size: copies of it change nothing but their weight.
+    twice = quality_rules.fit_patterns({c: 50 * k for c, k in collections.Counter(quality_rules.pattern_codes(votes).tolist()).items()})
+    assert twice.share == pytest.approx(fitted.share, abs=0.01)
 
 
 # ---- all stages
