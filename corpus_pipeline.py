@@ -1,4 +1,14 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read again by the next.
+
+Edge cases, as the operators define them: documents of null or empty text, or without a letter, go at the first stage;
+of equal rows and near copies the smallest doc_id stays; a document left without a word by the fourth stage goes; rows without a
+doc_id pass the first four stages and are packed; null lang, source and n_chars pass through; extra columns pass through all stages
+but the last; an empty table gives an empty result.
+
+A stage's own tables in the shared folder are deleted when the next stage begins, which reads what that stage has returned and
+not those.
+"""
+import functools
 import uuid
 
 import public_tokenizers
@@ -6,29 +16,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import language, near_dup, packing, quality_rules, substring_dedup
-from evigraph.llm.common import shared_dir, table
+from evigraph.llm.common import recorded, remove, shared_dir, table
+
+
+_left: list[str] = []
+
+
+def stage(function):
+    """A stage that begins by deleting what the stage before it has left."""
+
+    @functools.wraps(function)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)
+        _left.clear()
+        with recorded() as paths:
+            out = function(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return staged
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach; those that its models reject go."""
     return language.keep_languages(docs, language.fit_languages(docs))
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are good with a posterior probability of a half at least."""
     return quality_rules.keep_quality(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each class of near-duplicates."""
     return near_dup.keep_one_of_each(docs)
 
 
+@stage
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one holds."""
     return substring_dedup.drop_passages(docs, substring_dedup.repeated_passages(docs))
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,048 tokens and their places in as few sequences as minimum bin slack finds."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -43,9 +76,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, function in STAGES:
         path = f"{shared_dir(spark)}/evigraph/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        function(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs.select(*[F.col(c) for c in docs.columns])
 

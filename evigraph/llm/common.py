@@ -1,7 +1,8 @@
 """Helpers that several corpus operators share."""
+import contextlib
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_record: list[list[str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigraph/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for paths in _record:
+        paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``durable`` writes meanwhile."""
+    paths: list[str] = []
+    _record.append(paths)
+    try:
+        yield paths
+    finally:
+        _record.remove(paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop(path), True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` from which all that follows has been written."""
+    for table_ in tables:
+        remove(table_.sparkSession, [table_._written_to])
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

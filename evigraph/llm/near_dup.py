@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded_batches, durable, gram_hashes, in_parts, mix64, word_hashes
+from evigraph.llm.common import bounded_batches, discard, durable, gram_hashes, in_parts, mix64, word_hashes
 from evigraph.operators.components import connected_components
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -340,17 +340,20 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS
     open_ = mixed(buckets.where("size > 2").drop("low", "low_n"), classes)
     sketched = open_.join(signed.select(F.col("doc_id").alias("doc"), "sketch").dropDuplicates(["doc"]), "doc")
     best = durable(partners(sketched, threshold, bands, rows, PARTNERS).join(tested, ["a", "b"], "left_anti"))
+    done = [signed, buckets, texts, tested, open_, best]
     if not best.isEmpty():
         links = durable(links.unionByName(_verified(best, texts, threshold, size)))
         classes = labels(links)
-        tested = tested.unionByName(best)
         sketched = mixed(sketched, classes)
+        done.append(sketched)
     left = durable(partners(sketched, threshold, bands, rows, None))
     if not left.isEmpty():
         of = left.groupBy("bucket").agg(F.sum("n").alias("size"))
         found = durable(exact_links(left.join(of, "bucket").join(classes, "doc", "left").withColumn("label", F.coalesce("label", "doc")), texts, threshold, size))
         links = durable(links.unionByName(found))
         classes = labels(links)
+        done.append(found)
+    discard(*done, left)
     return copies, links, classes
 
 

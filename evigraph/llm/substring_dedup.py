@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import bounded_batches, durable, in_parts, mix64, word_hashes
+from evigraph.llm.common import bounded_batches, discard, durable, in_parts, mix64, word_hashes
 
 WORDS = 4
 MIN_WORDS, SIMILARITY = 50, 0.8
@@ -175,8 +175,8 @@ def matches_of(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(matched, MATCH)
 
 
-def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) -> DataFrame:
-    """(doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document.
+def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table that holds what was found, and from it (doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document.
 
     ``hot``: occurrences in a run beyond which a seed is frequent; by default so many that the rows of one seed in its part stay below ``PART_SEEDS``.
     """
@@ -191,7 +191,7 @@ def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) ->
     found = durable(matches_of(packed_seeds(docs, words, bits, parts, hot), parts))
     first = found.where("doc IS NULL").groupBy("seed").agg(F.min(F.struct("lead", "lead_pos")).alias("f"))
     often = found.where("lead IS NULL").select("doc", "pos", "seed").join(first, "seed").select("doc", "pos", F.col("f.lead").alias("lead"), F.col("f.lead_pos").alias("lead_pos"))
-    return found.where("seed IS NULL").drop("seed").unionByName(often.where("doc <> lead"))
+    return found, found.where("seed IS NULL").drop("seed").unionByName(often.where("doc <> lead"))
 
 
 def chain(pos: np.ndarray, lead: np.ndarray, weight: float = WORDS, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[np.ndarray]:
@@ -436,7 +436,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     first = keyed.groupBy("_key").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("_last")).where("source_id < _last").drop("_last")
     copies = durable(keyed.join(first, "_key").where("doc_id <> source_id").select("doc_id", "source_id").distinct())
     heads = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
-    linked = durable(chains(seed_matches(heads, words), words, min_words, similarity))
+    found, matches = seed_matches(heads, words)
+    linked = durable(chains(matches, words, min_words, similarity))
+    discard(found)
     passages = aligned_passages(linked, heads, min_words, similarity)
     size = F.size(F.split(F.rtrim(F.ltrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " "))
     whole = texts.join(copies, "doc_id").select("doc_id", F.lit(0).alias("start_word"), size.alias("end_word"), "source_id", F.lit(0).alias("source_start"), F.lit(1.0).alias("similarity")).where(F.col("end_word") >= min_words)

@@ -121,7 +121,7 @@ def test_seeds_meet_their_first_occurrence(spark):
                 want.add((i, k, *lead))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (None, 2, 0):  # seeds of every frequency by either way
-        got = [tuple(r) for r in substring_dedup.seed_matches(docs.repartition(3), hot=hot).select("doc", "pos", "lead", "lead_pos").collect()]
+        got = [tuple(r) for r in substring_dedup.seed_matches(docs.repartition(3), hot=hot)[1].select("doc", "pos", "lead", "lead_pos").collect()]
         assert len(got) == len(set(got)) and set(got) == want
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
     docs_, pos = np.random.default_rng(2).integers(-5, 2**62, 500), np.arange(500, dtype=np.int64)
