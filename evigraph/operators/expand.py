@@ -16,9 +16,12 @@ def expand(nodes: DataFrame, edges: DataFrame, registry: Registry, include_archi
     e = e.join(F.broadcast(registry.relations), "rel", "left").withColumn("inverse", F.coalesce("inverse", F.concat(F.lit("inverse of "), "rel")))
     tail = ["edge_id", "rel", "background", "conf", "status"]
     e = e.withColumnRenamed("id", "edge_id")
-    out = e.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.col("rel").alias("label"), F.lit("out").alias("direction"), *tail)
-    into = e.where("src <> dst or not coalesce(symmetric, false)").select(F.col("dst").alias("id"), F.col("src").alias("other"), F.when(F.coalesce("symmetric", F.lit(False)), F.col("rel")).otherwise(F.col("inverse")).alias("label"), F.lit("in").alias("direction"), *tail)
-    both = out.unionByName(into)
+    symmetric = F.coalesce("symmetric", F.lit(False))
+    end = lambda a, b, label, direction: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), label.alias("label"), F.lit(direction).alias("direction"))
+    out, into = end("src", "dst", F.col("rel"), "out"), end("dst", "src", F.when(symmetric, F.col("rel")).otherwise(F.col("inverse")), "in")
+    # One scan of the edges gives both readings.
+    ends = F.when((F.col("src") == F.col("dst")) & symmetric, F.array(out)).otherwise(F.array(out, into))
+    both = e.select(F.explode(ends).alias("_e"), *tail).select("_e.*", *tail)
     if include_archived:
         return both
     gone = nodes.where("status = 'archived'").select(F.col("id").alias("other"))

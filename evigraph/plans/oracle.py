@@ -1,4 +1,5 @@
 """DuckDB SQL of the graph queries, over the same Parquet tables."""
+from evigraph.sources.texts import CREDENTIALS
 
 BASE = """WITH RECURSIVE raw AS (
   SELECT CAST(r_regionkey AS BIGINT) AS k, 'region' AS kind, r_name AS name, 'confirmed' AS status, 'self' AS ns FROM region
@@ -145,7 +146,7 @@ SQL = {
       found AS (SELECT x.id AS a, y.id AS b, CASE WHEN x.kind = y.kind THEN 1.0 ELSE 0.7 END::DOUBLE AS score, 'name' AS why FROM l x JOIN l y ON x.key = y.key AND x.ns = 'a' AND y.ns = 'b'
         UNION ALL SELECT x.id, y.id, 0.5::DOUBLE, 'source' FROM l x JOIN c p ON p.record_id = x.id JOIN c q ON q.src = p.src JOIN l y ON y.id = q.record_id AND x.kind = y.kind WHERE x.ns = 'a' AND y.ns = 'b')
       SELECT a, b, max(score) AS score, arg_max(why, score) AS why FROM found GROUP BY a, b""",
-    "vocabulary": "SELECT word, count(*) AS n FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', id, name)), '([a-z]{3,})', 1))) AS word FROM nodes WHERE status <> 'archived') GROUP BY word",
+    "vocabulary": "SELECT word, count(*) AS n FROM (SELECT id, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', id, name)), '([a-z0-9]+)', 1))) AS word FROM nodes) WHERE length(word) >= 3 AND NOT regexp_full_match(word, '[0-9]+') GROUP BY word",
     "budget_prefix": "SELECT * FROM (SELECT CAST(conv_id AS VARCHAR) AS subject, turn AS rank, length(text) + 1 AS size, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 1200",
     "scope_overlaps": "SELECT c.id, d.id AS scope_id FROM nodes c JOIN decisions d ON c.kind = 'customer' AND (d.scope = c.id OR starts_with(d.scope, c.id || '#'))",
     "answer_fold": """, f AS (SELECT q, node, arg_max(struct_pack(seq := seq, status := status), (ts, seq)) AS l, arg_max(struct_pack(seq := seq, status := status), (ts, seq)) FILTER (status NOT IN ('skipped', 'later')) AS m, count(*) FILTER (status = 'skipped') AS skips, max(ts) AS asked FROM answers GROUP BY q, node)
@@ -185,9 +186,70 @@ SQL = {
     "failed_expectations": "SELECT id, 'status' AS field FROM nodes WHERE status <> 'confirmed'",
     "csv_lines": "SELECT c_custkey, 'row ' || c_custkey || ': ' || concat_ws(' | ', 'c_name=' || c_name, CASE WHEN c_acctbal > 0 THEN 'c_mktsegment=' || c_mktsegment END, 'c_nationkey=' || c_nationkey) AS line FROM customer",
     "find_text": "SELECT 'events' AS \"table\", CAST(event_id AS VARCHAR) AS id, 'event_type' AS path FROM events WHERE event_type = 'purchase'",
-    "canonical_lines": "SELECT '{\"id\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"region\":' || n_regionkey || '}' AS value FROM nation",
+    "canonical_lines": "SELECT '{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}' AS value FROM customer",
 }
 
+REVIEWED = """, reviewed AS (SELECT prop_id, n, CASE WHEN n > 7 THEN 'archive' WHEN n > 5 THEN 'update_node' ELSE op END AS op, kind, verdict, kind || ':' || (CAST(substr(prop_id, 6) AS BIGINT) * 10 + n) AS target FROM reviews),
+props AS (SELECT prop_id, count(*) AS n_ops, count(*) FILTER (verdict = 'draft') AS drafts, CAST(coalesce(sum(s), 0) AS BIGINT) AS closes, CAST(10 * coalesce(sum(s), 0) + 5 * count(*) AS BIGINT) AS priority
+  FROM reviewed r LEFT JOIN (SELECT id AS target, sum(severity) AS s FROM gaps GROUP BY 1) g USING (target) GROUP BY prop_id),
+waiting AS (SELECT count(*) FILTER (drafts > 0) AS pending, count(*) FILTER (drafts > 0) > 20 AS "over" FROM props)
+"""
+FULL_DECISIONS = ", told AS (SELECT d.*, 'which segment fits ' || lower(c_name) || '? ' || lower(c_mktsegment) AS hay, lower(c_mktsegment) AS chosen, c_custkey FROM decisions d JOIN customer ON d.id = 'dec-' || c_custkey)\n"
+
+SQL |= {
+    "split_namespaces": "SELECT ns || '/' || id AS id, ns, id AS local FROM nodes UNION ALL SELECT id, 'self', id FROM nodes",
+    "effective_kinds": "SELECT DISTINCT u.id, coalesce(n.kind, split_part(u.id, ':', 1)) AS kind FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) u LEFT JOIN nodes n ON n.id = u.id",
+    "record_marks": "SELECT id, concat_ws(' ', CASE WHEN trust = 'untrusted' THEN 'untrusted' END, CASE status WHEN 'proposed' THEN 'draft' WHEN 'archived' THEN 'archived' END) AS marks FROM nodes",
+    "kind_filter": "SELECT id FROM nodes WHERE status <> 'archived' AND kind IN ('part', 'supplier', 'region')",
+    "relation_filter": "SELECT id, other, label, edge_id FROM expanded WHERE label = 'contained_in' OR (rel = 'supplies' AND direction = 'out')",
+    "decision_filter": FULL_DECISIONS + "SELECT id, chosen FROM told WHERE status = 'active' AND contains(hay, 'segment') AND contains(hay, 'fits') AND contains(hay, 'building')",
+    "edge_counts": "SELECT count(*) AS edges, count(*) FILTER (status = 'proposed') AS drafts, count(*) FILTER (background) AS background, count(*) FILTER (status = 'archived') AS archived FROM edges",
+    "breakdown_relations": "SELECT rel, status, count(*) AS n FROM edges GROUP BY ALL",
+    "card_counts": "SELECT e.id, label, count(DISTINCT other) AS others FROM expanded e LEFT JOIN classes x ON x.id = e.id LEFT JOIN classes y ON y.id = e.other WHERE NOT background AND NOT (rel = 'same_as' AND coalesce(x.class_id = y.class_id, FALSE)) GROUP BY ALL",
+    "record_views": """, src AS (SELECT record_id AS id, string_agg(src, ',' ORDER BY src) AS sources FROM (SELECT DISTINCT record_id, src FROM prov) GROUP BY 1),
+      lacks AS (SELECT id, string_agg(gap, ',' ORDER BY gap) AS gaps FROM (SELECT DISTINCT id, gap FROM gaps) GROUP BY 1),
+      decs AS (SELECT split_part(scope, '#', 1) AS id, string_agg(id, ',' ORDER BY id) AS decisions FROM decisions GROUP BY 1)
+      SELECT n.id, name, status, coalesce(degree, 0) AS degree, coalesce(sources, '') AS sources, coalesce(gaps, '') AS gaps, coalesce(decisions, '') AS decisions
+      FROM nodes n LEFT JOIN degrees USING (id) LEFT JOIN src USING (id) LEFT JOIN lacks USING (id) LEFT JOIN decs USING (id) WHERE kind = 'customer'""",
+    "degree_page": "SELECT *, (SELECT count(*) FROM degrees) AS total FROM degrees ORDER BY degree DESC, id LIMIT 50 OFFSET 100",
+    "history_page": "SELECT key, epoch_us(ts) AS at, value, (SELECT count(*) FROM points) AS total FROM points ORDER BY ts DESC, key LIMIT 20 OFFSET 10",
+    "newest_decisions": FULL_DECISIONS + "SELECT id, (1704067200 + c_custkey * 600) * 1000000 AS at, status, (SELECT count(*) FROM decisions) AS total FROM told ORDER BY c_custkey DESC LIMIT 100",
+    "next_questions": """, scored AS (SELECT g.id, gap, detail, round(30 + 100 * (1 - coalesce(c.coverage, 1)) + 20 * severity * log2(2 + coalesce(d.degree, 0)), 2) AS score FROM gaps g JOIN nodes n USING (id) LEFT JOIN degrees d USING (id)
+      LEFT JOIN coverage c ON c.dimension = CASE n.kind WHEN 'region' THEN 'geography' WHEN 'nation' THEN 'geography' WHEN 'customer' THEN 'market' WHEN 'order' THEN 'market' WHEN 'supplier' THEN 'supply' ELSE 'catalogue' END)
+      SELECT *, CAST(row_number() OVER (ORDER BY score DESC, gap, id, detail) AS INTEGER) AS place FROM scored ORDER BY place LIMIT 100""",
+    "topic_gaps": REVIEWED + """SELECT 'missing_dimension' AS gap, dimension AS detail, 9 AS severity FROM coverage WHERE coverage < 0.5
+      UNION ALL SELECT DISTINCT 'unbridged_import', ns, 6 FROM nodes WHERE ns NOT IN (SELECT unnest([s.ns, d.ns]) FROM edges e JOIN nodes s ON s.id = e.src JOIN nodes d ON d.id = e.dst WHERE rel = 'located_in' AND s.ns <> d.ns)
+      UNION ALL SELECT 'uncited_source', id, 3 FROM texts WHERE id NOT IN (SELECT src FROM prov) UNION ALL SELECT 'pending_backlog', CAST(pending AS VARCHAR), 2 FROM waiting WHERE pending > 0""",
+    "proposal_priorities": REVIEWED + "SELECT * FROM props",
+    "pending_page": REVIEWED + "SELECT prop_id, priority, (SELECT count(*) FROM props WHERE drafts > 0) AS total FROM props WHERE drafts > 0 ORDER BY priority DESC, prop_id LIMIT 50",
+    "backlog": REVIEWED + "SELECT * FROM waiting",
+    "destructive_ops": REVIEWED + "SELECT prop_id, n, op, target FROM reviewed WHERE op = 'archive' OR (op = 'update_node' AND target IN (SELECT id FROM nodes WHERE status = 'confirmed'))",
+    "undraftable_ops": REVIEWED + "SELECT prop_id, n, op FROM reviewed WHERE op = 'archive' AND verdict = 'draft'",
+    "same_content": ", content AS (SELECT prop_id, string_agg(n || op || kind, ',' ORDER BY n, op, kind) AS c FROM reviews WHERE n < 3 GROUP BY prop_id) SELECT prop_id, f AS same_as FROM (SELECT prop_id, min(prop_id) OVER (PARTITION BY c) AS f FROM content) WHERE prop_id <> f",
+    "log_union": "SELECT DISTINCT seq, q, node, status FROM answers WHERE seq % 3 <> 0 OR seq % 2 = 0",
+    "short_edge_ids": ", h AS (SELECT substr(id, 3, 12) AS id FROM edges), cut AS (SELECT id, l.n, substr(id, 1, l.n) AS p FROM h, (SELECT unnest([4, 6, 8, 10, 12]) AS n) l), alone AS (SELECT min(id) AS id, n FROM cut GROUP BY n, p HAVING count(*) = 1) SELECT h.id, substr(h.id, 1, CAST(coalesce(min(n), 12) AS BIGINT)) AS short FROM h LEFT JOIN alone USING (id) GROUP BY h.id",
+    "warnings": REVIEWED + "SELECT 'W01' AS code, count(*) AS n FROM gaps WHERE gap = 'missing_field' UNION ALL SELECT 'W02', count(*) FROM gaps WHERE gap = 'orphan' UNION ALL SELECT 'W04', count(*) FROM touch UNION ALL SELECT 'W05', count(*) FROM (" + SQL["stale_sources"] + ") UNION ALL SELECT 'W06', count(*) FROM waiting WHERE \"over\"",
+    "named_records": """, asked AS (SELECT DISTINCT upper(p_name) AS q FROM part UNION SELECT 'Alt-' || n_name FROM nation UNION SELECT CAST(s_suppkey AS VARCHAR) FROM supplier),
+      keys AS (SELECT id, 1 AS tier, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM nodes WHERE status <> 'archived' UNION ALL SELECT id, 2, trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) FROM nodes WHERE status <> 'archived' AND alias IS NOT NULL UNION ALL SELECT id, 3, split_part(id, ':', 2) FROM nodes WHERE status <> 'archived'),
+      hits AS (SELECT q, id, min(tier) AS tier FROM asked JOIN keys ON key = trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) GROUP BY ALL)
+      SELECT q, id, tier FROM (SELECT *, min(tier) OVER (PARTITION BY q) AS best FROM hits) WHERE tier = best""",
+    "text_measures": r"SELECT doc_id, CAST(ceil(length(t) / 4) AS BIGINT) AS tokens, CASE WHEN length(o) > 60 THEN rtrim(substr(o, 1, 57)) || '...' ELSE o END AS brief FROM (SELECT doc_id, translate(text, chr(13) || chr(9), '  ') AS t, regexp_replace(translate(text, chr(13) || chr(9), '  '), '\s*\n\s*', ' ', 'g') AS o FROM documents)",
+    "suggestions": f""", vocab AS ({SQL["vocabulary"]}), asked AS (SELECT DISTINCT substr(w, 1, 2) || substr(w, 4) AS q FROM (SELECT split_part(p_name, ' ', 1) AS w FROM part)),
+      near AS (SELECT q, word, n, CAST(damerau_levenshtein(lower(q), word) AS INTEGER) AS d FROM asked, vocab WHERE abs(length(q) - length(word)) <= 2)
+      SELECT q, word, d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, abs(length(q) - length(word)), n DESC, word) AS r FROM near WHERE d <= CASE WHEN length(q) <= 5 THEN 1 ELSE 2 END) WHERE r = 1""",
+    "secret_scan": r"""SELECT doc_id, CAST(line AS INTEGER) AS line, kind, substr(found, 1, 6) AS prefix FROM (SELECT doc_id, line, kind, unnest(regexp_extract_all(t, rule)) AS found FROM (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS line FROM documents), (VALUES RULES) r(kind, rule))""",
+}
+_fold_rows, _fold_states = SQL["answer_fold"].rsplit("SELECT q, node", 1)
+SQL["interview_progress"] = f"{_fold_rows}, folded AS (SELECT q, node{_fold_states}) SELECT q, count(*) FILTER (status IN ('answered', 'na')) AS answered, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'later') AS open, round(count(*) FILTER (status IN ('answered', 'na')) / count(*), 4) AS share FROM folded GROUP BY q"
+
+
+def _rules() -> str:
+    return ", ".join("('{}', '{}')".format(kind, rule.replace("'", "''")) for kind, rule in CREDENTIALS.items())
+
+
+SQL["secret_scan"] = SQL["secret_scan"].replace("RULES", _rules())
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: BASE + sql for name, sql in SQL.items()}

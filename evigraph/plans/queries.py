@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import changes, compose, expand, logs, needs, quality, resolve, search, traverse
+from evigraph.operators import answers, changes, compose, expand, logs, needs, quality, resolve, search, traverse
 from evigraph.plans import testgraph as T
 from evigraph.sources import texts
 
@@ -83,6 +83,29 @@ def _units(t: Tables) -> DataFrame:
     return c.select(F.col("conv_id").cast("string").alias("subject"), F.col("turn").alias("rank"), (F.length("text") + 1).alias("size"))
 
 
+def _reviewed(t: Tables) -> DataFrame:
+    """The reviewed operations with their target, the record of their own number."""
+    number = F.expr("cast(substring(prop_id, 6) as bigint) * 10 + n")
+    return t.reviews.select("prop_id", "n", F.when(F.col("n") > 7, "archive").when(F.col("n") > 5, "update_node").otherwise(F.col("op")).alias("op"), "kind", "verdict", F.concat("kind", F.lit(":"), number).alias("target"))
+
+
+def _bridges(t: Tables) -> DataFrame:
+    side = lambda end, ns: t.nodes.select(F.col("id").alias(end), F.col("ns").alias(ns))
+    return t.edges.where("rel = 'located_in'").join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a <> b").select("a", "b").distinct()
+
+
+def _fold(t: Tables) -> DataFrame:
+    return logs.answer_fold(t.answers)
+
+
+def _log_lines(t: Tables, keep: str) -> DataFrame:
+    return t.answers.where(keep).select("seq", "q", "node", "status")
+
+
+def _customers(t: Tables) -> DataFrame:
+    return t.nodes.where("kind = 'customer'")
+
+
 def _names(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.col("p_name").alias("name"))
 
@@ -128,8 +151,8 @@ QUERIES = {
     # search
     "search_tiers": lambda t: search.search(SEARCHES, search.searchable(t.nodes, t.registry)),
     "vocabulary": lambda t: search.vocabulary(t.nodes),
-    "suggestions": lambda t: search.suggestions(t.raw("nation").select(F.concat(F.substring("n_name", 1, 2), F.substring("n_name", 4, 20)).alias("q")), search.vocabulary(t.nodes)),
-    "phrase_lines": lambda t: search.phrase_lines(t.raw("events").select(F.col("event_type").alias("id"), F.col("event_type").alias("phrase")).distinct().unionByName(t.spark.createDataFrame([("w1", "the"), ("w2", "de la")], "id string, phrase string")), t.texts.withColumnRenamed("id", "src")),
+    "suggestions": lambda t: search.suggestions(t.raw("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct().select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 60)).alias("q")), search.vocabulary(t.nodes)),
+    "phrase_lines": lambda t: search.phrase_lines(t.nodes.where("status <> 'archived'").select("id", "name", "aliases").select("id", F.explode(F.array_append("aliases", F.col("name"))).alias("phrase")).unionByName(t.spark.createDataFrame([("w1", "the"), ("w2", "de la")], "id string, phrase string")), t.texts.withColumnRenamed("id", "src")),
     "budget_prefix": lambda t: search.within_budget(_units(t), 1200),
     "scope_overlaps": lambda t: search.scope_overlaps(t.nodes.where("kind = 'customer'").select("id"), t.decisions.select(F.col("id").alias("scope_id"), F.explode("scope").alias("scope"))),
     # logs
@@ -165,6 +188,34 @@ QUERIES = {
     "sound_proposals": lambda t: changes.sound_proposals(_ops(t), changes.op_problems(_ops(t), t.nodes)).groupBy("prop_id").agg(F.count("*").alias("n")),
     "verdict_states": lambda t: changes.verdict_state(t.reviews).groupBy("kind", "status", "trust").agg(F.count("*").alias("n")),
     "failed_expectations": lambda t: changes.failed_expectations(t.nodes.select("id", F.lit("status").alias("field"), F.lit("confirmed").alias("want")), t.nodes),
+    # answers and review
+    "split_namespaces": lambda t: answers.split_namespace(t.nodes.select(F.concat("ns", F.lit("/"), "id").alias("id")).unionByName(t.nodes.select("id"))),
+    "effective_kinds": lambda t: answers.effective_kind(t.edges.select(F.col("dst").alias("id")).unionByName(t.edges.select(F.col("src").alias("id"))), t.nodes),
+    "record_marks": lambda t: answers.marks(t.nodes),
+    "kind_filter": lambda t: answers.of_kinds(t.nodes, ["Parts", "supplier", "regions"], t.registry).select("id"),
+    "relation_filter": lambda t: answers.of_relations(t.expanded, ["contained_in", "supplies"]).select("id", "other", "label", "edge_id"),
+    "decision_filter": lambda t: answers.decisions_about(t.decisions, ["segment", "fits", "building"]).select("id", "chosen"),
+    "edge_counts": lambda t: t.edges.agg(F.count("*").alias("edges"), F.count_if(F.col("status") == "proposed").alias("drafts"), F.count_if("background").alias("background"), F.count_if(F.col("status") == "archived").alias("archived")),
+    "breakdown_relations": lambda t: t.edges.groupBy("rel", "status").agg(F.count("*").alias("n")),
+    "card_counts": lambda t: answers.card_counts(t.expanded, t.classes),
+    "record_views": lambda t: answers.record_views(_customers(t), t.degrees, t.prov, t.gaps, search.scope_overlaps(_customers(t).select("id"), t.decisions.select(F.col("id").alias("scope_id"), F.explode("scope").alias("scope")))),
+    "degree_page": lambda t: answers.page(t.degrees, [F.desc("degree"), F.col("id")], 50, 100),
+    "history_page": lambda t: answers.page(_points(t).select("key", _epoch("at").alias("at"), "value"), [F.desc("at"), F.col("key")], 20, 10),
+    "newest_decisions": lambda t: answers.page(t.decisions.select("id", F.unix_micros("at").alias("at"), "status"), [F.desc("at"), F.desc("id")], 100, 0),
+    "interview_progress": lambda t: answers.progress(_fold(t)),
+    "next_questions": lambda t: answers.next_questions(t.gaps, t.nodes, t.degrees, _coverage(t), t.registry),
+    "topic_gaps": lambda t: answers.topic_gaps(_coverage(t), t.texts, t.prov, t.nodes, _bridges(t), answers.backlog(answers.proposals(_reviewed(t), t.gaps))),
+    "proposal_priorities": lambda t: answers.proposals(_reviewed(t), t.gaps),
+    "pending_page": lambda t: answers.page(answers.proposals(_reviewed(t), t.gaps).where("drafts > 0").select("prop_id", "priority"), [F.desc("priority"), F.col("prop_id")], 50, 0),
+    "backlog": lambda t: answers.backlog(answers.proposals(_reviewed(t), t.gaps)),
+    "destructive_ops": lambda t: answers.destructive(_reviewed(t), t.nodes).select("prop_id", "n", "op", "target"),
+    "undraftable_ops": lambda t: answers.undraftable(_reviewed(t)).select("prop_id", "n", "op"),
+    "same_content": lambda t: answers.same_content(t.reviews.where("n < 3")),
+    "log_union": lambda t: answers.log_union(_log_lines(t, "seq % 3 <> 0"), _log_lines(t, "seq % 2 = 0")),
+    "short_edge_ids": lambda t: answers.short_ids(t.edges.select(F.substring("id", 3, 12).alias("id")), 4),
+    "warnings": lambda t: answers.warnings(t.gaps, logs.stale_sources(t.store, F.timestamp_seconds(F.lit(1704067200 + 86400 * 30))), quality.archived_touch(t.nodes, t.edges), answers.backlog(answers.proposals(_reviewed(t), t.gaps))),
+    "named_records": lambda t: answers.named(t.raw("part").select(F.upper("p_name").alias("q")).unionByName(t.raw("nation").select(F.concat(F.lit("Alt-"), "n_name").alias("q"))).unionByName(t.raw("supplier").select(F.col("s_suppkey").cast("string").alias("q"))), t.nodes),
+    "text_measures": lambda t: answers.text_measures(t.raw("documents").select("doc_id", F.translate("text", "\r\t", "  ").alias("text")), "doc_id"),
     # texts
     "cue_lines": _cues,
     "csv_lines": lambda t: texts.csv_lines(t.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))), ["c_name", "c_mktsegment", "c_nationkey"], "c_custkey"),
@@ -173,7 +224,7 @@ QUERIES = {
     "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size")),
     "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
-    "canonical_lines": lambda t: texts.canonical_lines(t.raw("nation").select(F.col("n_nationkey").alias("id"), "n_name", F.col("n_regionkey").alias("region"))),
+    "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),
 }
 
 

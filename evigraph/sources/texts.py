@@ -1,4 +1,5 @@
 """Text sources: extraction by format, chunks, redaction, secret scans, quarantined JSON lines, canonical lines."""
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -12,11 +13,38 @@ BLOCKS = frozenset("p div section article header footer nav aside main ul ol li
 SKIPPED = frozenset("script style svg template noscript math head".split())
 
 
+def _no_repeats(pairs: list[tuple]) -> dict:
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise ValueError("repeated key")
+    return dict(pairs)
+
+
+def _refused(name: str):
+    raise ValueError(name)
+
+
+def is_strict_object(line: str | None) -> bool:
+    """A JSON object without repeated keys, NaN or infinities."""
+    try:
+        return isinstance(json.loads(line or "", object_pairs_hook=_no_repeats, parse_constant=_refused), dict)
+    except (ValueError, RecursionError):
+        return False
+
+
+@F.pandas_udf(T.BooleanType())
+def strict_object(lines: pd.Series) -> pd.Series:
+    return lines.map(is_strict_object).astype("boolean")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, problems): lines that fit the schema, and (code, file, line) of those that cannot be read; none is dropped silently."""
+    """(rows, problems): lines that are objects of the schema, and (code, file, line) of those that cannot be read; none is dropped silently.
+
+    Blank lines are neither.  A line that is no object, repeats a key, holds NaN or does not fit the schema is a problem.
+    """
     full = T.StructType.fromDDL(schema).add("_bad", "string")
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.col("_metadata.file_path"))
-    return raw.where("_bad is null").drop("_bad", "_file"), raw.where("_bad is not null").select(F.lit("P01").alias("code"), F.col("_file").alias("file"), F.col("_bad").alias("line"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
+    read = lines.withColumn("r", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("ok", F.col("r").isNotNull() & F.col("r._bad").isNull() & strict_object("line"))
+    return read.where("ok").select("r.*").drop("_bad"), read.where("not ok").select(F.lit("P01").alias("code"), "file", "line")
 
 
 def canonical_lines(df: DataFrame, key: str = "id") -> DataFrame:
@@ -129,7 +157,7 @@ def chunks(df: DataFrame, key: str, text: str = "text", size: int = 1500) -> Dat
 #: Credentials are refused; personal data is masked.  Public formats.
 CREDENTIALS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "aws_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36,}\b", "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
-    "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "url_credentials": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", "credential": r"(?i)\b(?:password|passwd|secret|api[_-]?key|access[_-]?token)\s*[:=]\s*[^\s,;]{8,}",
+    "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}", "url_credentials": r"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]+@", "credential": r"""(?i)\b[A-Za-z0-9_.-]*(?:(?:password|passwd|pwd|secret)["']?\s*[:=]\s*["']?[^\s,;"']{8,}|(?:key|token)["']?\s*[:=]\s*["']?[A-Za-z0-9_./+=-]{16,})""",
 }
 PERSONAL = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "government_id": r"\b(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}\b", "phone": r"(?<![\w+])(?<!\d[ .-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![ .-]?\d)(?!\w)",
@@ -145,6 +173,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_card(digits: str) -> bool:
+    """Length by network prefix, and the Luhn sum."""
+    n = len(digits)
+    network = (digits[0] == "4" and n in (13, 16, 19)) or (re.match("5[1-5]|2[2-7]|6011|65|64[4-9]", digits) is not None and n == 16) or (digits[:2] in ("34", "37") and n == 15)
+    return network and luhn(digits)
+
+
 def redacted(text: str, policy: dict[str, str], most: int = 8) -> tuple[str | None, dict[str, int], list[str]]:
     """(clean text or None if refused, counts by kind, kinds refused).  Rules repeat until the text is stable."""
     refused = [kind for kind, rule in CREDENTIALS.items() if re.search(rule, text)]
@@ -152,7 +187,7 @@ def redacted(text: str, policy: dict[str, str], most: int = 8) -> tuple[str | No
 
     def card(m: re.Match) -> str:
         digits = re.sub(r"\D", "", m[0])
-        if not luhn(digits) or policy.get("payment_card", "redact") == "keep":
+        if not is_card(digits) or policy.get("payment_card", "redact") == "keep":
             return m[0]
         counts["payment_card"] = counts.get("payment_card", 0) + 1
         return "[redacted:payment_card]"
@@ -183,7 +218,7 @@ def redact(df: DataFrame, text: str = "text", policy: dict[str, str] | None = No
         for texts in batches:
             yield pd.DataFrame([redacted(t, rules) if t is not None else (None, {}, []) for t in texts], columns=["clean", "redactions", "refused"])
 
-    suspect = F.col(text).rlike(r"@|\d{2}|-----BEGIN|(?i)bearer|password|passwd|secret|key|token|gh[pousr]_|xox")
+    suspect = F.col(text).rlike(r"@|\d{2}|-----BEGIN|AKIA|ASIA|://|(?i)bearer|password|passwd|secret|key|token|gh[pousr]_|xox")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     flagged = df.withColumn("_r", run(F.when(suspect, F.col(text))))
     return flagged.select(*df.columns, F.when(suspect, F.col("_r.clean")).otherwise(F.col(text)).alias("clean"), F.when(suspect, F.col("_r.redactions")).otherwise(empty).alias("redactions"), F.when(suspect, F.col("_r.refused")).otherwise(F.array().cast("array<string>")).alias("refused"))
@@ -192,7 +227,11 @@ def redact(df: DataFrame, text: str = "text", policy: dict[str, str] | None = No
 def secret_scan(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line, kind, prefix): the line and first six characters of each credential; never more of it."""
     lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("line", "t")).select(key, (F.col("line") + 1).alias("line"), "t")
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all("t", F.lit(rule), F.lit(0)), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), F.substring(x, 1, 6).alias("prefix"))) for kind, rule in CREDENTIALS.items()]))
+
+    def found(kind: str, rule: str):
+        return F.transform(F.regexp_extract_all("t", F.lit(rule), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), F.substring(x, 1, 6).alias("prefix")))
+
+    hits = F.flatten(F.array(*[found(kind, rule) for kind, rule in CREDENTIALS.items()]))
     return lines.select(key, "line", F.explode(hits).alias("h")).select(key, "line", "h.kind", "h.prefix")
 
 
