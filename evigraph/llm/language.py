@@ -149,9 +149,13 @@ def _lookup(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarra
 @functools.cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Of each code point: does it stand in a word (``[^\\W\\d_]``), and is it a letter."""
-    chars = list(map(chr, range(0x110000)))
-    alpha = np.fromiter(map(str.isalpha, chars), bool, len(chars))
-    return alpha | (np.fromiter(map(str.isalnum, chars), bool, len(chars)) & ~np.fromiter(map(str.isdecimal, chars), bool, len(chars))), alpha
+    inside, alpha = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for low in range(0, 0x110000, 0x4000):  # in parts, as a million strings at once take 60 MB
+        chars = list(map(chr, range(low, low + 0x4000)))
+        own = slice(low, low + 0x4000)
+        alpha[own] = np.fromiter(map(str.isalpha, chars), bool, 0x4000)
+        inside[own] = alpha[own] | (np.fromiter(map(str.isalnum, chars), bool, 0x4000) & ~np.fromiter(map(str.isdecimal, chars), bool, 0x4000))
+    return inside, alpha
 
 
 class LanguageScorer:

@@ -48,7 +48,7 @@ BLOCK, PARTNERS = 1024, 2
 #: One in so many pairs at the threshold agrees in fewer components than step 2 asks for.
 MISSED = 1_000_000
 #: Shingles of the texts of a block of a large bucket, and of one matrix product.
-SHINGLES, COLUMNS = 200_000, 8192
+SHINGLES, COLUMNS = 200_000, 2048
 #: Words of the texts that are signed at once.
 BATCH_WORDS = 250_000
 KEY_BITS = 54
@@ -238,7 +238,7 @@ def overlaps(keys: np.ndarray, counts: np.ndarray, text: np.ndarray, n: int, som
     column, owner = (np.cumsum(often > 1) - 1)[column[shared]], owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
-    out = np.zeros((len(some), n))
+    out = np.zeros((len(some), n), np.float32)
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         own = slice(*np.searchsorted(column, [low, low + COLUMNS]))
         matrix = np.zeros((n, COLUMNS), np.float32)
@@ -258,10 +258,6 @@ def exact_links(rows: DataFrame, texts: DataFrame, threshold: float, size: int)
             n, (classes, often) = np.bincount(text, counts, len(group)), np.unique(label, return_counts=True)
             minor = np.flatnonzero(label != classes[often.argmax()])  # rows of the commonest class have no pair among them
             both = overlaps(keys, counts, text, len(group), minor)
-            alike = both / (n[minor][:, None] + n[None] - both)
-            fit = (alike >= threshold) & (label[minor][:, None] != label[None])
-            if key[1] != key[2]:
-                fit &= own[minor][:, None] != own[None]
             joined: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -269,12 +265,16 @@ def exact_links(rows: DataFrame, texts: DataFrame, threshold: float, size: int)
                     x = joined[x]
                 return x
 
-            for k, y in np.argwhere(fit):
-                x = minor[k]
-                p, q = root(int(label[x])), root(int(label[y]))
-                if p != q:
-                    joined[max(p, q)] = min(p, q)
-                    out.append((max(doc[x], doc[y]), min(doc[x], doc[y]), alike[k, y]))
+            for x, common in zip(minor, both, strict=True):
+                alike = common / (n[x] + n - common.astype(np.float64))
+                fit = (alike >= threshold) & (label[x] != label)
+                if key[1] != key[2]:
+                    fit &= own[x] != own
+                for y in np.flatnonzero(fit):
+                    p, q = root(int(label[x])), root(int(label[y]))
+                    if p != q:
+                        joined[max(p, q)] = min(p, q)
+                        out.append((max(doc[x], doc[y]), min(doc[x], doc[y]), float(alike[y])))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
     dealt = in_blocks(rows, SHINGLES).select("bucket", "x", "y", "doc", "label", "own")
