@@ -81,7 +81,10 @@ def dimension_coverage(nodes: DataFrame, registry: Registry, closed: list[str] =
 
 
 def richness(nodes: DataFrame, edges: DataFrame, gaps: DataFrame, prov: DataFrame, coverage: DataFrame, registry: Registry) -> DataFrame:
-    """One row: the five parts rounded to four places, the score (0 to 100) and its band.  A part without data is 1 where nothing is asked, else null."""
+    """One row: the six parts rounded to four places, the score (0 to 100) and its band.  A part without data is 1 where nothing is asked, else null.
+
+    Depth is 1 - 2^(-evidence / targets) over the sums of both; it scales every part but coverage, as coverage does, unless nothing has a target.
+    """
     active = nodes.where("status <> 'archived'")
     live = edges.where("status <> 'archived' and not background")
     asked_fields = active.join(F.broadcast(registry.expected_fields), "kind").agg(F.count("*").alias("fields"))
@@ -89,17 +92,19 @@ def richness(nodes: DataFrame, edges: DataFrame, gaps: DataFrame, prov: DataFram
     missing = gaps.agg(F.count_if(F.col("gap") == "missing_field").alias("no_field"), F.count_if(F.col("gap") == "missing_relation").alias("no_rel"), F.count_if(F.col("gap") == "orphan").alias("orphans"))
     cited = prov.groupBy("record_id").agg(F.least(F.lit(2), F.count_distinct("src")).alias("n"))
     ids = active.select(F.col("id").alias("record_id")).unionByName(live.select(F.col("id").alias("record_id")))
-    evidence = ids.join(cited, "record_id", "left").agg(F.avg(F.coalesce("n", F.lit(0)) / 2).alias("evidence"))
+    worth = F.coalesce("n", F.lit(0)) / 2
+    evidence = ids.join(cited, "record_id", "left").agg(F.avg(worth).alias("evidence"), F.sum(worth).alias("mass"))
     states = active.agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "confirmed").alias("yes"), F.count_if(F.col("status") == "proposed").alias("no"))
-    one = coverage.agg(F.avg("coverage").alias("coverage"))
+    one = coverage.agg(F.avg("coverage").alias("coverage"), F.sum("target").alias("targets"))
     for part in (asked_fields, asked_rels, missing, evidence, states):
         one = one.join(F.broadcast(part))  # single rows
     share = lambda lost, of: F.when(F.col(of) == 0, 1.0).otherwise(1 - F.col(lost) / F.col(of))
     parts = one.select(
         F.round("coverage", 4).alias("coverage"), F.round(share("no_field", "fields"), 4).alias("completeness"), F.round(share("no_rel", "rels") * share("orphans", "nodes"), 4).alias("connectivity"),
         F.round("evidence", 4).alias("evidence"), F.round(F.when(F.col("yes") + F.col("no") == 0, 1.0).otherwise(F.col("yes") / (F.col("yes") + F.col("no"))), 4).alias("confirmation"),
+        F.when(F.col("targets") > 0, F.round(1 - F.pow(F.lit(2.0), -F.coalesce("mass", F.lit(0.0)) / F.col("targets")), 4)).alias("depth"),
     )
-    scaled = [F.col(p) * w * (F.lit(1.0) if p == "coverage" else F.col("coverage")) for p, w in WEIGHTS.items()]
+    scaled = [F.col(p) * w * (F.lit(1.0) if p == "coverage" else F.col("coverage") * F.coalesce("depth", F.lit(1.0))) for p, w in WEIGHTS.items()]
     weight = [F.when(F.col(p).isNotNull(), w).otherwise(0) for p, w in WEIGHTS.items()]
     total, of = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in scaled]), reduce(lambda a, b: a + b, weight)
     score = S.half_up(F.round(100 * total / F.nullif(of, F.lit(0)), 6)).cast("long")

@@ -120,8 +120,9 @@ SQL = {
         round(1 - (SELECT count(*) FROM gaps WHERE gap = 'missing_field') / (SELECT count(*) FROM own JOIN wanted_fields USING (kind)), 4) AS completeness,
         round((1 - (SELECT count(*) FROM gaps WHERE gap = 'missing_relation') / (SELECT count(*) FROM own JOIN wanted_rels USING (kind))) * (1 - (SELECT count(*) FROM gaps WHERE gap = 'orphan') / (SELECT count(*) FROM own)), 4) AS connectivity,
         round((SELECT avg(least(2, coalesce(n, 0)) / 2) FROM (SELECT id FROM own UNION ALL SELECT id FROM edges WHERE status <> 'archived' AND NOT background) LEFT JOIN (SELECT record_id AS id, count(DISTINCT src) AS n FROM prov GROUP BY 1) USING (id)), 4) AS evidence,
-        round((SELECT count(*) FILTER (status = 'confirmed') / count(*) FILTER (status IN ('confirmed', 'proposed')) FROM own), 4) AS confirmation),
-      scored AS (SELECT *, CAST(floor(round(100 * (30 * coverage + (20 * completeness + 15 * connectivity + 20 * evidence + 15 * confirmation) * coverage) / 100, 6) + 0.5) AS BIGINT) AS score FROM parts)
+        round((SELECT count(*) FILTER (status = 'confirmed') / count(*) FILTER (status IN ('confirmed', 'proposed')) FROM own), 4) AS confirmation,
+        round(1 - pow(2, -(SELECT sum(least(2, coalesce(n, 0)) / 2) FROM (SELECT id FROM own UNION ALL SELECT id FROM edges WHERE status <> 'archived' AND NOT background) LEFT JOIN (SELECT record_id AS id, count(DISTINCT src) AS n FROM prov GROUP BY 1) USING (id)) / (SELECT sum(target) FROM dims)), 4) AS depth),
+      scored AS (SELECT *, CAST(floor(round(100 * (30 * coverage + (20 * completeness + 15 * connectivity + 20 * evidence + 15 * confirmation) * coverage * depth) / 100, 6) + 0.5) AS BIGINT) AS score FROM parts)
       SELECT *, CASE WHEN score < 20 THEN 'seed' WHEN score < 40 THEN 'sketch' WHEN score < 60 THEN 'working' WHEN score < 80 THEN 'rich' ELSE 'deep' END AS band FROM scored""",
     "calibration": "SELECT kind, count(*) AS n, round(avg((conf - o) ** 2), 6) AS brier, round(avg(conf), 6) AS mean_conf, round(avg(o), 6) AS mean_outcome, count(*) FILTER (o = 1) AS accepted FROM (SELECT kind, conf, CASE verdict WHEN 'reject' THEN 0.0 ELSE 1.0 END::DOUBLE AS o FROM reviews WHERE verdict IN ('accept', 'reject')) GROUP BY ROLLUP (kind)",
     "class_conflicts": "SELECT class_id, field, len(v) AS n_values, array_to_string(v, '|') AS values FROM (SELECT class_id, field, list_sort(list(DISTINCT value)) AS v FROM attrs JOIN classes USING (id) WHERE id IN (SELECT id FROM own) GROUP BY ALL) WHERE len(v) > 1",
@@ -240,8 +241,62 @@ SQL |= {
     "secret_scan": r"""SELECT doc_id, CAST(line AS INTEGER) AS line, kind, substr(found, 1, 6) AS prefix FROM (SELECT doc_id, line, kind, unnest(regexp_extract_all(t, rule)) AS found FROM (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS line FROM documents), (VALUES RULES) r(kind, rule))""",
 }
+CLAIMS = """, claims AS (
+  SELECT 'part:' || l_partkey AS src, 'order:' || l_orderkey AS dst, CASE WHEN l_quantity > 35 THEN 'archived' ELSE 'confirmed' END AS status, l_quantity > 35 AND l_linenumber = 1 AS with_node FROM lineitem WHERE l_linenumber <= 2),
+latest AS (SELECT o_custkey, max(o_orderkey) AS last FROM orders GROUP BY 1),
+alive AS (SELECT DISTINCT c.src, c.dst FROM claims c JOIN orders ON dst = 'order:' || o_orderkey WHERE c.status <> 'archived' AND o_orderstatus IN ('F', 'O')),
+premises AS (SELECT DISTINCT c.src AS id, c.dst AS premise FROM claims c JOIN orders ON dst = 'order:' || o_orderkey JOIN latest USING (o_custkey) WHERE o_orderstatus = 'P' AND (c.status <> 'archived' OR with_node) AND (c.src, 'order:' || last) NOT IN (SELECT src, dst FROM alive)),
+broken AS (SELECT e.id AS edge_id, u.id, u.other, CASE WHEN f.id IS NULL THEN 'absent' ELSE 'archived' END AS why FROM edges e, LATERAL (SELECT e.src AS id, e.dst AS other UNION ALL SELECT e.dst, e.src) u LEFT JOIN nodes f ON f.id = u.other
+  WHERE e.status <> 'archived' AND NOT e.background AND (f.id IS NULL OR f.status = 'archived') AND u.id IN (SELECT id FROM own)),
+drafted AS (SELECT DISTINCT x.id, x.other FROM expanded x JOIN edges e ON e.id = x.edge_id WHERE e.status = 'proposed' AND NOT x.background),
+notes AS (SELECT id, concat_ws(', ', string_agg(other, ', ' ORDER BY other) FILTER (r <= 3), CASE WHEN max(r) > 3 THEN '+' || (max(r) - 3) || ' more' END) AS note FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY other) AS r FROM drafted) GROUP BY id),
+stale AS (STALE),
+loads AS (SELECT *, 0 AS line FROM snapshot UNION ALL SELECT *, 1 FROM ours UNION ALL SELECT id, name, status, conf, 2 FROM theirs)
+""".replace("STALE", SQL["stale_sources"])
+_op_rows, _op_bad = SQL["op_problems"].split("SELECT * FROM (SELECT o.prop_id", 1)
+SQL |= {
+    "archived_premises": CLAIMS + "SELECT * FROM premises",
+    "broken_bridges": CLAIMS + "SELECT id, other, edge_id, why FROM broken",
+    "draft_links": CLAIMS + "SELECT * FROM notes",
+    "settled_conflicts": """, c AS (SELECT 'customer:' || c_custkey AS id, 'customer:' || CAST(c_custkey // 5 * 5 AS BIGINT) AS class_id FROM customer),
+      torn AS (SELECT class_id, field FROM attrs JOIN c USING (id) GROUP BY ALL HAVING count(DISTINCT value) > 1)
+      SELECT DISTINCT class_id, split_part(scope, '#attrs.', 2) AS field FROM decisions JOIN c ON c.id = split_part(scope, '#attrs.', 1) WHERE status = 'active' AND contains(scope, '#attrs.') AND (class_id, split_part(scope, '#attrs.', 2)) IN (SELECT class_id, field FROM torn)""",
+    "linked_gaps": CLAIMS + """, torn AS (SELECT class_id, field FROM attrs JOIN classes USING (id) WHERE id IN (SELECT id FROM own) GROUP BY ALL HAVING count(DISTINCT value) > 1), pair AS (SELECT 'customer:' || c_custkey AS a, 'customer:' || (c_custkey + 1) AS b FROM customer WHERE c_custkey % 50 = 0),
+      found AS (SELECT a AS id, 'contradiction' AS gap, 8 AS severity, b AS detail FROM pair UNION ALL SELECT b, 'contradiction', 8, a FROM pair UNION ALL SELECT id, 'conflict', 8, field FROM torn JOIN classes USING (class_id) UNION ALL SELECT id, 'archived_premise', 7, premise FROM premises
+        UNION ALL SELECT DISTINCT id, 'dangling_bridge', 5, other FROM broken WHERE why = 'absent' UNION ALL SELECT id, 'draft_link', 3, note FROM notes UNION ALL SELECT DISTINCT record_id, 'stale_source', 3, src FROM prov WHERE src IN (SELECT id FROM stale))
+      SELECT * FROM found WHERE id IN (SELECT id FROM own)""",
+    "first_records": CLAIMS + "SELECT x.id, x.line, CASE WHEN x.name = f.name AND x.status = f.status AND x.conf = f.conf THEN 'P05' ELSE 'P06' END AS code FROM loads x JOIN (SELECT id, min(line) AS first FROM loads GROUP BY 1) m USING (id) JOIN loads f ON f.id = x.id AND f.line = m.first WHERE x.line <> m.first",
+    "log_disorder": "SELECT seq FROM (SELECT seq, ts, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM answers) WHERE ts < m",
+    "missing_references": """, changes AS (SELECT 'chg-' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'prop-none' WHEN doc_id % 5 > 0 THEN 'prop-' || CAST(doc_id // 10 AS BIGINT) END AS proposal, unnest(['part:' || doc_id, 'order:' || doc_id]) AS record FROM labels)
+      SELECT DISTINCT id, proposal AS missing FROM changes WHERE proposal IS NOT NULL AND proposal NOT IN (SELECT prop_id FROM reviews) UNION ALL SELECT id, record FROM changes WHERE record NOT IN (SELECT id FROM nodes)""",
+    "narrowed_decisions": "SELECT 'dec-' || c_custkey AS id, 'dec-' || (c_custkey - 1) AS narrows FROM customer WHERE c_custkey % 10 = 2 AND 'dec-' || (c_custkey - 1) IN (SELECT id FROM decisions WHERE status = 'superseded')",
+    "pending_block": "SELECT count(*) AS pending, CAST(max(DATE '2024-06-01' - created) AS INTEGER) AS oldest_days, count(*) > 20 AS \"over\" FROM (SELECT DISTINCT prop_id, DATE '2024-01-01' + CAST(CAST(substr(prop_id, 6) AS INTEGER) % 90 AS INTEGER) AS created FROM reviews WHERE verdict = 'draft')",
+    "path_values": """, p(path) AS (VALUES ('attrs.brand'), ('attrs.segment'), ('name'), ('status'), ('summary'), ('gaps.x'))
+      SELECT n.id, path, CASE path WHEN 'name' THEN n.name WHEN 'status' THEN n.status WHEN 'summary' THEN n.summary ELSE a.value END AS value FROM nodes n CROSS JOIN p LEFT JOIN attrs a ON a.id = n.id AND 'attrs.' || a.field = path""",
+    "distinct_provenance": "SELECT record_id, CAST(min(ord) AS INTEGER) AS ord, src, loc, quote FROM prov GROUP BY record_id, src, loc, quote",
+    "refresh_tools": """, own_tools AS (SELECT 'src-' || substr(sha256(text), 1, 12) AS src, doc_id FROM documents), offered AS (SELECT src, 'tool:' || (doc_id % 9) AS tool, 1 AS place FROM own_tools WHERE doc_id % 4 = 0 UNION ALL SELECT src, 'tool:' || (doc_id % 5), 2 FROM own_tools WHERE doc_id % 3 = 0
+      UNION ALL SELECT src, 'tool:' || (CAST(substr(record_id, 10) AS BIGINT) % 6), 3 FROM prov WHERE starts_with(record_id, 'supplier:') AND src IN (SELECT src FROM own_tools)) SELECT src, tool, min(place) AS place FROM offered GROUP BY ALL""",
+    "recited_proposals": REVIEWED + """SELECT prop_id, n, target, CASE n % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'v3' ELSE 'v1' END AS pin, (CASE n % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, target) NOT IN (SELECT ns, id FROM nodes) AS stale FROM reviewed""",
+    "risk_findings": """, rated AS (SELECT 'order:' || l_orderkey AS id, l_returnflag AS dimension, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 0) AS impact, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 1) AS inherent, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 2) AS residual FROM lineitem GROUP BY ALL),
+      cover AS (SELECT 'order:' || l_orderkey AS id, bool_or(l_returnflag IN ('R', 'A')) AS some, bool_or(l_returnflag = 'R' AND l_linestatus = 'F') AS firm FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+      x AS (SELECT r.*, coalesce(some, FALSE) AS some, coalesce(firm, FALSE) AS firm FROM rated r LEFT JOIN cover USING (id))
+      SELECT id, dimension, 'unrated' AS finding FROM x WHERE impact IS NULL OR inherent IS NULL OR residual IS NULL UNION ALL SELECT id, dimension, 'inherent over impact' FROM x WHERE inherent > impact UNION ALL SELECT id, dimension, 'residual over inherent' FROM x WHERE residual > inherent
+      UNION ALL SELECT id, dimension, 'no control' FROM x WHERE residual < inherent AND NOT some UNION ALL SELECT id, dimension, 'no automated control' FROM x WHERE inherent - residual >= 2 AND NOT firm""",
+    "sound_proposals": f"{_op_rows}, bad AS (SELECT * FROM (SELECT o.prop_id{_op_bad}) SELECT prop_id, count(*) AS n FROM o WHERE prop_id NOT IN (SELECT prop_id FROM bad) GROUP BY 1",
+    "cue_lines": r"""SELECT conv_id, turn, string_agg('T00:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((i - 1) % 60 AS VARCHAR), 2, '0') || ' ' || said, chr(10) ORDER BY i) AS cue FROM (
+      SELECT conv_id, turn, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace('<v ' || role || '>' || line || '</v>', '<v(?:\.[^ >]*)? ([^>]+)>', '\1: ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS said
+      FROM (SELECT conv_id, turn, role, unnest(string_split_regex(text, '\r\n?|\n')) AS line, generate_subscripts(string_split_regex(text, '\r\n?|\n'), 1) AS i FROM conversations)) GROUP BY ALL""",
+    "apply_merges_edges": """, to_ AS (SELECT t.* FROM targets t JOIN nodes n ON n.id = t.keep WHERE n.status <> 'archived'),
+      x AS (SELECT e.*, coalesce(a.keep, e.src) AS s, coalesce(b.keep, e.dst) AS d, a.keep IS NOT NULL OR b.keep IS NOT NULL AS touched FROM edges e LEFT JOIN to_ a ON a.drop_ = e.src LEFT JOIN to_ b ON b.drop_ = e.dst),
+      moved AS (SELECT CASE WHEN rel = 'same_as' THEN least(s, d) ELSE s END AS src, rel, CASE WHEN rel = 'same_as' THEN greatest(s, d) ELSE d END AS dst, key, status, conf, background FROM x WHERE touched AND status <> 'archived' AND s <> d),
+      every AS (SELECT id, src, rel, dst, CASE WHEN touched THEN 'archived' ELSE status END AS status, conf FROM x UNION ALL SELECT 'e-' || substr(sha256(src || chr(31) || rel || chr(31) || dst || chr(31) || coalesce(key, '')), 1, 12), src, rel, dst, status, conf FROM moved),
+      best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY CASE status WHEN 'confirmed' THEN 0 WHEN 'proposed' THEN 1 ELSE 2 END, conf DESC) AS r FROM every)
+      SELECT rel, status, count(*) AS n, count(DISTINCT src) AS srcs, count(DISTINCT dst) AS dsts FROM best WHERE r = 1 GROUP BY ALL""",
+}
 _fold_rows, _fold_states = SQL["answer_fold"].rsplit("SELECT q, node", 1)
 SQL["interview_progress"] = f"{_fold_rows}, folded AS (SELECT q, node{_fold_states}) SELECT q, count(*) FILTER (status IN ('answered', 'na')) AS answered, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'later') AS open, round(count(*) FILTER (status IN ('answered', 'na')) / count(*), 4) AS share FROM folded GROUP BY q"
+_topic_rows, _topic_states = SQL["answer_fold"].replace("FROM answers", "FROM (SELECT * REPLACE ('topic' AS node) FROM answers)").rsplit("SELECT q, node", 1)
+SQL["closed_dimensions"] = f"{_topic_rows}, folded AS (SELECT q, node{_topic_states}) SELECT DISTINCT dimension FROM folded JOIN (VALUES ('q0', 'geography'), ('q1', 'market'), ('q2', 'supply'), ('q3', 'catalogue'), ('q4', 'market'), ('q5', 'supply'), ('q6', 'people')) d(q, dimension) USING (q) WHERE status = 'na'"
 
 
 def _rules() -> str:

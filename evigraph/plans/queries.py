@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import answers, changes, compose, expand, logs, needs, quality, resolve, search, traverse
+from evigraph.operators import answers, changes, compose, evidence, expand, logs, needs, quality, resolve, search, traverse
 from evigraph.plans import testgraph as T
 from evigraph.sources import texts
 
@@ -25,7 +25,8 @@ class Tables:
             "expanded": lambda: expand.expand(self.nodes, self.edges, self.registry), "classes": lambda: traverse.same_as_classes(self.edges), "degrees": lambda: expand.degree(self.expanded),
             "links": lambda: traverse.contracted(self.expanded, self.classes), "hubs": lambda: self.nodes.join(F.broadcast(self.registry.kinds.where("hub").select("kind")), "kind", "left_semi").select("id"),
             "texts": lambda: self.captured.select(S.source_id("text").alias("id"), "text").dropDuplicates(["id"]), "gaps": lambda: needs.node_gaps(self.nodes, self.expanded, self.classes, self.prov, self.registry),
-            "store": lambda: logs.source_store(self.captured),
+            "store": lambda: logs.source_store(self.captured), "claims": lambda: T.claims(self.spark, self.sf), "conflicts": lambda: needs.class_conflicts(self.nodes, self.classes),
+            "stale": lambda: logs.stale_sources(self.store, F.timestamp_seconds(F.lit(1704067200 + 86400 * 30))).select("id"), "premises": lambda: evidence.archived_premises(T.premises(self.spark, self.sf), self.claims),
         }[name]()
         setattr(self, name, value)
         return value
@@ -73,9 +74,11 @@ def _ops(t: Tables) -> DataFrame:
 
 
 def _cues(t: Tables) -> DataFrame:
+    """Each line of a turn as a cue of its own."""
     c = t.raw("conversations")
-    block = F.concat(F.lit("00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":05.000 --> 00:59:59.000\n<v "), "role", F.lit(">"), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("</v>"))
-    return c.select("conv_id", "turn", texts.cue_lines(F.concat(F.lit("WEBVTT\n\n"), block)).alias("cue"))
+    stamp = lambda i: F.concat(F.lit("00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(".000 --> 00:59:59.000\n<v "), F.col("role"), F.lit(">"))
+    blocks = F.transform(F.split("text", "\r\n?|\n"), lambda line, i: F.concat(stamp(i), line, F.lit("</v>")))
+    return c.select("conv_id", "turn", texts.cue_lines(F.concat(F.lit("WEBVTT\n\n"), F.array_join(blocks, "\n\n"))).alias("cue"))
 
 
 def _units(t: Tables) -> DataFrame:
@@ -106,6 +109,43 @@ def _customers(t: Tables) -> DataFrame:
     return t.nodes.where("kind = 'customer'")
 
 
+def _name_classes(t: Tables) -> DataFrame:
+    """Customers taken for one: each five in a row of keys."""
+    c = t.raw("customer")
+    return c.select(F.concat(F.lit("customer:"), "c_custkey").alias("id"), F.concat(F.lit("customer:"), F.floor(F.col("c_custkey") / 5) * 5).alias("class_id"))
+
+
+def _linked(t: Tables) -> DataFrame:
+    return evidence.linked_gaps(t.nodes, t.expanded, t.classes, t.prov, t.stale, t.conflicts, t.decisions, t.premises, evidence.broken_bridges(t.nodes, t.edges), t.claims)
+
+
+def _topic_fold(t: Tables) -> DataFrame:
+    """The interview log as answers about the topic as a whole."""
+    return logs.answer_fold(t.answers.withColumn("node", F.lit("topic")))
+
+
+def _loads(t: Tables) -> DataFrame:
+    """Records as three files hold them, in load order."""
+    rows = [_snapshot(t), _ours(t), _theirs(t)]
+    return T.union([df.withColumn("line", F.lit(k)) for k, df in enumerate(rows)])
+
+
+def _log_changes(t: Tables) -> DataFrame:
+    """Labels as changes: the proposal of their own number or one that was never made, and two records."""
+    number = F.col("doc_id")
+    return t.raw("labels").select(F.concat(F.lit("chg-"), number).alias("id"), F.when(number % 7 == 0, "prop-none").when(number % 5 > 0, F.concat(F.lit("prop-"), F.floor(number / 10))).alias("proposal"), F.array(F.concat(F.lit("part:"), number), F.concat(F.lit("order:"), number)).alias("ids"))
+
+
+def _created(t: Tables) -> DataFrame:
+    waiting = t.reviews.where("verdict = 'draft'").select("prop_id").distinct()
+    return waiting.withColumn("created", F.date_add(F.lit("2024-01-01").cast("date"), F.expr("cast(substring(prop_id, 6) as int) % 90")))
+
+
+def _tools(t: Tables) -> DataFrame:
+    own = t.captured.select(S.source_id("text").alias("id"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("tool:"), F.col("doc_id") % 9)).alias("refresh_with"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("tool:"), F.col("doc_id") % 5)).alias("via"))
+    return evidence.refresh_tools(own, t.prov, t.raw("supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.concat(F.lit("tool:"), F.col("s_suppkey") % 6).alias("tool")))
+
+
 def _names(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.col("p_name").alias("name"))
 
@@ -135,6 +175,23 @@ QUERIES = {
     "richness": lambda t: needs.richness(t.nodes, t.edges, t.gaps, t.prov, _coverage(t), t.registry),
     "calibration": lambda t: needs.calibration(t.reviews),
     "class_conflicts": lambda t: needs.class_conflicts(t.nodes, t.classes),
+    # what records rest on
+    "archived_premises": lambda t: t.premises,
+    "broken_bridges": lambda t: evidence.broken_bridges(t.nodes, t.edges),
+    "draft_links": lambda t: evidence.draft_links(t.expanded),
+    "settled_conflicts": lambda t: evidence.settled_conflicts(needs.class_conflicts(t.nodes, _name_classes(t)), _name_classes(t), t.decisions),
+    "linked_gaps": _linked,
+    "closed_dimensions": lambda t: evidence.closed_dimensions(_topic_fold(t), t.spark.createDataFrame([(f"q{k}", d) for k, d in enumerate(["geography", "market", "supply", "catalogue", "market", "supply", "people"])], "q string, dimension string")),
+    "first_records": lambda t: evidence.first_records(_loads(t)),
+    "log_disorder": lambda t: evidence.log_disorder(t.answers, block=1000),
+    "missing_references": lambda t: evidence.missing_references(_log_changes(t), t.reviews, t.nodes),
+    "narrowed_decisions": lambda t: evidence.narrowed_decisions(t.decisions.withColumn("narrows", F.col("supersedes"))),
+    "pending_block": lambda t: evidence.pending_block(_created(t), F.lit("2024-06-01").cast("date")),
+    "path_values": lambda t: evidence.path_values(t.nodes, t.nodes.select("id", F.explode(F.array(*[F.lit(p) for p in ("attrs.brand", "attrs.segment", "name", "status", "summary", "gaps.x")])).alias("path"))),
+    "distinct_provenance": lambda t: evidence.distinct_provenance(t.prov.unionByName(t.prov.withColumn("ord", F.col("ord") + 10))),
+    "refresh_tools": _tools,
+    "recited_proposals": lambda t: evidence.recited(_reviewed(t).select("prop_id", "n", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("n") % 3 + 1).alias("ns"), "target", F.lit("v1").alias("pin")), t.spark.createDataFrame([("a", "v2"), ("b", "v3")], "ns string, pin string"), t.nodes.select("ns", F.col("id").alias("target"))),
+    "risk_findings": lambda t: evidence.risk_findings(*T.risks(t.spark, t.sf)),
     # walks
     "same_as_classes": lambda t: t.classes,
     "confirmed_classes": lambda t: traverse.same_as_classes(t.edges, True),

@@ -128,5 +128,35 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, rel, dst, status, with_node: parts rest on the orders of their first lines, neighbouring customers contradict each other."""
+    t = reader(spark, sf_dir)
+    line = t("lineitem").where("l_linenumber <= 2")
+    rests = line.select(
+        F.concat(F.lit("part:"), "l_partkey").alias("src"), F.lit("rests_on").alias("rel"), F.concat(F.lit("order:"), "l_orderkey").alias("dst"),
+        F.when(F.col("l_quantity") > 35, "archived").otherwise("confirmed").alias("status"), ((F.col("l_quantity") > 35) & (F.col("l_linenumber") == 1)).alias("with_node"),
+    )
+    against = t("customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("customer:"), "c_custkey").alias("src"), F.lit("contradicts").alias("rel"), F.concat(F.lit("customer:"), F.col("c_custkey") + 1).alias("dst"), F.lit("confirmed").alias("status"), F.lit(False).alias("with_node"))
+    return rests.unionByName(against)
+
+
+def premises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, status, superseded_by: orders; an archived one is replaced by an order of the same customer, its latest."""
+    orders = reader(spark, sf_dir)("orders")
+    latest = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("_last"))
+    status = F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "proposed").otherwise("archived")
+    return orders.join(latest, "o_custkey").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), status.alias("status"), F.array(F.concat(F.lit("order:"), "_last")).alias("superseded_by"))
+
+
+def risks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ratings (id, dimension, measure, level) of orders by their lines, and the controls (id, state, automated) that mitigate them."""
+    line = reader(spark, sf_dir)("lineitem")
+    own = F.concat(F.lit("order:"), "l_orderkey").alias("id")
+    measure = F.element_at(F.array(F.lit("impact"), F.lit("inherent"), F.lit("residual")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    ratings = line.select(own, F.col("l_returnflag").alias("dimension"), measure.alias("measure"), (F.col("l_quantity").cast("long") % 5 + 1).alias("level"))
+    state = F.when(F.col("l_returnflag") == "R", "implemented").when(F.col("l_returnflag") == "A", "partial").otherwise("planned")
+    return ratings, line.where("l_linenumber = 1").select(own, state.alias("state"), (F.col("l_linestatus") == "F").alias("automated"))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir), sources(spark, sf_dir), registry(spark, KINDS, RELATIONS, FIELDS, EXPECTS, DIMENSIONS))
