@@ -125,6 +125,20 @@ def stem(words: pd.Series) -> pd.Series:
     return words.map(_stem, na_action="ignore")
 
 
+def stem_of(word) -> Column:
+    """``stem`` in built-in functions, for words of text."""
+    cut = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
+    ends = lambda *tails: word.rlike("(" + "|".join(tails) + ")$")
+    rest = F.when(ends("ing"), cut(3)).when(ends("ed"), cut(2))
+    plural = F.when((F.length(word) > 4) & ends("ies"), F.concat(cut(3), F.lit("y"))).when((F.length(word) > 4) & ends("sses", "shes", "ches", "xes", "zes"), cut(2)).when((F.length(word) > 3) & ends("s") & ~ends("ss", "us", "is"), cut(1))
+    return plural.when((F.length(rest) >= 3) & rest.rlike("[aeiouy]"), F.regexp_replace(rest, r"([^lsz])\1$", "$1")).otherwise(word)
+
+
+def word_stems(text) -> Column:
+    """Stems of the words of four letters or more of lower-case text."""
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.length(w) > 3), stem_of)
+
+
 def filled(value) -> Column:
     """Not null and not blank."""
     return F.coalesce(F.trim(value) != "", F.lit(False))

@@ -79,11 +79,22 @@ def progress(fold: DataFrame) -> DataFrame:
     return out.withColumn("share", F.round(F.col("answered") / F.col("_n"), 4)).drop("_n")
 
 
-def next_questions(gaps: DataFrame, nodes: DataFrame, degrees: DataFrame, coverage: DataFrame, registry: Registry, limit: int = 100) -> DataFrame:
-    """(id, gap, detail, score, place): one question for each gap; severe gaps of well linked records in thin dimensions come first."""
+def next_questions(gaps: DataFrame, nodes: DataFrame, degrees: DataFrame, coverage: DataFrame, registry: Registry, limit: int = 100, near: DataFrame | None = None, fold: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """(id, gap, detail, score, place): one question for each gap; severe gaps of well linked records in thin dimensions come first.
+
+    near (id): records near a goal weigh twice.  fold (q, node, skips, asked) with now: each skip takes 30, and what was asked in the last two days 300.
+    """
     dims = F.broadcast(registry.kinds.select("kind", "dimension").join(coverage.select("dimension", F.col("coverage").alias("_c")), "dimension", "left"))
     rows = gaps.join(nodes.select("id", "kind"), "id").join(degrees, "id", "left").join(dims, "kind", "left")
-    score = PRIORITY + PER_DIMENSION * (1 - F.coalesce("_c", F.lit(1.0))) + PER_SEVERITY * F.col("severity") * F.log2(2 + F.coalesce("degree", F.lit(0)))
+    weight, less = F.lit(1), F.lit(0)
+    if near is not None:
+        rows = rows.join(near.select("id", F.lit(2).alias("_near")).distinct(), "id", "left")
+        weight = F.coalesce("_near", F.lit(1))
+    if fold is not None:
+        asked = fold.where("q like 'q.gap.%'").select(F.col("node").alias("id"), F.expr("substring(q, 7)").alias("gap"), "skips", (F.unix_micros(now) - F.unix_micros("asked") <= 2 * 86_400_000_000).alias("_late"))
+        rows = rows.join(asked, ["id", "gap"], "left")
+        less = 30 * F.coalesce("skips", F.lit(0)) + F.when(F.col("_late"), 300).otherwise(0)
+    score = PRIORITY + PER_DIMENSION * (1 - F.coalesce("_c", F.lit(1.0))) + PER_SEVERITY * F.col("severity") * F.log2(2 + F.coalesce("degree", F.lit(0))) * weight - less
     best = rows.select("id", "gap", "detail", F.round(score, 2).alias("score")).orderBy(F.desc("score"), "gap", "id", "detail").limit(limit)
     # ``limit`` rows are left to number.
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "gap", "id", "detail")))

@@ -49,6 +49,16 @@ def node_gaps(nodes: DataFrame, expanded: DataFrame, classes: DataFrame, prov: D
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Gaps that an answer to their question settles; the others keep their own rules.
+ANSWER_SETTLES = ("missing_field", "missing_relation", "orphan", "thin", "low_confidence", "unconfirmed_hub", "archived_premise")
+
+
+def open_gaps(gaps: DataFrame, fold: DataFrame) -> DataFrame:
+    """Gaps whose question ``q.gap.<gap>`` was not answered (nor ``na``) for the record.  fold: see ``logs.answer_fold``."""
+    closed = fold.where(F.col("status").isin("answered", "na")).select(F.col("node").alias("id"), F.expr("substring(q, 7)").alias("gap")).where(F.col("gap").isin(*ANSWER_SETTLES)).distinct()
+    return gaps.join(closed, ["id", "gap"], "left_anti").select(gaps.columns)
+
+
 def ranked(gaps: DataFrame, degrees: DataFrame, limit: int | None = None) -> DataFrame:
     """Gaps with their place: severity, then degree, both falling, then gap, node and detail."""
     keyed = gaps.join(degrees, "id", "left").na.fill(0, ["degree"])

@@ -260,13 +260,13 @@ SQL |= {
     "draft_links": CLAIMS + "SELECT * FROM notes",
     "settled_conflicts": """, c AS (SELECT 'customer:' || c_custkey AS id, 'customer:' || CAST(c_custkey // 5 * 5 AS BIGINT) AS class_id FROM customer),
       torn AS (SELECT class_id, field FROM attrs JOIN c USING (id) GROUP BY ALL HAVING count(DISTINCT value) > 1)
-      SELECT DISTINCT class_id, split_part(scope, '#attrs.', 2) AS field FROM decisions JOIN c ON c.id = split_part(scope, '#attrs.', 1) WHERE status = 'active' AND contains(scope, '#attrs.') AND (class_id, split_part(scope, '#attrs.', 2)) IN (SELECT class_id, field FROM torn)""",
+      SELECT DISTINCT class_id, split_part(scope, '#attrs.', 2) AS field FROM decisions JOIN c ON c.id = split_part(scope, '#attrs.', 1) WHERE CAST(substr(decisions.id, 5) AS BIGINT) % 10 > 0 AND contains(scope, '#attrs.') AND (class_id, split_part(scope, '#attrs.', 2)) IN (SELECT class_id, field FROM torn)""",
     "linked_gaps": CLAIMS + """, torn AS (SELECT class_id, field FROM attrs JOIN classes USING (id) WHERE id IN (SELECT id FROM own) GROUP BY ALL HAVING count(DISTINCT value) > 1), pair AS (SELECT 'customer:' || c_custkey AS a, 'customer:' || (c_custkey + 1) AS b FROM customer WHERE c_custkey % 50 = 0),
       found AS (SELECT a AS id, 'contradiction' AS gap, 8 AS severity, b AS detail FROM pair UNION ALL SELECT b, 'contradiction', 8, a FROM pair UNION ALL SELECT id, 'conflict', 8, field FROM torn JOIN classes USING (class_id) UNION ALL SELECT id, 'archived_premise', 7, premise FROM premises
         UNION ALL SELECT DISTINCT id, 'dangling_bridge', 5, other FROM broken WHERE why = 'absent' UNION ALL SELECT id, 'draft_link', 3, note FROM notes UNION ALL SELECT DISTINCT record_id, 'stale_source', 3, src FROM prov WHERE src IN (SELECT id FROM stale))
       SELECT * FROM found WHERE id IN (SELECT id FROM own)""",
     "first_records": CLAIMS + "SELECT x.id, x.line, CASE WHEN x.name = f.name AND x.status = f.status AND x.conf = f.conf THEN 'P05' ELSE 'P06' END AS code FROM loads x JOIN (SELECT id, min(line) AS first FROM loads GROUP BY 1) m USING (id) JOIN loads f ON f.id = x.id AND f.line = m.first WHERE x.line <> m.first",
-    "log_disorder": "SELECT seq FROM (SELECT seq, ts, max(ts) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM answers) WHERE ts < m",
+    "log_disorder": "SELECT seq FROM (SELECT seq, t, max(t) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT seq, CASE WHEN seq % 11 = 0 THEN ts - INTERVAL 2 DAY ELSE ts END AS t FROM answers)) WHERE t < m",
     "missing_references": """, changes AS (SELECT 'chg-' || doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'prop-none' WHEN doc_id % 5 > 0 THEN 'prop-' || CAST(doc_id // 10 AS BIGINT) END AS proposal, unnest(['part:' || doc_id, 'order:' || doc_id]) AS record FROM labels)
       SELECT DISTINCT id, proposal AS missing FROM changes WHERE proposal IS NOT NULL AND proposal NOT IN (SELECT prop_id FROM reviews) UNION ALL SELECT id, record FROM changes WHERE record NOT IN (SELECT id FROM nodes)""",
     "narrowed_decisions": "SELECT 'dec-' || c_custkey AS id, 'dec-' || (c_custkey - 1) AS narrows FROM customer WHERE c_custkey % 10 = 2 AND 'dec-' || (c_custkey - 1) IN (SELECT id FROM decisions WHERE status = 'superseded')",
@@ -278,10 +278,10 @@ SQL |= {
       UNION ALL SELECT src, 'tool:' || (CAST(substr(record_id, 10) AS BIGINT) % 6), 3 FROM prov WHERE starts_with(record_id, 'supplier:') AND src IN (SELECT src FROM own_tools)) SELECT src, tool, min(place) AS place FROM offered GROUP BY ALL""",
     "recited_proposals": REVIEWED + """SELECT prop_id, n, target, CASE n % 3 WHEN 0 THEN 'v2' WHEN 1 THEN 'v3' ELSE 'v1' END AS pin, (CASE n % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END, target) NOT IN (SELECT ns, id FROM nodes) AS stale FROM reviewed""",
     "risk_findings": """, rated AS (SELECT 'order:' || l_orderkey AS id, l_returnflag AS dimension, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 0) AS impact, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 1) AS inherent, max(CAST(l_quantity AS BIGINT) % 5 + 1) FILTER (l_linenumber % 3 = 2) AS residual FROM lineitem GROUP BY ALL),
-      cover AS (SELECT 'order:' || l_orderkey AS id, bool_or(l_returnflag IN ('R', 'A')) AS some, bool_or(l_returnflag = 'R' AND l_linestatus = 'F') AS firm FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-      x AS (SELECT r.*, coalesce(some, FALSE) AS some, coalesce(firm, FALSE) AS firm FROM rated r LEFT JOIN cover USING (id))
+      cover AS (SELECT 'order:' || l_orderkey AS id, bool_or(l_returnflag IN ('R', 'A')) AS covered, bool_or(l_returnflag = 'R' AND l_linestatus = 'F') AS firm FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+      x AS (SELECT r.*, coalesce(covered, FALSE) AS covered, coalesce(firm, FALSE) AS firm FROM rated r LEFT JOIN cover USING (id))
       SELECT id, dimension, 'unrated' AS finding FROM x WHERE impact IS NULL OR inherent IS NULL OR residual IS NULL UNION ALL SELECT id, dimension, 'inherent over impact' FROM x WHERE inherent > impact UNION ALL SELECT id, dimension, 'residual over inherent' FROM x WHERE residual > inherent
-      UNION ALL SELECT id, dimension, 'no control' FROM x WHERE residual < inherent AND NOT some UNION ALL SELECT id, dimension, 'no automated control' FROM x WHERE inherent - residual >= 2 AND NOT firm""",
+      UNION ALL SELECT id, dimension, 'no control' FROM x WHERE residual < inherent AND NOT covered UNION ALL SELECT id, dimension, 'no automated control' FROM x WHERE inherent - residual >= 2 AND NOT firm""",
     "sound_proposals": f"{_op_rows}, bad AS (SELECT * FROM (SELECT o.prop_id{_op_bad}) SELECT prop_id, count(*) AS n FROM o WHERE prop_id NOT IN (SELECT prop_id FROM bad) GROUP BY 1",
     "cue_lines": r"""SELECT conv_id, turn, string_agg('T00:' || lpad(CAST(turn % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((i - 1) % 60 AS VARCHAR), 2, '0') || ' ' || said, chr(10) ORDER BY i) AS cue FROM (
       SELECT conv_id, turn, i, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace('<v ' || role || '>' || line || '</v>', '<v(?:\.[^ >]*)? ([^>]+)>', '\1: ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS said
@@ -298,6 +298,38 @@ SQL["interview_progress"] = f"{_fold_rows}, folded AS (SELECT q, node{_fold_stat
 _topic_rows, _topic_states = SQL["answer_fold"].replace("FROM answers", "FROM (SELECT * REPLACE ('topic' AS node) FROM answers)").rsplit("SELECT q, node", 1)
 SQL["closed_dimensions"] = f"{_topic_rows}, folded AS (SELECT q, node{_topic_states}) SELECT DISTINCT dimension FROM folded JOIN (VALUES ('q0', 'geography'), ('q1', 'market'), ('q2', 'supply'), ('q3', 'catalogue'), ('q4', 'market'), ('q5', 'supply'), ('q6', 'people')) d(q, dimension) USING (q) WHERE status = 'na'"
 
+_gap_rows, _gap_states = SQL["answer_fold"].replace("FROM answers", "FROM (SELECT 'customer:' || substr(node, 6) AS node, 'q.gap.' || ['single_source', 'low_confidence', 'thin', 'missing_field', 'missing_relation', 'orphan', 'draft'][CAST(substr(q, 2) AS INTEGER) + 1] AS q, status, seq, ts FROM answers)").rsplit("SELECT q, node", 1)
+GAP_FOLD = f"{_gap_rows}, gap_fold AS (SELECT q, node{_gap_states})"
+SQL["open_gaps"] = GAP_FOLD + " SELECT * FROM gaps g WHERE NOT EXISTS (SELECT 1 FROM gap_fold f WHERE f.node = g.id AND f.q = 'q.gap.' || g.gap AND f.status IN ('answered', 'na') AND g.gap IN ('missing_field', 'missing_relation', 'orphan', 'thin', 'low_confidence', 'unconfirmed_hub', 'archived_premise'))"
+SQL["paced_questions"] = GAP_FOLD + """, near AS (SELECT DISTINCT other AS id FROM expanded WHERE starts_with(id, 'supplier:')),
+  scored AS (SELECT g.id, gap, detail, round(30 + 100 * (1 - coalesce(c.coverage, 1)) + 20 * severity * log2(2 + coalesce(d.degree, 0)) * CASE WHEN e.id IS NULL THEN 1 ELSE 2 END - 30 * coalesce(f.skips, 0) - CASE WHEN epoch_us(TIMESTAMP '2024-01-20 00:00:00') - f.asked <= 172800000000 THEN 300 ELSE 0 END, 2) AS score
+    FROM gaps g JOIN nodes n USING (id) LEFT JOIN degrees d USING (id) LEFT JOIN near e USING (id) LEFT JOIN gap_fold f ON f.node = g.id AND f.q = 'q.gap.' || gap
+    LEFT JOIN coverage c ON c.dimension = CASE n.kind WHEN 'region' THEN 'geography' WHEN 'nation' THEN 'geography' WHEN 'customer' THEN 'market' WHEN 'order' THEN 'market' WHEN 'supplier' THEN 'supply' ELSE 'catalogue' END)
+  SELECT *, CAST(row_number() OVER (ORDER BY score DESC, gap, id, detail) AS INTEGER) AS place FROM scored ORDER BY place LIMIT 100"""
+SQL["extracted_files"] = """SELECT 'd/' || doc_id || CASE WHEN doc_id % 3 = 2 THEN '.md' ELSE '.TXT' END AS path, CASE WHEN doc_id % 3 = 2 THEN 'md' ELSE 'txt' END AS kind, 'L' AS locator, text, CASE WHEN text IS NULL THEN 'missing' END AS problem FROM documents
+  UNION ALL SELECT 'c/' || c_custkey || '.json', 'json', 'L', '{' || chr(10) || '  "name": "' || c_name || '",' || chr(10) || '  "at": [' || chr(10) || '    ' || c_nationkey || ',' || chr(10) || '    ' || c_custkey || '.50' || chr(10) || '  ],' || chr(10) || '  "none": {}' || chr(10) || '}', NULL FROM customer
+  UNION ALL SELECT 's/' || s_suppkey || '.csv', 'csv', 'L', 'header: key / col2 / key (2)' || chr(10) || 'row 1: key=' || s_suppkey || ' / key (2)=' || s_name, NULL FROM supplier
+  UNION ALL SELECT 'n/' || n_nationkey || '.txt', 'txt', 'L', NULL, 'binary' FROM nation"""
+
+
+def _stems(words: str) -> str:
+    """SQL of the stems of the words of four letters or more of a text."""
+    rest = "CASE WHEN w LIKE '%ing' THEN left(w, length(w) - 3) WHEN w LIKE '%ed' THEN left(w, length(w) - 2) END"
+    return f"""list_transform(list_filter(regexp_extract_all({words}, '[a-z0-9]+'), lambda w: length(w) > 3), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(sses|shes|ches|xes|zes)$') THEN left(w, length(w) - 2)
+      WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) WHEN length({rest}) >= 3 AND regexp_matches({rest}, '[aeiouy]') THEN CASE WHEN right({rest}, 1) = left(right({rest}, 2), 1) AND right({rest}, 1) NOT IN ('l', 's', 'z') THEN left({rest}, length({rest}) - 1) ELSE {rest} END ELSE w END)"""
+
+
+SQL["search_tiers"] = f""", asked(q, alt, tokens, stems) AS (VALUES ('customer#000000007', 'customer#000000007', ['customer#000000007'], ['customer#000000007']), ('spring OR autumn', 'spring', ['spring'], ['spring']), ('spring OR autumn', 'autumn', ['autumn'], ['autumn']), ('order 1', 'order 1', ['order', '1'], ['order', '1']),
+    ('part:12', 'part:12', ['part:12'], ['part:12']), ('machinery', 'machinery', ['machinery'], ['machinery']), ('alt europe', 'alt europe', ['alt', 'europe'], ['alt', 'europe']), ('regions', 'regions', ['regions'], ['region']), ('orders 77', 'orders 77', ['orders', '77'], ['order', '77']), ('meated spring', 'meated spring', ['meated', 'spring'], ['meat', 'spring'])),
+  r AS (SELECT *, {_stems('nid')} AS sid, {_stems('lname')} AS sname, {_stems('hay')} AS shay FROM (SELECT id, status, lower(id) AS nid, lower(name) AS lname, lower(concat_ws(' ', name, summary, coalesce(alias, ''))) AS hay, CASE kind WHEN 'customer' THEN 2 WHEN 'supplier' THEN 1 WHEN 'part' THEN 3 ELSE 0 END AS boost FROM nodes)),
+  c AS (SELECT r.*, a.*, range(1, len(tokens) + 1) AS ks, list_sum(list_transform(tokens, lambda t: (length(hay) - length(replace(hay, t, ''))) // length(t))) AS n, list_sum(list_transform(tokens, lambda t: greatest(1, (length(hay) - length(replace(hay, t, ''))) // length(t)))) AS m FROM r CROSS JOIN asked a),
+  l AS (SELECT *, CASE WHEN nid = alt THEN 1000 WHEN suffix(nid, ':' || alt) OR suffix(nid, '.' || alt) OR suffix(nid, '/' || alt) THEN 600 WHEN contains(nid, alt) THEN 400 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]))) = len(ks) THEN 300 WHEN contains(lname, alt) THEN 250
+      WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR contains(lname, tokens[k]))) = len(ks) THEN 150 WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]))) = len(ks) THEN 20 + least(30, n) ELSE 0 END AS lit,
+    CASE WHEN stems = tokens THEN 0 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_contains(sid, stems[k]))) = len(ks) THEN 290 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_contains(sid, stems[k]) OR contains(lname, tokens[k]) OR list_contains(sname, stems[k]))) = len(ks) THEN 140
+      WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]) OR list_contains(shay, stems[k]))) = len(ks) THEN 10 + least(30, m) ELSE 0 END AS st FROM c),
+  s AS (SELECT q, id, status, boost, max(CASE WHEN lit >= 290 THEN lit ELSE greatest(lit, st) END) AS s FROM l GROUP BY ALL)
+  SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
+
 
 def _rules() -> str:
     return ", ".join("('{}', '{}')".format(kind, rule.replace("'", "''")) for kind, rule in CREDENTIALS.items())

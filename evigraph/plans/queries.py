@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from evigraph.functions import scalars as S
 from evigraph.operators import answers, changes, compose, evidence, expand, logs, needs, quality, resolve, search, traverse
 from evigraph.plans import testgraph as T
-from evigraph.sources import texts
+from evigraph.sources import files, texts
 
-SEARCHES = ["customer#000000007", "spring OR autumn", "order 1", "part:12", "machinery", "alt europe"]
+SEARCHES = ["customer#000000007", "spring OR autumn", "order 1", "part:12", "machinery", "alt europe", "regions", "orders 77", "meated spring"]
 
 
 class Tables:
@@ -119,6 +119,28 @@ def _linked(t: Tables) -> DataFrame:
     return evidence.linked_gaps(t.nodes, t.expanded, t.classes, t.prov, t.stale, t.conflicts, t.decisions, t.premises, evidence.broken_bridges(t.nodes, t.edges), t.claims)
 
 
+#: Questions of the log, taken for questions about gaps.
+ASKED = ["single_source", "low_confidence", "thin", "missing_field", "missing_relation", "orphan", "draft"]
+
+
+def _gap_fold(t: Tables) -> DataFrame:
+    """The interview log as answers about customers' gaps."""
+    name = F.element_at(F.array(*[F.lit(g) for g in ASKED]), F.expr("cast(substring(q, 2) as int) + 1"))
+    return logs.answer_fold(t.answers.withColumns({"node": F.replace("node", F.lit("user:"), F.lit("customer:")), "q": F.concat(F.lit("q.gap."), name)}))
+
+
+def _files(t: Tables) -> DataFrame:
+    """Documents in three encodings, customers as JSON, suppliers as delimited text, nations as images."""
+    mark = lambda h: F.unhex(F.lit(h))
+    kind = F.col("doc_id") % 3
+    content = F.when(kind == 0, F.concat(mark("EFBBBF"), F.encode("text", "UTF-8"))).when(kind == 1, F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
+    docs = t.raw("documents").select(F.concat(F.lit("d/"), "doc_id", F.when(kind == 2, ".md").otherwise(".TXT")).alias("path"), content.alias("content"))
+    spelt = t.raw("customer").select(F.concat(F.lit("c/"), "c_custkey", F.lit(".json")).alias("path"), F.encode(F.concat(F.lit('{"name":"'), "c_name", F.lit('", "at":['), "c_nationkey", F.lit(","), "c_custkey", F.lit('.50],"none":{}}')), "UTF-8").alias("content"))
+    rows = t.raw("supplier").select(F.concat(F.lit("s/"), "s_suppkey", F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("key;;key\n"), "s_suppkey", F.lit(";;"), "s_name", F.lit("\n")), "UTF-8").alias("content"))
+    images = t.raw("nation").select(F.concat(F.lit("n/"), "n_nationkey", F.lit(".txt")).alias("path"), F.concat(mark("89504E47"), F.encode("n_name", "UTF-8")).alias("content"))
+    return T.union([docs, spelt, rows, images])
+
+
 def _topic_fold(t: Tables) -> DataFrame:
     """The interview log as answers about the topic as a whole."""
     return logs.answer_fold(t.answers.withColumn("node", F.lit("topic")))
@@ -179,11 +201,11 @@ QUERIES = {
     "archived_premises": lambda t: t.premises,
     "broken_bridges": lambda t: evidence.broken_bridges(t.nodes, t.edges),
     "draft_links": lambda t: evidence.draft_links(t.expanded),
-    "settled_conflicts": lambda t: evidence.settled_conflicts(needs.class_conflicts(t.nodes, _name_classes(t)), _name_classes(t), t.decisions),
+    "settled_conflicts": lambda t: evidence.settled_conflicts(needs.class_conflicts(t.nodes, _name_classes(t)), _name_classes(t), t.decisions.withColumn("status", F.when(F.col("supersedes").isNotNull(), "active").otherwise("superseded"))),
     "linked_gaps": _linked,
     "closed_dimensions": lambda t: evidence.closed_dimensions(_topic_fold(t), t.spark.createDataFrame([(f"q{k}", d) for k, d in enumerate(["geography", "market", "supply", "catalogue", "market", "supply", "people"])], "q string, dimension string")),
     "first_records": lambda t: evidence.first_records(_loads(t)),
-    "log_disorder": lambda t: evidence.log_disorder(t.answers, block=1000),
+    "log_disorder": lambda t: evidence.log_disorder(t.answers.withColumn("at", F.when(F.col("seq") % 11 == 0, F.col("at") - F.expr("interval 2 days")).otherwise(F.col("at"))), block=1000),
     "missing_references": lambda t: evidence.missing_references(_log_changes(t), t.reviews, t.nodes),
     "narrowed_decisions": lambda t: evidence.narrowed_decisions(t.decisions.withColumn("narrows", F.col("supersedes"))),
     "pending_block": lambda t: evidence.pending_block(_created(t), F.lit("2024-06-01").cast("date")),
@@ -192,6 +214,8 @@ QUERIES = {
     "refresh_tools": _tools,
     "recited_proposals": lambda t: evidence.recited(_reviewed(t).select("prop_id", "n", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.col("n") % 3 + 1).alias("ns"), "target", F.lit("v1").alias("pin")), t.spark.createDataFrame([("a", "v2"), ("b", "v3")], "ns string, pin string"), t.nodes.select("ns", F.col("id").alias("target"))),
     "risk_findings": lambda t: evidence.risk_findings(*T.risks(t.spark, t.sf)),
+    "open_gaps": lambda t: needs.open_gaps(t.gaps, _gap_fold(t)),
+    "paced_questions": lambda t: answers.next_questions(t.gaps, t.nodes, t.degrees, _coverage(t), t.registry, 100, t.expanded.where("id like 'supplier:%'").select(F.col("other").alias("id")), _gap_fold(t), F.lit("2024-01-20 00:00:00").cast("timestamp")),
     # walks
     "same_as_classes": lambda t: t.classes,
     "confirmed_classes": lambda t: traverse.same_as_classes(t.edges, True),
@@ -275,6 +299,7 @@ QUERIES = {
     "text_measures": lambda t: answers.text_measures(t.raw("documents").select("doc_id", F.translate("text", "\r\t", "  ").alias("text")), "doc_id"),
     # texts
     "cue_lines": _cues,
+    "extracted_files": lambda t: files.extracted(_files(t)),
     "csv_lines": lambda t: texts.csv_lines(t.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))), ["c_name", "c_mktsegment", "c_nationkey"], "c_custkey"),
     "find_text": lambda t: texts.find_text({"nodes": (t.nodes, "id", ["name", "summary"]), "events": (t.raw("events").selectExpr("event_id as id", "event_type"), "id", ["event_type"])}, "Purchase"),
     "html_text": lambda t: t.raw("pages").select("page_id", texts.html_text("html").alias("text")),
