@@ -303,7 +303,13 @@ def test_signature_agreement_is_weighted_jaccard():
 # ---- 6
 
 
-def test_top_k_against_brute_force(spark):
+def test_pivots_grow_within_a_broadcast():
+    assert [voronoi_knn.pivot_count(n, 64) for n in (0, 500, 10**6, 10**9, 10**12)] == [64, 64, 1000, 16_384, 16_384]
+    assert voronoi_knn.pivot_count(10**12, 4096) * 8 * 4096 <= voronoi_knn.PIVOT_BYTES
+
+
+@pytest.mark.parametrize("query_rows", [16_000, 2])
+def test_top_k_against_brute_force(spark, query_rows):
     rng = np.random.default_rng(6)
     vectors = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(450, 6)))]
     vectors += [(1000 + i, vectors[7][1]) for i in range(300)] + [(2000, None), (2001, [1.0, None] * 3), (2002, [float("nan")] * 6), (2003, []), (2100, [float("inf")] * 6), (None, vectors[0][1])]
@@ -312,13 +318,19 @@ def test_top_k_against_brute_force(spark):
     rows = {r["vec_id"]: np.array(r["v"]) for r in q.collect()}
     assert not rows.keys() & {2000, 2001, 2002, 2003, 2100}
     got = collections.defaultdict(list)
-    for r in voronoi_knn.top_k_by_inner_product(q, F.col("vec_id") % 100 == 0, max_pivots=8, block_rows=50).orderBy("query_id", "rank").collect():
+    for r in voronoi_knn.top_k_by_inner_product(q, F.col("vec_id") % 100 == 0, max_pivots=8, block_rows=50, query_rows=query_rows).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     for i in [i for i in rows if i % 100 == 0]:
         assert got[i] == sorted(((j, int(v @ rows[i])) for j, v in rows.items() if j != i), key=lambda x: (-x[1], x[0]))[:10]
     assert voronoi_knn.top_k_by_inner_product(q.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_refuses_products_that_could_wrap(spark):
+    q = spark.createDataFrame([(k, [1 << 40, 1], 2) for k in range(3)], "vec_id long, v array<long>, dim int")
+    with pytest.raises(Exception, match="63 bits"):
+        voronoi_knn.top_k_by_inner_product(q, F.col("vec_id") == 0).collect()
+
+
 # ---- 7
 
 
