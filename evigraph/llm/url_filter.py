@@ -55,12 +55,14 @@ class UrlTrie:
             for label in reversed(host.split(".")):
                 node = node["labels"].setdefault(label, {"labels": {}, "paths": None})
             if node["paths"] is None:
-                node["paths"] = {"segments": {}, "ends": {}}
+                node["paths"] = {"segments": {}, "ends": {}, "sizes": []}
             at = node["paths"]
             *whole, start = path.split("/")
             for segment in whole:
-                at = at["segments"].setdefault(segment, {"segments": {}, "ends": {}})
+                at = at["segments"].setdefault(segment, {"segments": {}, "ends": {}, "sizes": []})
             at["ends"][start] = (len(host) + len(path), host + path, verdict)
+            if len(start) not in at["sizes"]:
+                at["sizes"] = sorted([*at["sizes"], len(start)], reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         best = (-1, "", "")
@@ -73,9 +75,12 @@ class UrlTrie:
             for segment in segments:
                 if at is None:
                     break
-                for start, found in at["ends"].items():
-                    if found[0] >= best[0] and segment.startswith(start):
-                        best = found
+                # The longest end that the segment starts with, by look-up: one for each length of an end, however many rules end here.
+                for size in at["sizes"]:
+                    found = at["ends"].get(segment[:size]) if size <= len(segment) else None
+                    if found is not None:
+                        best = max(best, found, key=lambda rule: rule[0])
+                        break
                 at = at["segments"].get(segment)
         return best[1:] if best[0] >= 0 else None
 

@@ -303,6 +303,19 @@ def test_signature_agreement_is_weighted_jaccard():
 # ---- 6
 
 
+def test_trie_equals_a_scan_of_many_rules_in_one_folder():
+    rng = np.random.default_rng(1)
+    word = lambda most: "".join(rng.choice(list("ab"), rng.integers(0, most)))
+    rules = [(h, "/" + "/".join(word(4) for _ in range(rng.integers(1, 4))), ("allow", "block")[rng.integers(2)]) for h in ("x.org", "org") for _ in range(150)]
+    trie = url_filter.UrlTrie(rules)
+    plain = url_filter.unique_rules(rules)
+    for _ in range(500):
+        host, path = ("a.x.org", "x.org", "y.org", "zx.org")[rng.integers(4)], "/" + "/".join(word(6) for _ in range(3))
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in plain if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        got = trie.match(host, path)
+        assert got == (max(fits)[1:] if fits else None) or got in [f[1:] for f in fits if f[0] == max(fits)[0]]
+
+
 def test_pivots_grow_within_a_broadcast():
     assert [voronoi_knn.pivot_count(n, 64) for n in (0, 500, 10**6, 10**9, 10**12)] == [64, 64, 1000, 16_384, 16_384]
     assert voronoi_knn.pivot_count(10**12, 4096) * 8 * 4096 <= voronoi_knn.PIVOT_BYTES
