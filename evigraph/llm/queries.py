@@ -3,7 +3,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import factorization, html_extract, language, near_dup, packing, piece_sampling, quality_rules, substring_dedup, url_filter, voronoi_knn
+from evigraph.llm import (
+    factorization, html_extract, language, lexical_search, near_dup, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter, voronoi_knn,
+)
 from evigraph.llm.common import durable, table
 
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -92,9 +94,45 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), "posterior")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: A term; DuckDB's patterns have no escapes for code points below 0x20, hence the range from \x00.
+TERM = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+OP12_SQL = f"""
+WITH held AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS terms
+  FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row, doc_id, terms, len(terms) AS n FROM held WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM docs),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY ALL),
+asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS item, item_id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) AS term
+    FROM benchmark) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (
+  SELECT item, item_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN docs USING (row), total GROUP BY ALL),
+ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored JOIN docs USING (row) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 ALL = (
     op1_url_filter, op2_substring_dedup, op3_sentencepiece_sampling, op4_quality_classifier, op5_minhash_near_dup, op6_exact_top_k,
-    op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_quality_rules,
+    op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_quality_rules, op11_token_counts, op12_ranked_search,
 )
 
 
@@ -103,4 +141,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op6_exact_top_k": OP6_SQL}
+    return {"op1_url_filter": OP1_SQL, "op6_exact_top_k": OP6_SQL, "op12_ranked_search": OP12_SQL}
