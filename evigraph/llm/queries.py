@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import (
-    factorization, html_extract, language, lexical_search, near_dup, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter, voronoi_knn,
+    conversation_repair, factorization, html_extract, language, lexical_search, near_dup, packing, piece_sampling, quality_rules, substring_dedup, token_counts, url_filter, voronoi_knn,
 )
 from evigraph.llm.common import durable, table
 
@@ -130,9 +130,13 @@ SELECT * FROM ranked WHERE rank <= 10
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 ALL = (
     op1_url_filter, op2_substring_dedup, op3_sentencepiece_sampling, op4_quality_classifier, op5_minhash_near_dup, op6_exact_top_k,
-    op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_quality_rules, op11_token_counts, op12_ranked_search,
+    op7_best_fit_packing, op8_language_id, op9_html_extraction, op10_quality_rules, op11_token_counts, op12_ranked_search, op13_conversation_repair,
 )
 
 
