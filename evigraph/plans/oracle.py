@@ -187,6 +187,11 @@ SQL = {
     "failed_expectations": "SELECT id, 'status' AS field FROM nodes WHERE status <> 'confirmed'",
     "csv_lines": "SELECT c_custkey, 'row ' || c_custkey || ': ' || concat_ws(' | ', 'c_name=' || c_name, CASE WHEN c_acctbal > 0 THEN 'c_mktsegment=' || c_mktsegment END, 'c_nationkey=' || c_nationkey) AS line FROM customer",
     "find_text": "SELECT 'events' AS \"table\", CAST(event_id AS VARCHAR) AS id, 'event_type' AS path FROM events WHERE event_type = 'purchase'",
+    "redacted_notes": """, o AS (SELECT o_orderkey AS key, c_custkey AS k, c_name, r_name, c_nationkey % 3 = 2 AS hc, r_regionkey >= 3 AS hr, '[local record]' AS m
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+  SELECT key, 'Placed by ' || CASE WHEN hc THEN m ELSE c_name END || ' as ' || CASE WHEN hc THEN m ELSE 'self/customer:' || k END || ', not x/customer:' || k || '; see ' || CASE WHEN hc THEN m ELSE 'customer:' || k END
+    || '.txt, ' || CASE WHEN hc THEN m ELSE 'Customer-' || k END || ' and ' || CASE WHEN hc AND k % 4 = 0 THEN m WHEN hc THEN 'alt ' || m ELSE 'alt ' || c_name END || ', from ' || CASE WHEN hr THEN m ELSE r_name END
+    || ' or ' || CASE WHEN hr AND contains(r_name, ' ') THEN m ELSE lower(r_name) END AS clean FROM o""",
     "canonical_lines": "SELECT '{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}' AS value FROM customer",
 }
 

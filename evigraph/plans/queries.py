@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import answers, changes, compose, evidence, expand, logs, needs, quality, resolve, search, traverse
+from evigraph.operators import answers, changes, compose, evidence, expand, logs, needs, quality, redaction, resolve, search, traverse
 from evigraph.plans import testgraph as T
 from evigraph.sources import files, texts
 
@@ -168,6 +168,19 @@ def _tools(t: Tables) -> DataFrame:
     return evidence.refresh_tools(own, t.prov, t.raw("supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("id"), F.concat(F.lit("tool:"), F.col("s_suppkey") % 6).alias("tool")))
 
 
+def _order_notes(t: Tables) -> DataFrame:
+    """(key, text): a note on each order that names its customer and region in many ways."""
+    rows = t.raw("orders").join(t.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey").cast("string")
+    words = ["Placed by ", F.col("c_name"), " as self/customer:", k, ", not x/customer:", k, "; see customer:", k, ".txt, Customer-", k, " and alt ", F.col("c_name"), ", from ", F.col("r_name"), " or ", F.lower("r_name")]
+    return rows.select(F.col("o_orderkey").alias("key"), F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("text"))
+
+
+def _hidden(t: Tables) -> DataFrame:
+    """Customers of one namespace and two regions."""
+    return t.nodes.where("(kind = 'customer' and ns = 'b') or (kind = 'region' and k >= 3)").select("id")
+
+
 def _names(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.col("p_name").alias("name"))
 
@@ -306,6 +319,7 @@ QUERIES = {
     "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size")),
     "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
+    "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), redaction.patterns(t.nodes, _hidden(t)), ["x"]).select("key", "clean"),
     "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),
 }
 
