@@ -110,10 +110,32 @@ def topic_gaps(coverage: DataFrame, texts: DataFrame, prov: DataFrame, nodes: Da
     return thin.unionByName(alone).unionByName(uncited).unionByName(waiting)
 
 
+#: A merge closes a duplicate gap of this severity.
+DUPLICATE = 3
+
+
+def closed_gaps(ops: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(prop_id, n, id, gap, detail, severity): gaps that operations close.
+
+    A link closes both ends' orphan gap and their gap of this relation and direction; a change the missing fields that it sets and, with
+    any field or a summary, that a record is thin.  ops: (prop_id, n, op, target, rel, other, fields).
+    """
+    want = lambda id_, gap, detail: F.struct(id_.alias("id"), F.lit(gap).alias("gap"), detail.alias("want"))
+    none, linked = F.lit(None).cast("string"), F.col("op") == "add_edge"
+    ends = [want(F.col(end), gap, detail) for end, way in (("target", "out"), ("other", "in")) for gap, detail in (("orphan", none), ("missing_relation", F.concat_ws(" ", "rel", F.lit(way))))]
+    fields = F.filter(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.startswith(f, F.lit("attrs.")))
+    told = F.exists(F.coalesce("fields", F.array().cast("array<string>")), lambda f: F.startswith(f, F.lit("attrs.")) | (f == "summary"))
+    thin = F.when(told, F.array(want(F.col("target"), "thin", none))).otherwise(F.array().cast("array<struct<id:string,gap:string,want:string>>"))
+    changed = F.concat(F.transform(F.array_distinct(fields), lambda f: want(F.col("target"), "missing_field", F.substring(f, F.lit(7), F.length(f)))), thin)
+    wanted = ops.select("prop_id", "n", F.explode(F.when(linked, F.array(*ends)).when(F.col("op") == "update_node", changed)).alias("w")).select("prop_id", "n", "w.*")
+    return wanted.join(gaps, ["id", "gap"]).where(F.col("want").isNull() | (F.col("want") == F.col("detail"))).select("prop_id", "n", "id", "gap", "detail", "severity")
+
+
 def proposals(ops: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(prop_id, n_ops, drafts, closes, priority): priority is 10 for each severity of a gap of a target, and 5 an operation.  ops: (prop_id, n, target, verdict)."""
-    severity = gaps.groupBy(F.col("id").alias("target")).agg(F.sum("severity").alias("s"))
-    rows = ops.join(severity, "target", "left").groupBy("prop_id").agg(F.count("*").alias("n_ops"), F.count_if(F.col("verdict") == "draft").alias("drafts"), F.coalesce(F.sum("s"), F.lit(0)).alias("closes"))
+    """(prop_id, n_ops, drafts, closes, priority): priority is 10 for each severity of a gap that an operation closes, and 5 an operation.  ops: see ``closed_gaps``, with verdict."""
+    severity = closed_gaps(ops, gaps).groupBy("prop_id").agg(F.sum("severity").alias("_s"))
+    rows = ops.groupBy("prop_id").agg(F.count("*").alias("n_ops"), F.count_if(F.col("verdict") == "draft").alias("drafts"), F.count_if(F.col("op") == "merge").alias("_merges"))
+    rows = rows.join(severity, "prop_id", "left").withColumn("closes", F.coalesce("_s", F.lit(0)) + DUPLICATE * F.col("_merges")).drop("_s", "_merges")
     return rows.withColumn("priority", 10 * F.col("closes") + 5 * F.col("n_ops"))
 
 
@@ -134,8 +156,14 @@ def undraftable(ops: DataFrame) -> DataFrame:
 
 
 def same_content(ops: DataFrame) -> DataFrame:
-    """(prop_id, same_as): proposals of the content of an earlier one (smallest id).  ops: (prop_id, n, op, kind); a proposal's operations bound its list."""
-    keyed = ops.groupBy("prop_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("n", "op", "kind")))), 256).alias("key"))
+    """(prop_id, same_as): proposals of the content of an earlier one (smallest id): the same author, source and operations in order, each with its target and values.
+
+    ops: (prop_id, n, and what makes an operation); a proposal's operations bound its list.
+    """
+    told = [F.array_sort(F.map_entries(c)).alias(c) if kind.startswith("map") else F.col(c) for c, kind in sorted(ops.dtypes) if c not in ("prop_id", "n")]
+    one = ops.select("prop_id", "n", F.to_json(F.struct(*told), {"ignoreNullFields": "false"}).alias("_told"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("n", "_told"))), lambda x: x["_told"])
+    keyed = one.groupBy("prop_id").agg(F.sha2(F.array_join(in_order, "\n"), 256).alias("key"))
     first = keyed.groupBy("key").agg(F.min("prop_id").alias("same_as"))
     return keyed.join(first, "key").where("prop_id <> same_as").select("prop_id", "same_as")
 

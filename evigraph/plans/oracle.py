@@ -195,9 +195,18 @@ SQL = {
     "canonical_lines": "SELECT '{\"id\":' || c_custkey || ',\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '}' AS value FROM customer",
 }
 
-REVIEWED = """, reviewed AS (SELECT prop_id, n, CASE WHEN n > 7 THEN 'archive' WHEN n > 5 THEN 'update_node' ELSE op END AS op, kind, verdict, kind || ':' || (CAST(substr(prop_id, 6) AS BIGINT) * 10 + n) AS target FROM reviews),
-props AS (SELECT prop_id, count(*) AS n_ops, count(*) FILTER (verdict = 'draft') AS drafts, CAST(coalesce(sum(s), 0) AS BIGINT) AS closes, CAST(10 * coalesce(sum(s), 0) + 5 * count(*) AS BIGINT) AS priority
-  FROM reviewed r LEFT JOIN (SELECT id AS target, sum(severity) AS s FROM gaps GROUP BY 1) g USING (target) GROUP BY prop_id),
+REVIEWED = """, reviewed AS (SELECT *, kind || ':' || k AS target FROM (
+  SELECT prop_id, n, CASE WHEN n > 8 THEN 'merge' WHEN n > 7 THEN 'archive' WHEN n > 5 THEN 'update_node' ELSE op END AS op, kind, verdict, CAST(substr(prop_id, 6) AS BIGINT) * 10 + n AS k FROM reviews)),
+asks AS (
+  SELECT prop_id, n, target AS id, 'orphan' AS gap, NULL AS want FROM reviewed WHERE op = 'add_edge'
+  UNION ALL SELECT prop_id, n, target, 'missing_relation', CASE kind WHEN 'order' THEN 'contains' WHEN 'customer' THEN 'located_in' ELSE 'same_as' END || ' out' FROM reviewed WHERE op = 'add_edge'
+  UNION ALL SELECT prop_id, n, CASE kind WHEN 'order' THEN 'part:' || k WHEN 'customer' THEN 'nation:' || k % 25 ELSE 'part:' || (k + 1) END, 'orphan', NULL FROM reviewed WHERE op = 'add_edge'
+  UNION ALL SELECT prop_id, n, CASE kind WHEN 'order' THEN 'part:' || k WHEN 'customer' THEN 'nation:' || k % 25 ELSE 'part:' || (k + 1) END, 'missing_relation', CASE kind WHEN 'order' THEN 'contains' WHEN 'customer' THEN 'located_in' ELSE 'same_as' END || ' in' FROM reviewed WHERE op = 'add_edge'
+  UNION ALL SELECT prop_id, n, target, 'thin', NULL FROM reviewed WHERE op = 'update_node'
+  UNION ALL SELECT prop_id, n, target, 'missing_field', CASE kind WHEN 'order' THEN 'priority' WHEN 'customer' THEN 'segment' ELSE 'brand' END FROM reviewed WHERE op = 'update_node' AND n <> 7),
+closed AS (SELECT prop_id, n, a.id, a.gap, g.detail, g.severity FROM asks a JOIN gaps g ON g.id = a.id AND g.gap = a.gap AND (want IS NULL OR want = g.detail)),
+props AS (SELECT prop_id, n_ops, drafts, CAST(coalesce(s, 0) + 3 * merges AS BIGINT) AS closes, CAST(10 * (coalesce(s, 0) + 3 * merges) + 5 * n_ops AS BIGINT) AS priority
+  FROM (SELECT prop_id, count(*) AS n_ops, count(*) FILTER (verdict = 'draft') AS drafts, count(*) FILTER (op = 'merge') AS merges FROM reviewed GROUP BY prop_id) LEFT JOIN (SELECT prop_id, sum(severity) AS s FROM closed GROUP BY 1) USING (prop_id)),
 waiting AS (SELECT count(*) FILTER (drafts > 0) AS pending, count(*) FILTER (drafts > 0) > 20 AS "over" FROM props)
 """
 FULL_DECISIONS = ", told AS (SELECT d.*, 'which segment fits ' || lower(c_name) || '? ' || lower(c_mktsegment) AS hay, lower(c_mktsegment) AS chosen, c_custkey FROM decisions d JOIN customer ON d.id = 'dec-' || c_custkey)\n"
@@ -229,9 +238,10 @@ SQL |= {
     "proposal_priorities": REVIEWED + "SELECT * FROM props",
     "pending_page": REVIEWED + "SELECT prop_id, priority, (SELECT count(*) FROM props WHERE drafts > 0) AS total FROM props WHERE drafts > 0 ORDER BY priority DESC, prop_id LIMIT 50",
     "backlog": REVIEWED + "SELECT * FROM waiting",
-    "destructive_ops": REVIEWED + "SELECT prop_id, n, op, target FROM reviewed WHERE op = 'archive' OR (op = 'update_node' AND target IN (SELECT id FROM nodes WHERE status = 'confirmed'))",
-    "undraftable_ops": REVIEWED + "SELECT prop_id, n, op FROM reviewed WHERE op = 'archive' AND verdict = 'draft'",
-    "same_content": ", content AS (SELECT prop_id, string_agg(n || op || kind, ',' ORDER BY n, op, kind) AS c FROM reviews WHERE n < 3 GROUP BY prop_id) SELECT prop_id, f AS same_as FROM (SELECT prop_id, min(prop_id) OVER (PARTITION BY c) AS f FROM content) WHERE prop_id <> f",
+    "destructive_ops": REVIEWED + "SELECT prop_id, n, op, target FROM reviewed WHERE op IN ('archive', 'merge') OR (op = 'update_node' AND target IN (SELECT id FROM nodes WHERE status = 'confirmed'))",
+    "undraftable_ops": REVIEWED + "SELECT prop_id, n, op FROM reviewed WHERE op IN ('archive', 'merge') AND verdict = 'draft'",
+    "same_content": ", content AS (SELECT prop_id, string_agg(x, '|' ORDER BY x) AS c FROM (SELECT 'prop-' || l_orderkey || '-' || l_linenumber AS prop_id, l_returnflag || ' ' || CAST(floor(l_quantity / 10) AS BIGINT) || ' ' || l_partkey AS x FROM lineitem) GROUP BY 1) SELECT prop_id, f AS same_as FROM (SELECT prop_id, min(prop_id) OVER (PARTITION BY c) AS f FROM content) WHERE prop_id <> f",
+    "closed_gaps": REVIEWED + "SELECT * FROM closed",
     "log_union": "SELECT DISTINCT seq, q, node, status FROM answers WHERE seq % 3 <> 0 OR seq % 2 = 0",
     "short_edge_ids": ", h AS (SELECT substr(id, 3, 12) AS id FROM edges), cut AS (SELECT id, l.n, substr(id, 1, l.n) AS p FROM h, (SELECT unnest([4, 6, 8, 10, 12]) AS n) l), alone AS (SELECT min(id) AS id, n FROM cut GROUP BY n, p HAVING count(*) = 1) SELECT h.id, substr(h.id, 1, CAST(coalesce(min(n), 12) AS BIGINT)) AS short FROM h LEFT JOIN alone USING (id) GROUP BY h.id",
     "warnings": REVIEWED + "SELECT 'W01' AS code, count(*) AS n FROM gaps WHERE gap = 'missing_field' UNION ALL SELECT 'W02', count(*) FROM gaps WHERE gap = 'orphan' UNION ALL SELECT 'W04', count(*) FROM touch UNION ALL SELECT 'W05', count(*) FROM (" + SQL["stale_sources"] + ") UNION ALL SELECT 'W06', count(*) FROM waiting WHERE \"over\"",
@@ -312,26 +322,32 @@ SQL["paced_questions"] = GAP_FOLD + """, near AS (SELECT DISTINCT other AS id FR
     LEFT JOIN coverage c ON c.dimension = CASE n.kind WHEN 'region' THEN 'geography' WHEN 'nation' THEN 'geography' WHEN 'customer' THEN 'market' WHEN 'order' THEN 'market' WHEN 'supplier' THEN 'supply' ELSE 'catalogue' END)
   SELECT *, CAST(row_number() OVER (ORDER BY score DESC, gap, id, detail) AS INTEGER) AS place FROM scored ORDER BY place LIMIT 100"""
 SQL["extracted_files"] = """SELECT 'd/' || doc_id || CASE WHEN doc_id % 3 = 2 THEN '.md' ELSE '.TXT' END AS path, CASE WHEN doc_id % 3 = 2 THEN 'md' ELSE 'txt' END AS kind, 'L' AS locator, text, CASE WHEN text IS NULL THEN 'missing' END AS problem FROM documents
-  UNION ALL SELECT 'c/' || c_custkey || '.json', 'json', 'L', '{' || chr(10) || '  "name": "' || c_name || '",' || chr(10) || '  "at": [' || chr(10) || '    ' || c_nationkey || ',' || chr(10) || '    ' || c_custkey || '.50' || chr(10) || '  ],' || chr(10) || '  "none": {}' || chr(10) || '}', NULL FROM customer
-  UNION ALL SELECT 's/' || s_suppkey || '.csv', 'csv', 'L', 'header: key / col2 / key (2)' || chr(10) || 'row 1: key=' || s_suppkey || ' / key (2)=' || s_name, NULL FROM supplier
+  UNION ALL SELECT 'c/' || c_custkey || '.json', 'json', 'L', '{' || chr(10) || ' "name": "' || c_name || '",' || chr(10) || ' "at": [' || chr(10) || '  ' || c_nationkey || ',' || chr(10) || '  ' || c_custkey || '.50' || chr(10) || ' ],' || chr(10) || ' "none": {}' || chr(10) || '}' || chr(10), NULL FROM customer
+  UNION ALL SELECT 's/' || s_suppkey || '.csv', 'csv', 'L', 'header: key | col2 | key (2)' || chr(10) || 'row 1: key=' || s_suppkey || ' | key (2)=' || s_name || ' | col4=past' || chr(10), NULL FROM supplier
   UNION ALL SELECT 'n/' || n_nationkey || '.txt', 'txt', 'L', NULL, 'binary' FROM nation"""
 
 
-def _stems(words: str) -> str:
-    """SQL of the stems of the words of four letters or more of a text."""
-    rest = "CASE WHEN w LIKE '%ing' THEN left(w, length(w) - 3) WHEN w LIKE '%ed' THEN left(w, length(w) - 2) END"
-    return f"""list_transform(list_filter(regexp_extract_all({words}, '[a-z0-9]+'), lambda w: length(w) > 3), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN left(w, length(w) - 3) || 'y' WHEN length(w) > 4 AND regexp_matches(w, '(sses|shes|ches|xes|zes)$') THEN left(w, length(w) - 2)
-      WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|us|is)$') THEN left(w, length(w) - 1) WHEN length({rest}) >= 3 AND regexp_matches({rest}, '[aeiouy]') THEN CASE WHEN right({rest}, 1) = left(right({rest}, 2), 1) AND right({rest}, 1) NOT IN ('l', 's', 'z') THEN left({rest}, length({rest}) - 1) ELSE {rest} END ELSE w END)"""
+#: Words that share a stem with a word of the searches, checked by hand.
+FORMS = {"customer#000000007": [], "spring": ["spring", "springs"], "autumn": ["autumn", "autumns"], "order": ["order", "orders", "ordered", "ordering"], "1": [], "part:12": [], "machinery": ["machinery", "machineries"],
+         "alt": [], "europe": ["europe"], "regions": ["region", "regions"], "orders": ["order", "orders", "ordered", "ordering"], "77": [], "meated": ["meat", "meats", "meated", "meating"]}
 
 
-SQL["search_tiers"] = f""", asked(q, alt, tokens, stems) AS (VALUES ('customer#000000007', 'customer#000000007', ['customer#000000007'], ['customer#000000007']), ('spring OR autumn', 'spring', ['spring'], ['spring']), ('spring OR autumn', 'autumn', ['autumn'], ['autumn']), ('order 1', 'order 1', ['order', '1'], ['order', '1']),
-    ('part:12', 'part:12', ['part:12'], ['part:12']), ('machinery', 'machinery', ['machinery'], ['machinery']), ('alt europe', 'alt europe', ['alt', 'europe'], ['alt', 'europe']), ('regions', 'regions', ['regions'], ['region']), ('orders 77', 'orders 77', ['orders', '77'], ['order', '77']), ('meated spring', 'meated spring', ['meated', 'spring'], ['meat', 'spring'])),
-  r AS (SELECT *, {_stems('nid')} AS sid, {_stems('lname')} AS sname, {_stems('hay')} AS shay FROM (SELECT id, status, lower(id) AS nid, lower(name) AS lname, lower(concat_ws(' ', name, summary, coalesce(alias, ''))) AS hay, CASE kind WHEN 'customer' THEN 2 WHEN 'supplier' THEN 1 WHEN 'part' THEN 3 ELSE 0 END AS boost FROM nodes)),
+def _asked(q: str) -> str:
+    rows = [(q, alt.lower(), alt.lower().split()) for alt in q.split(" OR ")]
+    return ", ".join(f"('{q}', '{alt}', {tokens}, [{', '.join(f'CAST({FORMS[t]} AS VARCHAR[])' for t in tokens)}])" for _, alt, tokens in rows)
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({text}, '[a-z0-9]+')"
+
+
+SQL["search_tiers"] = f""", asked(q, alt, tokens, forms) AS (VALUES {", ".join(_asked(q) for q in ["customer#000000007", "spring OR autumn", "order 1", "part:12", "machinery", "alt europe", "regions", "orders 77", "meated spring"])}),
+  r AS (SELECT *, {_words('nid')} AS sid, {_words('lname')} AS sname, {_words('hay')} AS shay FROM (SELECT id, status, lower(id) AS nid, lower(name) AS lname, lower(concat_ws(' ', name, summary, coalesce(alias, ''))) AS hay, CASE kind WHEN 'customer' THEN 2 WHEN 'supplier' THEN 1 WHEN 'part' THEN 3 ELSE 0 END AS boost FROM nodes)),
   c AS (SELECT r.*, a.*, range(1, len(tokens) + 1) AS ks, list_sum(list_transform(tokens, lambda t: (length(hay) - length(replace(hay, t, ''))) // length(t))) AS n, list_sum(list_transform(tokens, lambda t: greatest(1, (length(hay) - length(replace(hay, t, ''))) // length(t)))) AS m FROM r CROSS JOIN asked a),
   l AS (SELECT *, CASE WHEN nid = alt THEN 1000 WHEN suffix(nid, ':' || alt) OR suffix(nid, '.' || alt) OR suffix(nid, '/' || alt) THEN 600 WHEN contains(nid, alt) THEN 400 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]))) = len(ks) THEN 300 WHEN contains(lname, alt) THEN 250
       WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR contains(lname, tokens[k]))) = len(ks) THEN 150 WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]))) = len(ks) THEN 20 + least(30, n) ELSE 0 END AS lit,
-    CASE WHEN stems = tokens THEN 0 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_contains(sid, stems[k]))) = len(ks) THEN 290 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_contains(sid, stems[k]) OR contains(lname, tokens[k]) OR list_contains(sname, stems[k]))) = len(ks) THEN 140
-      WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]) OR list_contains(shay, stems[k]))) = len(ks) THEN 10 + least(30, m) ELSE 0 END AS st FROM c),
+    CASE WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_has_any(sid, forms[k]))) = len(ks) THEN 290 WHEN len(list_filter(ks, lambda k: contains(nid, tokens[k]) OR list_has_any(sid, forms[k]) OR contains(lname, tokens[k]) OR list_has_any(sname, forms[k]))) = len(ks) THEN 140
+      WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]) OR list_has_any(shay, forms[k]))) = len(ks) THEN 10 + least(30, m) ELSE 0 END AS st FROM c),
   s AS (SELECT q, id, status, boost, max(CASE WHEN lit >= 290 THEN lit ELSE greatest(lit, st) END) AS s FROM l GROUP BY ALL)
   SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
 

@@ -89,7 +89,21 @@ def _units(t: Tables) -> DataFrame:
 def _reviewed(t: Tables) -> DataFrame:
     """The reviewed operations with their target, the record of their own number."""
     number = F.expr("cast(substring(prop_id, 6) as bigint) * 10 + n")
-    return t.reviews.select("prop_id", "n", F.when(F.col("n") > 7, "archive").when(F.col("n") > 5, "update_node").otherwise(F.col("op")).alias("op"), "kind", "verdict", F.concat("kind", F.lit(":"), number).alias("target"))
+    op = F.when(F.col("n") > 8, "merge").when(F.col("n") > 7, "archive").when(F.col("n") > 5, "update_node").otherwise(F.col("op"))
+    rows = t.reviews.select("prop_id", "n", op.alias("op"), "kind", "verdict", number.alias("_k"), F.concat("kind", F.lit(":"), number).alias("target"))
+    linked, changed = F.col("op") == "add_edge", F.col("op") == "update_node"
+    by_kind = lambda order, customer, part: F.when(F.col("kind") == "order", order).when(F.col("kind") == "customer", customer).otherwise(part)
+    return rows.select(
+        "prop_id", "n", "op", "kind", "verdict", "target", F.when(linked, by_kind(F.lit("contains"), F.lit("located_in"), F.lit("same_as"))).alias("rel"),
+        F.when(linked, by_kind(F.concat(F.lit("part:"), "_k"), F.concat(F.lit("nation:"), F.col("_k") % 25), F.concat(F.lit("part:"), F.col("_k") + 1))).alias("other"),
+        F.when(changed, F.array(F.when(F.col("n") == 7, "summary").otherwise(by_kind(F.lit("attrs.priority"), F.lit("attrs.segment"), F.lit("attrs.brand"))))).alias("fields"),
+    )
+
+
+def _drafted(t: Tables) -> DataFrame:
+    """Proposals of one change to each line's part: the lines of an order are a proposal, many orders ask the same."""
+    line = t.raw("lineitem")
+    return line.select(F.concat(F.lit("prop-"), "l_orderkey", F.lit("-"), "l_linenumber").alias("prop_id"), F.lit(1).alias("n"), F.lit("update_node").alias("op"), F.concat(F.lit("part:"), F.col("l_partkey")).alias("target"), F.create_map(F.lit("attrs.size"), F.floor(F.col("l_quantity") / 10).cast("string")).alias("set"), F.col("l_returnflag").alias("by"))
 
 
 def _bridges(t: Tables) -> DataFrame:
@@ -136,7 +150,7 @@ def _files(t: Tables) -> DataFrame:
     content = F.when(kind == 0, F.concat(mark("EFBBBF"), F.encode("text", "UTF-8"))).when(kind == 1, F.concat(mark("FFFE"), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
     docs = t.raw("documents").select(F.concat(F.lit("d/"), "doc_id", F.when(kind == 2, ".md").otherwise(".TXT")).alias("path"), content.alias("content"))
     spelt = t.raw("customer").select(F.concat(F.lit("c/"), "c_custkey", F.lit(".json")).alias("path"), F.encode(F.concat(F.lit('{"name":"'), "c_name", F.lit('", "at":['), "c_nationkey", F.lit(","), "c_custkey", F.lit('.50],"none":{}}')), "UTF-8").alias("content"))
-    rows = t.raw("supplier").select(F.concat(F.lit("s/"), "s_suppkey", F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("key;;key\n"), "s_suppkey", F.lit(";;"), "s_name", F.lit("\n")), "UTF-8").alias("content"))
+    rows = t.raw("supplier").select(F.concat(F.lit("s/"), "s_suppkey", F.lit(".csv")).alias("path"), F.encode(F.concat(F.lit("key;;key\n"), "s_suppkey", F.lit(";;"), "s_name", F.lit(";past\n")), "UTF-8").alias("content"))
     images = t.raw("nation").select(F.concat(F.lit("n/"), "n_nationkey", F.lit(".txt")).alias("path"), F.concat(mark("89504E47"), F.encode("n_name", "UTF-8")).alias("content"))
     return T.union([docs, spelt, rows, images])
 
@@ -304,7 +318,8 @@ QUERIES = {
     "backlog": lambda t: answers.backlog(answers.proposals(_reviewed(t), t.gaps)),
     "destructive_ops": lambda t: answers.destructive(_reviewed(t), t.nodes).select("prop_id", "n", "op", "target"),
     "undraftable_ops": lambda t: answers.undraftable(_reviewed(t)).select("prop_id", "n", "op"),
-    "same_content": lambda t: answers.same_content(t.reviews.where("n < 3")),
+    "closed_gaps": lambda t: answers.closed_gaps(_reviewed(t), t.gaps),
+    "same_content": lambda t: answers.same_content(_drafted(t)),
     "log_union": lambda t: answers.log_union(_log_lines(t, "seq % 3 <> 0"), _log_lines(t, "seq % 2 = 0")),
     "short_edge_ids": lambda t: answers.short_ids(t.edges.select(F.substring("id", 3, 12).alias("id")), 4),
     "warnings": lambda t: answers.warnings(t.gaps, logs.stale_sources(t.store, F.timestamp_seconds(F.lit(1704067200 + 86400 * 30))), quality.archived_touch(t.nodes, t.edges), answers.backlog(answers.proposals(_reviewed(t), t.gaps))),
@@ -316,8 +331,8 @@ QUERIES = {
     "csv_lines": lambda t: texts.csv_lines(t.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))), ["c_name", "c_mktsegment", "c_nationkey"], "c_custkey"),
     "find_text": lambda t: texts.find_text({"nodes": (t.nodes, "id", ["name", "summary"]), "events": (t.raw("events").selectExpr("event_id as id", "event_type"), "id", ["event_type"])}, "Purchase"),
     "html_text": lambda t: t.raw("pages").select("page_id", texts.html_text("html").alias("text")),
-    "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size")),
-    "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
+    "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("sha256")),
+    "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("sha256"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
     "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), redaction.patterns(t.nodes, _hidden(t)), ["x"]).select("key", "clean"),
     "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),

@@ -16,6 +16,8 @@ BINARY = ("25504446", "89504E47", "504B0304", "47494638", "FFD8FF", "1F8B", "7F4
 WIDE_MARKS = ("FFFE", "FEFF", "0000FEFF")
 #: Suffixes that are read, with the locator that quotes of them take.
 LOCATORS = {"txt": "L", "md": "L", "json": "L", "jsonl": "L", "csv": "L", "tsv": "L", "html": "L", "vtt": "T", "srt": "T"}
+#: Levels that JSON may nest.
+DEEPEST = 500
 TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
 
 
@@ -54,23 +56,29 @@ def decoded(files: DataFrame) -> DataFrame:
     return out.withColumn("problem", F.when(F.col("content").isNull(), "missing").when(binary, "binary").when(F.col("text").isNull(), "encoding"))
 
 
+def _refused(name: str):
+    raise ValueError(name)
+
+
 def indented(text: str | None) -> str | None:
-    """JSON with one key a line, in its order and with its spelling of numbers; null where it is no JSON."""
+    """JSON with one key a line, one blank a level, in its order and with its spelling of numbers; null where it is no JSON, holds NaN or an infinity, or nests deeper than ``DEEPEST``."""
     try:
-        json.loads(text)
+        json.loads(text, parse_constant=_refused)
     except (TypeError, ValueError, RecursionError):
         return None
     out, depth, words = [], 0, TOKEN.findall(text)
     for before, word, after in zip(["", *words], words, [*words[1:], ""]):
         if word in ("{", "["):
             depth += 1
-            out.append(word if after in ("}", "]") else word + "\n" + "  " * depth)
+            if depth > DEEPEST:
+                return None
+            out.append(word if after in ("}", "]") else word + "\n" + " " * depth)
         elif word in ("}", "]"):
             depth -= 1
-            out.append(word if before in ("{", "[") else "\n" + "  " * depth + word)
+            out.append(word if before in ("{", "[") else "\n" + " " * depth + word)
         else:
-            out.append(",\n" + "  " * depth if word == "," else ": " if word == ":" else word)
-    return "".join(out)
+            out.append(",\n" + " " * depth if word == "," else ": " if word == ":" else word)
+    return "".join(out) + "\n"
 
 
 @F.pandas_udf(T.StringType())
@@ -78,39 +86,49 @@ def json_text(values: pd.Series) -> pd.Series:
     return values.map(indented, na_action="ignore")
 
 
-def table_text(text: str | None) -> str | None:
-    """``header: a / b`` and ``row N: a=1 / b=2`` of delimited text: the commonest mark of the first line delimits; empty cells are left out.
+def cells_of(text: str | None) -> list[list[str]] | None:
+    """The records of delimited text that hold anything, white space in a cell folded; null where it cannot be read.
 
-    A column without a name is ``col<k>``, a name that was there before takes `` (2)``.
+    The mark that the first line has most often delimits; of equals the first of comma, tab, semicolon and bar.
     """
-    if not text or not text.strip():
-        return ""
-    first = text.split("\n", 1)[0]
-    mark = max(",\t;|", key=first.count)
-    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=mark) if any(c.strip() for c in r)]
-    seen: dict[str, int] = {}
-    names = []
-    for k in range(max(map(len, rows))):
-        name = rows[0][k].strip() if k < len(rows[0]) else ""
-        name = name or f"col{k + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name} ({seen[name]})")
-    lines = ["header: " + " / ".join(names)]
-    lines += [f"row {n}: " + " / ".join(f"{a}={c.strip()}" for a, c in zip(names, r) if c.strip()) for n, r in enumerate(rows[1:], 1)]
-    return "\n".join(lines)
+    body = (text or "").lstrip("\n")
+    first = body.partition("\n")[0]
+    try:
+        csv.field_size_limit(max(len(body) + 1, 131_072))  # a cell may be as long as its text
+        records = list(csv.reader(io.StringIO(body), delimiter=max(",\t;|", key=first.count)))
+    except csv.Error:
+        return None
+    folded = [[" ".join(c.split()) for c in r] for r in records]
+    return [r for r in folded if any(r)]
 
 
-@F.pandas_udf(T.StringType())
-def csv_text(values: pd.Series) -> pd.Series:
-    return values.map(table_text, na_action="ignore")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def table_cells(values: pd.Series) -> pd.Series:
+    return values.map(cells_of, na_action="ignore")
+
+
+def table_text(cells):
+    """``header: a | b`` and ``row N: a=1 | b=2`` of ``table_cells``; empty cells are left out.
+
+    A column without a name is ``col<k>``, one past the header too; a name that stood before takes its count, as in `` (2)``.
+    """
+    width = F.size(F.get(cells, F.lit(0)))
+    plain = F.transform(F.get(cells, F.lit(0)), lambda c, k: F.when(c == "", F.concat(F.lit("col"), k + 1)).otherwise(c))
+    count = lambda c, k: F.size(F.filter(F.slice(plain, F.lit(1), k + 1), lambda x: x == c))
+    names = F.transform(plain, lambda c, k: F.when(count(c, k) == 1, c).otherwise(F.concat(c, F.lit(" ("), count(c, k), F.lit(")"))))
+    named = lambda c, k: F.when(c != "", F.concat(F.when(k < width, F.get(names, k)).otherwise(F.concat(F.lit("col"), k + 1)), F.lit("="), c))
+    row = lambda r, n: F.concat(F.lit("row "), n + 1, F.lit(": "), F.array_join(F.transform(r, named), " | "))
+    lines = F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))), row)
+    head = F.concat(F.lit("header: "), F.array_join(names, " | "))
+    return F.when(F.size(cells) == 0, "").otherwise(F.concat(F.array_join(F.concat(F.array(head), lines), "\n"), F.lit("\n")))
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """(path, kind, locator, text, problem) of files (path, content): text by suffix; another suffix is ``unsupported``, bad JSON ``json``."""
+    """(path, kind, locator, text, problem) of files (path, content): text by suffix; another suffix is ``unsupported``, bad JSON ``json``, an unreadable table ``csv`` or ``tsv``."""
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    rows = decoded(files).withColumn("kind", F.when(kind == "htm", "html").otherwise(kind))
     of = lambda *kinds: F.when(F.col("kind").isin(*kinds), F.col("text"))
-    text = F.when(F.col("kind") == "json", json_text(of("json"))).when(F.col("kind").isin("csv", "tsv"), csv_text(of("csv", "tsv"))).when(F.col("kind") == "html", texts.html_text(of("html")))
+    rows = decoded(files).withColumn("kind", F.when(kind == "htm", "html").otherwise(kind)).withColumn("_cells", table_cells(of("csv", "tsv")))
+    text = F.when(F.col("kind") == "json", json_text(of("json"))).when(F.col("kind").isin("csv", "tsv"), table_text(F.col("_cells"))).when(F.col("kind") == "html", texts.html_text(of("html")))
     text = text.when(F.col("kind").isin("vtt", "srt"), texts.cue_lines(F.col("text"))).otherwise(F.col("text"))
     locators = F.create_map(*[F.lit(x) for pair in LOCATORS.items() for x in pair])
     locator = F.try_element_at(locators, F.col("kind"))

@@ -1,4 +1,6 @@
 """Text sources: extraction by format, chunks, redaction, secret scans, quarantined JSON lines, canonical lines."""
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -118,30 +120,27 @@ def cue_lines(text) -> object:
 
 
 def chunk_spans(text: str | None, size: int = 1500) -> list[tuple[int, int, int, str]]:
-    """(n, first line, last line, text): paragraphs packed up to ``size`` characters; a longer paragraph is cut at line ends."""
+    """(n, first line, last line, text): paragraphs packed up to ``size`` characters; a longer paragraph is cut at line ends.
+
+    Over running sums of line lengths: a piece of a long paragraph ends at the last line whose sum still fits.  A chunk takes
+    the next piece if both, without the blank lines between them, fit.
+    """
     lines = (text or "").split("\n")
-    pieces: list[tuple[int, int]] = []
-    start = None
-    for k, line in enumerate([*lines, ""]):
-        if line.strip() and start is None:
-            start = k
-        elif not line.strip() and start is not None:
-            at, used = start, 0
-            for j in range(start, k):
-                if used and used + len(lines[j]) + 1 > size:
-                    pieces.append((at, j - 1))
-                    at, used = j, 0
-                used += len(lines[j]) + 1
-            pieces.append((at, k - 1))
-            start = None
+    upto = [0, *itertools.accumulate(len(x) + 1 for x in lines)]
+    pieces = []
+    for filled, run in itertools.groupby(range(len(lines)), lambda k: bool(lines[k].strip())):
+        at, end = (span := list(run))[0], span[-1] + 1
+        while filled and at < end:
+            cut = min(end, max(at + 1, bisect.bisect_right(upto, upto[at] + size) - 1))
+            pieces.append((at, cut))
+            at = cut
     out: list[tuple[int, int]] = []
-    length = lambda a, b: sum(len(x) + 1 for x in lines[a:b + 1])
     for a, b in pieces:
-        if out and length(out[-1][0], b) <= size:
+        if out and upto[out[-1][1]] - upto[out[-1][0]] + upto[b] - upto[a] <= size:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
-    return [(n, a + 1, b + 1, "\n".join(lines[a:b + 1])) for n, (a, b) in enumerate(out, 1)]
+    return [(n, a + 1, b, "\n".join(lines[a:b])) for n, (a, b) in enumerate(out, 1)]
 
 
 def chunks(df: DataFrame, key: str, text: str = "text", size: int = 1500) -> DataFrame:
@@ -173,11 +172,15 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: First digits of card networks (Visa, American Express, Diners, JCB, Mastercard, UnionPay, Discover and Maestro) and how many digits they issue.
+NETWORKS = [
+    ("4", (13, 16, 19)), ("3[47]", (15,)), ("3[0689]", (14, 15, 16, 17, 18, 19)), ("35", (16, 17, 18, 19)), ("5[1-5]", (16,)), ("222[1-9]|22[3-9]|2[3-6]|27[01]|2720", (16,)), ("6|5[0678]", (13, 14, 15, 16, 17, 18, 19)),
+]
+
+
 def is_card(digits: str) -> bool:
     """Length by network prefix, and the Luhn sum."""
-    n = len(digits)
-    network = (digits[0] == "4" and n in (13, 16, 19)) or (re.match("5[1-5]|2[2-7]|6011|65|64[4-9]", digits) is not None and n == 16) or (digits[:2] in ("34", "37") and n == 15)
-    return network and luhn(digits)
+    return any(len(digits) in lengths and re.match(prefix, digits) for prefix, lengths in NETWORKS) and luhn(digits)
 
 
 def redacted(text: str, policy: dict[str, str], most: int = 8) -> tuple[str | None, dict[str, int], list[str]]:

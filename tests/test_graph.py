@@ -74,7 +74,7 @@ def test_names_distances_and_slugs(spark):
     rows = df.select(S.name_key("a").alias("k"), S.slugify("a").alias("s"), S.edit_distance(df.a, df.b, 3).alias("d"), "b").collect()
     assert [r["k"] for r in rows] == ["creme brulee", "abc 1", "strasse", "ca"]
     assert rows[0]["s"] == "creme-brulee" and rows[3]["d"] == 3
-    assert S._alignment_distance("abcd", "abdc", 3) == 1
+    assert S.alignment_distances(["abcd"], ["abdc"], 3).tolist() == [1]
 
 
 def test_answer_fold_keeps_an_answer(spark):

@@ -51,7 +51,11 @@ def test_streamed_texts_are_stored_once(spark, tmp_path):
 
 
 def test_stems_of_columns_equal_plain_ones(spark):
-    words = "stories glasses dishes boxes gas class status basis runs running noted billed buzzing sing red bed king agreed passing flies ties s ss hopped".split()
+    groups = {"water": "water waters watered watering", "creat": "create creates created creating", "polici": "policy policies", "rotat": "rotate rotates rotated rotating", "manage": "management", "run": "run runs running", "glas": "glasses"}
+    # Checked by hand; the words of a group meet.
+    assert {w: S._stem(w) for g in groups.values() for w in g.split()} == {w: s for s, g in groups.items() for w in g.split()} | {"management": "manag", "glasses": "glass"}
+    assert [S._stem(w) for w in ("station", "nation", "ration", "information", "spring", "gas", "status", "basis", "boss", "x12s", "agreement", "hopped", "bed", "flies")] == ["station", "nation", "ration", "inform", "spr", "gas", "status", "basis", "boss", "x12s", "agr", "hop", "bed", "fly"]
+    words = "stories glasses dishes boxes gas class status basis runs running noted billed buzzing sing red bed king agreed passing flies ties s ss hopped nation foundations movements employees x1s policy".split() + [w for g in groups.values() for w in g.split()]
     got = spark.createDataFrame([(w,) for w in words], "w string").select("w", S.stem_of(F.col("w")).alias("s")).collect()
     assert {r["w"]: r["s"] for r in got} == {w: S._stem(w) for w in words}
 
@@ -62,13 +66,18 @@ def test_search_by_stem_takes_whole_words_only(spark):
     assert found == {("plans", "x:1"): 140, ("week meals", "x:1"): 12, ("meal", "x:1"): 250}
 
 
-def test_json_and_tables_as_text():
+def test_json_and_tables_as_text(spark):
     text = '{"b":[1.50,2e3,{"c":"x, {y}:\\"z"}],"a":{},"e":[]}'
-    assert files.indented(text) == '{\n  "b": [\n    1.50,\n    2e3,\n    {\n      "c": "x, {y}:\\"z"\n    }\n  ],\n  "a": {},\n  "e": []\n}'
+    assert files.indented(text) == '{\n "b": [\n  1.50,\n  2e3,\n  {\n   "c": "x, {y}:\\"z"\n  }\n ],\n "a": {},\n "e": []\n}\n'
     assert json.loads(files.indented(text)) == json.loads(text)
-    assert files.indented("{") is files.indented(None) is None and files.indented("7") == "7"
-    assert files.table_text('a;a;\n1;"x;y";\n;;\n;2;3;4\n') == "header: a / a (2) / col3 / col4\nrow 1: a=1 / a (2)=x;y\nrow 2: a (2)=2 / col3=3 / col4=4"
-    assert files.table_text("") == files.table_text(None) == ""
+    assert files.indented("{") is files.indented(None) is files.indented("[NaN]") is files.indented("[" * 501 + "]" * 501) is None and files.indented("7") == "7\n"
+    long = "x" * 200_000
+    tables = {
+        'a;a;\n1;"x;y";\n;;\n;2;3;4\n': "header: a | a (2) | col3\nrow 1: a=1 | a (2)=x;y\nrow 2: a (2)=2 | col3=3 | col4=4\n", "": "", "\n \n": "", "a\tb\n\"p\n q\"\t2": "header: a | b\nrow 1: a=p q | b=2\n",
+        f'a,b\n"{long},1': f"header: a | b\nrow 1: a={long},1\n", "name,name,name\n1,,3": "header: name | name (2) | name (3)\nrow 1: name=1 | name (3)=3\n", "a": "header: a\n", "a,b\n1\0,2": None,
+    }
+    rows = spark.createDataFrame([(t,) for t in tables], "t string").select("t", files.table_cells("t").alias("c")).select("t", files.table_text(F.col("c")).alias("x")).collect()
+    assert {r.t: r.x for r in rows if "\0" not in r.t} == {k: v for k, v in tables.items() if "\0" not in k}
 
 
 def test_files_of_a_folder(spark, tmp_path):
