@@ -18,35 +18,39 @@ def gap(rows: DataFrame, name: str, detail: Column | None = None) -> DataFrame:
     return rows.select("id", F.lit(name).alias("gap"), F.lit(SEVERITY[name]).alias("severity"), (F.lit("") if detail is None else detail).alias("detail"))
 
 
-def class_links(expanded: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class_id, rel, direction, n): links of whole same_as classes; links inside a class and background links do not count."""
-    own = expanded.where("not background and rel <> 'same_as'").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    return own.groupBy("class_id", "rel", "direction").agg(F.count("*").alias("n"))
-
-
 def node_gaps(nodes: DataFrame, expanded: DataFrame, classes: DataFrame, prov: DataFrame, registry: Registry) -> DataFrame:
-    """(id, gap, severity, detail) of all active nodes."""
-    active = nodes.where("status <> 'archived'").join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    links = class_links(expanded, classes)
-    degrees = expanded.where("not background").groupBy("id").agg(F.count("*").alias("degree"))
+    """(id, gap, severity, detail) of all active nodes.
+
+    Links are counted once; every node becomes one wide row with its counts, those of its class and what its kind expects, and
+    one ``explode`` gives its gaps.
+    """
+    counts = expanded.where("not background").groupBy("id", "rel", "direction").agg(F.count("*").alias("n"))
+    own = counts.groupBy("id").agg(F.sum("n").alias("degree"), F.collect_list(F.when(F.col("rel") != "same_as", F.struct("rel", "direction", "n"))).alias("has"))
+    member = own.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    # A class lists each relation and direction of each member; what one member has of them the registry bounds.
+    shared = member.select("class_id", F.explode("has").alias("h")).groupBy("class_id", "h.rel", "h.direction").agg(F.sum("h.n").alias("n"))
+    shared = shared.groupBy("class_id").agg(F.sum("n").alias("links"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "rel", "direction").alias("k"), "n"))).alias("by"))
     cited = prov.groupBy(F.col("record_id").alias("id")).agg(F.count_distinct("src").alias("n_src"))
-    total = links.groupBy("class_id").agg(F.sum("n").alias("links"))
-    hubs = F.broadcast(registry.kinds.select("kind", "hub"))
-    facts = active.join(degrees, "id", "left").join(cited, "id", "left").join(total, "class_id", "left").join(hubs, "kind", "left").na.fill(0, ["degree", "n_src", "links"])
-    wanted = active.join(F.broadcast(registry.expected_relations), "kind").join(links, ["class_id", "rel", "direction"], "left").where(F.coalesce("n", F.lit(0)) < F.col("least"))
-    fields = active.join(F.broadcast(registry.expected_fields), "kind").where(~S.filled(F.regexp_replace(F.try_element_at("attrs", F.col("field")), '^"|"$', "")))
-    parts = [
-        gap(facts.where("status = 'proposed' and degree >= 3"), "unconfirmed_hub"),
-        gap(fields, "missing_field", F.col("field")),
-        gap(wanted, "missing_relation", F.concat("rel", F.lit(" "), "direction")),
-        gap(facts.where("links = 0 and not coalesce(hub, false)"), "orphan"),
-        gap(facts.where(~S.is_summary(F.col("summary")) & (F.coalesce(F.size(F.map_filter("attrs", lambda _, v: S.filled(v))), F.lit(0)) <= 0)), "thin"),
-        gap(facts.where("status = 'proposed' and n_src = 0"), "no_provenance"),
-        gap(facts.where("n_src = 1"), "single_source"),
-        gap(facts.where("conf < 0.5"), "low_confidence"),
-        gap(facts.where("status = 'proposed'"), "draft"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    asks = registry.expected_relations.groupBy("kind").agg(F.collect_list(F.struct(F.concat_ws(" ", "rel", "direction").alias("k"), "least")).alias("asks"))
+    wants = registry.expected_fields.groupBy("kind").agg(F.collect_list("field").alias("wants"))
+    kinds = F.broadcast(registry.kinds.select("kind", "hub").join(asks, "kind", "full_outer").join(wants, "kind", "full_outer"))
+    active = nodes.where("status <> 'archived'").select("id", "kind", "status", "summary", "conf", "attrs")
+    rows = active.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(own.select("id", "degree"), "id", "left").join(cited, "id", "left").join(shared, "class_id", "left").join(kinds, "kind", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    one = lambda name, when: F.when(when, F.array(F.struct(F.lit(name).alias("gap"), F.lit("").alias("detail"))))
+    of = lambda name, details: F.transform(details, lambda d: F.struct(F.lit(name).alias("gap"), d.alias("detail")))
+    bare = lambda f: F.regexp_replace(F.try_element_at("attrs", f), '^"|"$', "")
+    draft, n_src = F.col("status") == "proposed", zero("n_src")
+    filled = F.size(F.map_filter("attrs", lambda _, v: S.filled(v)))
+    found = [
+        one("unconfirmed_hub", draft & (zero("degree") >= 3)), of("missing_field", F.filter("wants", lambda f: ~S.filled(bare(f)))),
+        of("missing_relation", F.transform(F.filter("asks", lambda a: zero(F.try_element_at("by", a["k"])) < a["least"]), lambda a: a["k"])),
+        one("orphan", (zero("links") == 0) & ~F.coalesce("hub", F.lit(False))), one("thin", ~S.is_summary(F.col("summary")) & (F.coalesce(filled, F.lit(0)) <= 0)),
+        one("no_provenance", draft & (n_src == 0)), one("single_source", n_src == 1), one("low_confidence", F.col("conf") < 0.5), one("draft", draft),
+    ]
+    weights = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])
+    gaps = rows.select("id", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("g")).select("id", "g.gap", "g.detail")
+    return gaps.select("id", "gap", F.try_element_at(weights, F.col("gap")).alias("severity"), "detail")
 
 
 #: Gaps that an answer to their question settles; the others keep their own rules.

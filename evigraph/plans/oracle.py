@@ -352,6 +352,58 @@ SQL["search_tiers"] = f""", asked(q, alt, tokens, forms) AS (VALUES {", ".join(_
   SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
 
 
+def _briefs(budgets: tuple[int, ...]) -> str:
+    """Briefs of all customers: units, then what stands before the first that does not fit."""
+    sections = ["primary", "decisions", "quotes", "gaps", "related", "bridges"]
+
+    def foot(left: str) -> str:
+        groups = "list_filter([" + ", ".join(f"{{'n': {left}_{x}, 's': '{x}'}}" for x in sections) + "], lambda g: g.n > 0)"
+        told = f"list_transform({groups}[1:3], lambda g: g.n || ' ' || g.s)"
+        rest = f"coalesce(list_sum(list_transform({groups}[4:], lambda g: g.n)), 0)"
+        return f"CASE WHEN len({groups}) = 0 THEN '' ELSE 'left out to fit ' || budget || ' tokens: ' || array_to_string(list_concat({told}, CASE WHEN {rest} > 0 THEN [CAST({rest} AS BIGINT) || ' more'] ELSE [] END), '; ') END"
+
+    each = lambda text: ", ".join(text.format(x=x) for x in sections)
+    return f""", who AS (SELECT id AS subject FROM nodes WHERE kind = 'customer'),
+  l AS (SELECT id AS subject, label, other, min(edge_id) AS edge_id, arg_min(direction, edge_id) AS direction, arg_min(rel, edge_id) AS rel FROM expanded WHERE NOT background AND id LIKE 'customer:%' GROUP BY 1, 2, 3),
+  bl AS (SELECT subject, label, count(*) AS n, list_sort(list(other)) AS few, row_number() OVER (PARTITION BY subject ORDER BY label) AS k FROM l GROUP BY subject, label),
+  rl AS (SELECT subject, string_agg(label || ' ' || CASE WHEN n <= 2 THEN array_to_string(few, ', ') ELSE CAST(n AS VARCHAR) END, '; ' ORDER BY k) FILTER (k <= 5) || CASE WHEN count(*) > 5 THEN '; +' || (count(*) - 5) || ' more labels' ELSE '' END AS rels FROM bl GROUP BY 1),
+  sr AS (SELECT record_id AS subject, list_sort(list(DISTINCT src)) AS s FROM prov GROUP BY 1),
+  og AS (SELECT id AS subject, gap, detail, severity, row_number() OVER (PARTITION BY id ORDER BY severity DESC, gap, detail) AS k FROM gaps WHERE id LIKE 'customer:%'),
+  tn AS (SELECT subject, 'needs: ' || string_agg(gap, ', ' ORDER BY k) FILTER (k <= 2) AS needs FROM og GROUP BY 1),
+  at_ AS (SELECT id AS subject, string_agg(field || '=' || value, '; ' ORDER BY field) AS a FROM attrs GROUP BY 1),
+  sc AS ({SQL["scope_overlaps"]}),
+  qu AS (SELECT record_id AS subject, 'quote ' || record_id || ': "' || quote || '" (' || src || ' ' || loc || ')' AS text, row_number() OVER (PARTITION BY record_id ORDER BY ord, src, loc) AS k FROM prov WHERE record_id LIKE 'customer:%' AND trim(quote) <> ''),
+  one AS (SELECT subject, label, (row_number() OVER (PARTITION BY subject, label ORDER BY other) - 1) // 8 AS line, other FROM l JOIN bl USING (subject, label) WHERE n > 2),
+  hop AS (SELECT DISTINCT subject, other AS via FROM l WHERE other NOT IN (SELECT id FROM hubs)),
+  far AS (SELECT subject, e.other, min((e.label, via)) AS m FROM hop JOIN expanded e ON e.id = via WHERE NOT background AND e.other <> subject AND (subject, e.other) NOT IN (SELECT subject, other FROM l) GROUP BY 1, 2),
+  two AS (SELECT subject, m[1] AS label, m[2] AS via, other, (row_number() OVER (PARTITION BY subject, m[1] ORDER BY other) - 1) // 8 AS line FROM far),
+  units AS (
+    SELECT n.id AS subject, 0.0 AS tier, 'primary' AS section, concat_ws(' | ', n.id || '  ' || kind || ', ' || status || ', conf ' || CAST(CAST(conf AS DOUBLE) AS VARCHAR), a, rels, CASE WHEN s IS NULL THEN 'no sources' ELSE len(s) || CASE WHEN len(s) = 1 THEN ' source: ' ELSE ' sources: ' END || array_to_string(s[1:2], ', ') END, needs)
+      || chr(10) || '  ' || coalesce(summary, 'no summary') AS text, 1 AS n, ('', 0) AS o FROM nodes n LEFT JOIN rl ON rl.subject = n.id LEFT JOIN sr ON sr.subject = n.id LEFT JOIN tn ON tn.subject = n.id LEFT JOIN at_ ON at_.subject = n.id WHERE kind = 'customer'
+    UNION ALL SELECT sc.id, 1, 'decisions', 'decision ' || scope_id || ': Which segment fits ' || c_name || '? -> ' || lower(c_mktsegment), 1, ('', -c_custkey) FROM sc JOIN decisions d ON d.id = scope_id AND status = 'active' JOIN customer ON d.id = 'dec-' || c_custkey
+    UNION ALL SELECT subject, CASE WHEN k = 1 THEN 2 ELSE 7 END, 'quotes', text, 1, ('', k) FROM qu WHERE k <= 3
+    UNION ALL SELECT subject, 8, 'quotes', 'quotes: +' || count(*) || ' more', count(*), ('', 0) FROM qu WHERE k > 3 GROUP BY 1
+    UNION ALL SELECT subject, 3, 'gaps', 'open: ' || rtrim(gap || ' ' || detail) || ' (' || severity || ')', 1, ('', k) FROM og WHERE k <= 6
+    UNION ALL SELECT subject, 4, 'gaps', 'open: +' || count(*) || ' more', count(*), ('', 0) FROM og WHERE k > 6 GROUP BY 1
+    UNION ALL SELECT subject, 5, 'related', 'related 1 ' || label || ': ' || string_agg(other, ', ' ORDER BY other), count(*), (label, line) FROM one GROUP BY subject, label, line
+    UNION ALL SELECT subject, 5.5, 'bridges', 'bridge ' || CASE WHEN direction = 'out' THEN subject || ' -' || rel || '-> ' || other ELSE other || ' -' || rel || '-> ' || subject END, 1, (edge_id, 0) FROM l JOIN nodes a ON a.id = subject JOIN nodes b ON b.id = other WHERE a.ns <> b.ns
+    UNION ALL SELECT subject, 6, 'related', 'related 2 ' || label || ' via ' || any_value(w) || ': ' || string_agg(other, ', ' ORDER BY other), count(*), (label, line)
+      FROM two JOIN (SELECT subject, label, CASE WHEN count(DISTINCT via) = 1 THEN min(via) ELSE count(DISTINCT via) || ' nodes' END AS w FROM two GROUP BY 1, 2) USING (subject, label) GROUP BY subject, label, line),
+  placed AS (SELECT *, row_number() OVER s AS r, sum(length(text) + 1) OVER s AS used, {each("sum(CASE WHEN section = '{x}' THEN n ELSE 0 END) OVER (PARTITION BY subject) AS all_{x}, sum(CASE WHEN section = '{x}' THEN n ELSE 0 END) OVER (PARTITION BY subject) - sum(CASE WHEN section = '{x}' THEN n ELSE 0 END) OVER s AS left_{x}")}
+    FROM units WINDOW s AS (PARTITION BY subject ORDER BY tier, o ROWS UNBOUNDED PRECEDING)),
+  asked AS (SELECT *, budget * 4 AS most FROM placed, (SELECT unnest({list(budgets)}) AS budget)),
+  weighed AS (SELECT *, {foot("left")} AS foot FROM asked),
+  ends AS (SELECT subject, budget, min(r) FILTER (most > 0 AND used + CASE WHEN foot = '' THEN 0 ELSE length(foot) + 1 END > most) AS stop FROM weighed GROUP BY 1, 2),
+  taken AS (SELECT w.subject, w.budget, any_value(most) AS most, count(*) FILTER (r < coalesce(stop, 1e9)) AS taken, string_agg(text, chr(10) ORDER BY r) FILTER (r < coalesce(stop, 1e9)) AS body, coalesce(max(used) FILTER (r < coalesce(stop, 1e9)), 0) AS used,
+      {each("any_value(all_{x}) - coalesce(sum(n) FILTER (section = '{x}' AND r < coalesce(stop, 1e9)), 0) AS rest_{x}")} FROM weighed w JOIN ends e ON e.subject = w.subject AND e.budget = w.budget GROUP BY 1, 2),
+  said AS (SELECT *, {foot("rest")} AS whole, {" + ".join(f"rest_{x}" for x in sections)} AS items FROM taken),
+  texts_ AS (SELECT subject, CAST(budget AS INTEGER) AS budget, taken, concat_ws(chr(10), body, CASE WHEN most > 0 AND whole <> '' THEN CASE WHEN used + length(whole) + 1 > most THEN 'left out to fit ' || budget || ' tokens: ' || CAST(items AS BIGINT) || ' items' ELSE whole END END) AS text FROM said)
+  SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM texts_"""
+
+
+SQL["briefs"] = _briefs((0, 60, 200, 2000))
+
+
 def _rules() -> str:
     return ", ".join("('{}', '{}')".format(kind, rule.replace("'", "''")) for kind, rule in CREDENTIALS.items())
 

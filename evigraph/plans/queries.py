@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import answers, changes, compose, evidence, expand, logs, needs, quality, redaction, resolve, search, traverse
+from evigraph.operators import answers, briefs, changes, components, compose, evidence, expand, logs, needs, quality, redaction, resolve, search, traverse
 from evigraph.plans import testgraph as T
 from evigraph.sources import files, texts
 
@@ -195,6 +195,23 @@ def _hidden(t: Tables) -> DataFrame:
     return t.nodes.where("(kind = 'customer' and ns = 'b') or (kind = 'region' and k >= 3)").select("id")
 
 
+def _brief_units(t: Tables) -> DataFrame:
+    """Units of the briefs of all customers, written once as each budget reads them twice."""
+    scopes = search.scope_overlaps(_customers(t).select("id"), t.decisions.select(F.col("id").alias("scope_id"), F.explode("scope").alias("scope")))
+    return components.written(briefs.brief_units(_customers(t).select("id"), t.nodes, t.expanded, t.prov, t.gaps, scopes, t.decisions, t.hubs))
+
+
+def _briefs(t: Tables) -> DataFrame:
+    units = _brief_units(t)
+    return T.union([briefs.fitted_texts(units, budget, briefs.SECTIONS) for budget in (0, 60, 200, 2000)])
+
+
+def _spoken(t: Tables) -> DataFrame:
+    """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
+    c = t.raw("conversations")
+    return c.select(F.col("conv_id").cast("string").alias("subject"), F.col("turn").alias("rank"), F.col("role").alias("section"), F.concat("role", F.lit(": "), "text").alias("text"), (F.length("role") + F.length("text") + 3).alias("size"), (F.col("role") == "system").alias("essential"), F.lit(1).alias("count"))
+
+
 def _names(t: Tables) -> DataFrame:
     return t.raw("part").select(F.col("p_partkey").cast("string").alias("ref"), F.lit("part").alias("kind"), F.col("p_name").alias("name"))
 
@@ -324,6 +341,8 @@ QUERIES = {
     "short_edge_ids": lambda t: answers.short_ids(t.edges.select(F.substring("id", 3, 12).alias("id")), 4),
     "warnings": lambda t: answers.warnings(t.gaps, logs.stale_sources(t.store, F.timestamp_seconds(F.lit(1704067200 + 86400 * 30))), quality.archived_touch(t.nodes, t.edges), answers.backlog(answers.proposals(_reviewed(t), t.gaps))),
     "named_records": lambda t: answers.named(t.raw("part").select(F.upper("p_name").alias("q")).unionByName(t.raw("nation").select(F.concat(F.lit("Alt-"), "n_name").alias("q"))).unionByName(t.raw("supplier").select(F.col("s_suppkey").cast("string").alias("q"))), t.nodes),
+    "briefs": _briefs,
+    "section_budgets": lambda t: briefs.select_units(_spoken(t), 150, ["system", "user", "assistant"]).select("subject", F.array_join("ranks", ",").alias("ranks"), "used", "foot"),
     "text_measures": lambda t: answers.text_measures(t.raw("documents").select("doc_id", F.translate("text", "\r\t", "  ").alias("text")), "doc_id"),
     # texts
     "cue_lines": _cues,
