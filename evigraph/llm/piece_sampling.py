@@ -31,7 +31,6 @@ GOLDEN = 0x9E3779B97F4A7C15
 LENGTHS = (4, 8, 12, 20, 32)
 #: Chunks handled at once: bounds the matrices.
 CHUNKS_AT_ONCE = 150_000
-LONGEST_PIECE = 16
 
 
 class PieceTable:
@@ -59,7 +58,9 @@ class PieceTable:
                 self.weights[i] = (1.0 / (min(-model.get_score(i), size) + 3)) ** alpha
         #: A character without a piece has one way only, so its weight does not matter.
         self.fallback = 1.0 / size
-        self.longest = min(LONGEST_PIECE, max(map(len, self.ids)))
+        self.longest = max(map(len, self.ids))
+        if not all(re.fullmatch(r" *[^ \n]*|\n", piece) for piece in self.ids):
+            raise ValueError("the model has pieces that go on behind a blank or a line break, where texts are cut")
         self.keys = np.zeros(size + 1, np.uint64)
         for piece, i in self.ids.items():
             key = 0

@@ -12,6 +12,10 @@ a run of texts holds so often that, at that rate, it would fill a part alone, se
 part; the others are dealt evenly and meet the first occurrence in a join, which adaptive execution splits, so
 no task holds all rows of a frequent seed.
 
+The short runs of a passage may each have occurred before, in documents that have nothing else of it, and they occur the more often the
+larger a corpus is.  So long seeds, the smallest of each ``WINDOW`` neighbouring runs of ``RUNS`` short seeds in a row, go with them; one of these
+is matched with its previous occurrence, not its first.  Any ``RUNS * WORDS + WINDOW - 1`` equal words hold one.
+
 In each document the matches with one earlier document are chained: ordered in both texts,
 scored by what they cover less a cost for gaps, the best predecessor found in a Fenwick tree.  A
 chain is kept, even one of a single seed, if as many matched seeds as a passage shares at least, with whatever earlier documents, lie
@@ -50,7 +54,9 @@ RUN_WORDS, PART_SEEDS = 600_000, 3_000_000
 SLICE = 32
 
 CHAIN = "doc long, lead long, start int, end int, lead_start int, lead_end int"
-MATCH = "doc long, pos int, lead long, lead_pos int, seed long"
+MATCH = "doc long, pos int, lead long, lead_pos int, seed long, sparse boolean"
+#: Short seeds in a row that make a long one, and neighbours of which the smallest is taken.
+RUNS, WINDOW = 3, 16
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -80,7 +86,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def seeds_of(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, pos) of the k-mers of some texts; of one seed again and again only the first."""
+    """(key, text, pos) of the k-mers of some texts."""
     flat, sizes = word_hashes(texts)
     ends = np.cumsum(sizes)
     own = np.repeat(np.arange(len(sizes)), sizes)
@@ -89,39 +95,67 @@ def seeds_of(texts: pd.Series, words: int) -> tuple[np.ndarray, np.ndarray, np.n
     for k in range(words):
         grams = mix64(grams + np.uint64(0x9E3779B97F4A7C15) + flat[at + k])
     own = own[at]
-    if len(at):
-        new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])])
-        grams, own, at = grams[new], own[new], at[new]
     return grams, own, at - (ends - sizes)[own]
 
 
+def first_of_runs(grams: np.ndarray, own: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one seed again and again only the first."""
+    if not len(grams):
+        return grams, own, pos
+    new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (own[1:] != own[:-1])])
+    return grams[new], own[new], pos[new]
+
+
+def long_seeds(grams: np.ndarray, own: np.ndarray, pos: np.ndarray, words: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, pos) of runs of three k-mers in a row that are the smallest of ``window`` neighbours; ``window`` is a power of two."""
+    n = len(grams) - 2 * words
+    if n < window:
+        return grams[:0], own[:0], pos[:0]
+    whole = own[:n] == own[2 * words:]
+    keys = mix64(mix64(grams[:n] + np.uint64(1)) + mix64(grams[words:words + n] + np.uint64(2)) + grams[2 * words:])
+    keys = np.where(whole, np.maximum(keys, np.uint64(1)), ~np.uint64(0))
+    least, most, shift = keys, np.zeros(n + window - 1, np.uint64), 1
+    while shift < window:
+        least = np.minimum(least[:-shift], least[shift:])
+        shift *= 2
+    inside = whole[window - 1:] & (own[:n - window + 1] == own[window - 1:n])
+    most[window - 1:n] = np.where(inside, least, np.uint64(0))
+    shift = 1
+    while shift < window:  # a run is taken if it is the least of any window over it: the largest of their least ones
+        most = np.maximum(most[:-shift], most[shift:])
+        shift *= 2
+    taken = whole & (most == keys)
+    return keys[taken], own[:n][taken], pos[:n][taken]
+
+
 def packed_seeds(docs: DataFrame, words: int, bits: int, parts: int, hot: int) -> DataFrame:
-    """(part, kind, data): a run's seeds of a part (kind 0), the first places of its frequent seeds (1), and the other places of those (2), dealt evenly to parts from ``parts`` on."""
+    """(part, kind, data): a run's seeds of a part (kind 0, long ones 3), the first places of its frequent seeds (1), and the other places of those (2), dealt evenly to parts from ``parts`` on."""
     edges = np.array([(k << bits) // parts for k in range(parts)] , np.uint64)
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for cut in in_parts(batch["text"].str.len().fillna(0).to_numpy(np.int64), 6 * RUN_WORDS, 100_000):
                 ids = batch["doc_id"].to_numpy()[cut]
-                keys, own, pos = seeds_of(batch["text"].iloc[cut], words)
-                if not len(keys):
-                    continue
-                keys, doc = keys >> np.uint64(64 - bits), ids[own]
-                order = np.lexsort((pos, doc, keys)) if hot < len(keys) else np.argsort(keys, kind="stable")
-                keys, doc, pos = keys[order], doc[order], pos[order]
-                start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                often = np.diff(np.append(start, len(keys)))
-                kind = np.repeat(np.where(often > hot, 2, 0), often)
-                kind[start[often > hot]] = 1
+                every = seeds_of(batch["text"].iloc[cut], words)
                 rows = []
-                for what in (0, 1, 2):
-                    k, d, p = (x[kind == what] for x in (keys, doc, pos))
-                    if what == 2:
-                        rows += [(parts + int(mix64(d[:1] + at)[0] % np.uint64(parts)), 2, pack(k[at:at + RUN_WORDS], d[at:at + RUN_WORDS], p[at:at + RUN_WORDS])) for at in range(0, len(k), RUN_WORDS)]
+                for plain, (keys, own, pos) in ((0, first_of_runs(*every)), (3, long_seeds(*every, words))):
+                    if not len(keys):
                         continue
-                    low = np.searchsorted(k, edges)
-                    high = np.append(low[1:], len(k))
-                    rows += [(part, what, pack(k[x:y], d[x:y], p[x:y])) for part, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if x < y]
+                    keys, doc = keys >> np.uint64(64 - bits), ids[own]
+                    order = np.lexsort((pos, doc, keys)) if hot < len(keys) else np.argsort(keys, kind="stable")
+                    keys, doc, pos = keys[order], doc[order], pos[order]
+                    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    often = np.diff(np.append(start, len(keys)))
+                    kind = np.repeat(np.where(often > hot, 2, plain), often)
+                    kind[start[often > hot]] = 1
+                    for what in (plain, 1, 2):
+                        k, d, p = (x[kind == what] for x in (keys, doc, pos))
+                        if what == 2:
+                            rows += [(parts + int(mix64(d[:1] + at)[0] % np.uint64(parts)), 2, pack(k[at:at + RUN_WORDS], d[at:at + RUN_WORDS], p[at:at + RUN_WORDS])) for at in range(0, len(k), RUN_WORDS)]
+                            continue
+                        low = np.searchsorted(k, edges)
+                        high = np.append(low[1:], len(k))
+                        rows += [(part, what, pack(k[x:y], d[x:y], p[x:y])) for part, (x, y) in enumerate(zip(low.tolist(), high.tolist(), strict=True)) if x < y]
                 yield pd.DataFrame(rows, columns=["part", "kind", "data"])
 
     return docs.select("doc_id", "text").mapInPandas(packed, "part int, kind int, data binary")
@@ -143,40 +177,52 @@ def first_matches(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray, frequent:
         "pos": np.concatenate([pos[later], np.zeros(firsts, np.int32)]),
         "lead": np.concatenate([np.repeat(lead, often)[later], lead[hot]]),
         "lead_pos": np.concatenate([np.repeat(lead_pos, often)[later], lead_pos[hot]]),
-        "seed": pd.arrays.IntegerArray(np.concatenate([np.zeros(n, np.int64), keys[start][hot].view(np.int64)]), ~none),
+        "seed": pd.arrays.IntegerArray(np.concatenate([np.zeros(n, np.int64), keys[start][hot].view(np.int64)]), ~none), "sparse": False,
     })
 
 
+def previous_matches(keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+    """Rows of MATCH: of each seed, every document's first occurrence with that of the document before."""
+    order = np.lexsort((pos, doc, keys))
+    keys, doc, pos = keys[order], doc[order], pos[order]
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])
+    keys, doc, pos = keys[new], doc[new], pos[new]
+    again = np.flatnonzero(keys[1:] == keys[:-1]) + 1
+    return pd.DataFrame({"doc": doc[again], "pos": pos[again], "lead": doc[again - 1], "lead_pos": pos[again - 1], "seed": pd.array([pd.NA] * len(again), "Int64"), "sparse": True})
+
+
 def matches_of(packed: DataFrame, parts: int) -> DataFrame:
     """Rows of MATCH: matches; first occurrences of frequent seeds (no doc); occurrences of those (no lead)."""
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, held = None, []
 
-        def joined() -> pd.DataFrame:
-            found = [(*unpack(data), kind) for kind, data in held]
-            keys, doc, pos = (np.concatenate([x[c] for x in found]) for c in range(3))
-            return first_matches(keys, doc, pos, np.concatenate([np.full(len(x[0]), x[3] == 1) for x in found]))
+        def joined() -> Iterator[pd.DataFrame]:
+            for long in (False, True):
+                found = [(*unpack(data), kind) for kind, data in held if (kind == 3) == long]
+                if found:
+                    keys, doc, pos = (np.concatenate([x[c] for x in found]) for c in range(3))
+                    yield previous_matches(keys, doc, pos) if long else first_matches(keys, doc, pos, np.concatenate([np.full(len(x[0]), x[3] == 1) for x in found]))
 
         for batch in batches:
             for now, kind, data in zip(batch["part"], batch["kind"], batch["data"], strict=True):
                 if kind == 2:
                     keys, doc, pos = unpack(data)
-                    yield pd.DataFrame({"doc": doc, "pos": pos, "lead": pd.array([pd.NA] * len(doc), "Int64"), "lead_pos": 0, "seed": keys.view(np.int64)})
+                    yield pd.DataFrame({"doc": doc, "pos": pos, "lead": pd.array([pd.NA] * len(doc), "Int64"), "lead_pos": 0, "seed": keys.view(np.int64), "sparse": False})
                     continue
                 if now != part and held:
-                    yield joined()
+                    yield from joined()
                     held = []
                 part = now
                 held.append((kind, data))
         if held:
-            yield joined()
+            yield from joined()
 
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(matched, MATCH)
 
 
 def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The table that holds what was found, and from it (doc, pos, lead, lead_pos): each occurrence of a k-mer with its first one in an earlier document.
+    """The table that holds what was found, and from it (doc, pos, lead, lead_pos, sparse): each occurrence of a k-mer with its first one in an earlier document, of a long seed (``sparse``) with its previous one.
 
     ``hot``: occurrences in a run beyond which a seed is frequent; by default so many that the rows of one seed in its part stay below ``PART_SEEDS``.
     """
@@ -190,7 +236,7 @@ def seed_matches(docs: DataFrame, words: int = WORDS, hot: int | None = None) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // PART_SEEDS))
     found = durable(matches_of(packed_seeds(docs, words, bits, parts, hot), parts))
     first = found.where("doc IS NULL").groupBy("seed").agg(F.min(F.struct("lead", "lead_pos")).alias("f"))
-    often = found.where("lead IS NULL").select("doc", "pos", "seed").join(first, "seed").select("doc", "pos", F.col("f.lead").alias("lead"), F.col("f.lead_pos").alias("lead_pos"))
+    often = found.where("lead IS NULL").select("doc", "pos", "seed", "sparse").join(first, "seed").select("doc", "pos", F.col("f.lead").alias("lead"), F.col("f.lead_pos").alias("lead_pos"), "sparse")
     return found, found.where("seed IS NULL").drop("seed").unionByName(often.where("doc <> lead"))
 
 
@@ -256,13 +302,13 @@ def runs(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too, that a passage can hold.
+def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, least: int | None = None) -> DataFrame:
+    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too, that a passage can hold: with ``least`` matches as near as a passage is long.
 
     Rows come grouped by document; one document's matches are bounded by its length.
     """
     # A changed word spoils ``words`` seeds at most.
-    least = max(1, min_words - words + 1 - round(min_words * (1 - similarity)) * words)
+    least = least or max(1, min_words - words + 1 - round(min_words * (1 - similarity)) * words)
 
     def of_document(doc: int, pos: np.ndarray, lead: np.ndarray, lead_pos: np.ndarray) -> list[tuple]:
         out = []
@@ -437,7 +483,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     copies = durable(keyed.join(first, "_key").where("doc_id <> source_id").select("doc_id", "source_id").distinct())
     heads = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
     found, matches = seed_matches(heads, words)
-    linked = durable(chains(matches, words, min_words, similarity))
+    linked = durable(chains(matches.where("NOT sparse"), words, min_words, similarity).unionByName(chains(matches.where("sparse"), RUNS * words, min_words, similarity, 1)))
     discard(found)
     passages = aligned_passages(linked, heads, min_words, similarity)
     size = F.size(F.split(F.rtrim(F.ltrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " "))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -121,13 +122,53 @@ def test_seeds_meet_their_first_occurrence(spark):
                 want.add((i, k, *lead))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (None, 2, 0):  # seeds of every frequency by either way
-        got = [tuple(r) for r in substring_dedup.seed_matches(docs.repartition(3), hot=hot)[1].select("doc", "pos", "lead", "lead_pos").collect()]
+        got = [tuple(r) for r in substring_dedup.seed_matches(docs.repartition(3), hot=hot)[1].where("NOT sparse").select("doc", "pos", "lead", "lead_pos").collect()]
         assert len(got) == len(set(got)) and set(got) == want
     keys = np.sort(np.random.default_rng(1).integers(0, 2**63, 500, dtype=np.uint64))
     docs_, pos = np.random.default_rng(2).integers(-5, 2**62, 500), np.arange(500, dtype=np.int64)
     assert all((x == y).all() for x, y in zip(substring_dedup.unpack(substring_dedup.pack(keys, docs_, pos)), (keys, docs_, pos), strict=True))
 
 
+def test_exact_passages_whose_short_runs_are_old(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, at, planted = [], 0, []
+    passages = [[word() for _ in range(60)] for _ in range(20)]
+    for p in passages:  # each of a passage's 57 seeds lies in an earlier document of its own
+        for k in range(57):
+            rows.append((at, " ".join([word() for _ in range(10)] + p[k:k + 4] + [word() for _ in range(10)])))
+            at += 1
+    for times in range(2):
+        for n, p in enumerate(passages):
+            before = rng.randrange(5, 40)
+            rows.append((at, " ".join([word() for _ in range(before)] + p + [word() for _ in range(30)])))
+            planted += [(at, before, before + 60)] * times
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.start_word, r.end_word) for r in substring_dedup.repeated_passages(docs.repartition(5)).collect()}
+    assert found == set(planted)
+
+
+def test_long_seeds_are_the_least_of_their_windows_and_meet_the_one_before(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 50, n))) for n in (0, 3, 12, 26, 27, 28, 60, 200, 200)]
+    grams, own, pos = substring_dedup.seeds_of(pd.Series(texts), 4)
+    keys, text, place = substring_dedup.long_seeds(grams, own, pos, 4)
+    want = set()
+    for t, words in enumerate(x.split() for x in texts):
+        g = grams[own == t]
+        n = len(words) - 11
+        if n < substring_dedup.WINDOW:
+            continue
+        long = [int(substring_dedup.mix64(substring_dedup.mix64(g[k:k + 1] + np.uint64(1)) + substring_dedup.mix64(g[k + 4:k + 5] + np.uint64(2)) + g[k + 8:k + 9])[0]) for k in range(n)]
+        for s in range(n - substring_dedup.WINDOW + 1):
+            least = min(long[s:s + substring_dedup.WINDOW])
+            want |= {(t, k, least) for k in range(s, s + substring_dedup.WINDOW) if long[k] == least}
+    assert set(zip(text.tolist(), place.tolist(), keys.tolist(), strict=True)) == want
+    got = substring_dedup.previous_matches(np.array([5, 5, 5, 5, 7, 7], np.uint64), np.array([3, 1, 3, 2, 4, 4]), np.array([9, 1, 2, 3, 4, 5], np.int32))
+    assert sorted(zip(got["doc"], got["pos"], got["lead"], got["lead_pos"], strict=True)) == [(2, 3, 1, 1), (3, 2, 2, 3)]
+
+
 def test_passages_of_odd_rows(spark):
     rng = random.Random(11)
     text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
