@@ -352,6 +352,33 @@ SQL["search_tiers"] = f""", asked(q, alt, tokens, forms) AS (VALUES {", ".join(_
   SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
 
 
+def _hits(name: str, asked: str) -> str:
+    """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
+    every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"
+    at_id, at_name, at_text = (f"contains({raw}, tokens[k]) OR list_has_any({found}, forms[k])" for raw, found in (("nid", "sid"), ("lname", "sname"), ("hay", "shay")))
+    return f"""{name}_asked AS (SELECT q, lower(q) AS alt, string_split(lower(q), ' ') AS tokens, list_transform(string_split(lower(q), ' '), lambda w: CASE WHEN length(w) > 4 AND suffix(w, 's') THEN [w, left(w, length(w) - 1)] WHEN length(w) > 3 THEN [w] ELSE [] END) AS forms FROM ({asked})),
+  {name}_rows AS (SELECT r.*, a.*, range(1, len(tokens) + 1) AS ks, list_sum(list_transform(tokens, lambda t: (length(hay) - length(replace(hay, t, ''))) // length(t))) AS n, list_sum(list_transform(tokens, lambda t: greatest(1, (length(hay) - length(replace(hay, t, ''))) // length(t)))) AS m FROM searched r CROSS JOIN {name}_asked a),
+  {name}_lit AS (SELECT *, CASE WHEN nid = alt THEN 1000 WHEN suffix(nid, ':' || alt) OR suffix(nid, '.' || alt) OR suffix(nid, '/' || alt) THEN 600 WHEN contains(nid, alt) THEN 400 WHEN {every("contains(nid, tokens[k])")} THEN 300 WHEN contains(lname, alt) THEN 250
+      WHEN {every("contains(nid, tokens[k]) OR contains(lname, tokens[k])")} THEN 150 WHEN {every("contains(hay, tokens[k])")} THEN 20 + least(30, n) ELSE 0 END AS lit,
+    CASE WHEN {every(at_id)} THEN 290 WHEN {every(f"{at_id} OR {at_name}")} THEN 140 WHEN {every(at_text)} THEN 10 + least(30, m) ELSE 0 END AS st FROM {name}_rows),
+  {name} AS (SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS place
+    FROM (SELECT *, CASE WHEN lit >= 290 THEN lit ELSE greatest(lit, st) END AS s FROM {name}_lit) WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20)"""
+
+
+SQL["phrase_scopes"] = f""", names AS (SELECT DISTINCT p_name AS n FROM part),
+  phrases AS (SELECT n AS q FROM names UNION ALL SELECT n || 's' FROM names UNION ALL SELECT split_part(n, ' ', 2) || ' the ' || split_part(n, ' ', 1) || ' zzq' FROM names UNION ALL SELECT 'alt ' || n_name FROM nation UNION ALL SELECT 'qq' || r_name || ' xx' FROM region UNION ALL SELECT s_name FROM supplier),
+  searched AS (SELECT *, {_words('nid')} AS sid, {_words('lname')} AS sname, {_words('hay')} AS shay FROM (SELECT id, status, lower(id) AS nid, lower(name) AS lname, lower(concat_ws(' ', name, summary, coalesce(alias, ''))) AS hay, CASE kind WHEN 'customer' THEN 2 WHEN 'supplier' THEN 1 WHEN 'part' THEN 3 ELSE 0 END AS boost FROM nodes)),
+  {_hits("whole", "SELECT q FROM phrases WHERE NOT suffix(q, ' zzq') AND NOT starts_with(q, 'qq')")},
+  pieces AS (SELECT q, unnest(list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) > 2 AND w <> 'the'))) AS w FROM phrases WHERE q NOT IN (SELECT q FROM whole)),
+  {_hits("parted", "SELECT DISTINCT w AS q FROM pieces")},
+  tally AS (SELECT p.q, id, count(*) * 1000 + sum(score) AS s FROM pieces p JOIN parted h ON h.q = p.w GROUP BY 1, 2),
+  ranked AS (SELECT q, id, place, 'phrase' AS mode FROM whole UNION ALL SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, length(id), id), 'words' FROM tally),
+  told AS (SELECT q, any_value(mode) AS mode, string_agg(id, ',' ORDER BY place) FILTER (place <= 3) AS "primary", greatest(0, count(*) - 3) AS more FROM ranked GROUP BY q),
+  lost AS (SELECT q, string_agg(w, ' ' ORDER BY w) AS w FROM pieces WHERE w NOT IN (SELECT q FROM parted) GROUP BY q)
+  SELECT p.q, coalesce(mode, 'none') AS mode, coalesce("primary", '') AS "primary", CAST(coalesce(more, 0) AS BIGINT) AS more, CASE WHEN mode = 'phrase' THEN '' WHEN mode = 'words' THEN coalesce(w, '') ELSE coalesce(w, p.q) END AS missing FROM phrases p LEFT JOIN told USING (q) LEFT JOIN lost USING (q)
+  UNION ALL SELECT 'Customer:' || c_custkey, 'id', 'customer:' || c_custkey, 0, '' FROM customer UNION ALL SELECT 'customer:x' || c_custkey, 'missing', '', 0, 'customer:x' || c_custkey FROM customer"""
+
+
 def _briefs(budgets: tuple[int, ...]) -> str:
     """Briefs of all customers: units, then what stands before the first that does not fit."""
     sections = ["primary", "decisions", "quotes", "gaps", "related", "bridges"]

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import answers, briefs, changes, components, compose, evidence, expand, logs, needs, quality, redaction, resolve, search, traverse
+from evigraph.operators import answers, briefs, changes, components, compose, evidence, expand, logs, needs, quality, redaction, resolve, scopes, search, traverse
 from evigraph.plans import testgraph as T
 from evigraph.sources import files, texts
 
@@ -206,6 +206,18 @@ def _briefs(t: Tables) -> DataFrame:
     return T.union([briefs.fitted_texts(units, budget, briefs.SECTIONS) for budget in (0, 60, 200, 2000)])
 
 
+def _phrases(t: Tables) -> DataFrame:
+    """Part names as they stand, in the plural, and turned round with an unknown word; nations' aliases, suppliers, ids that are and are not there."""
+    part = t.raw("part").select(F.col("p_name").alias("n")).distinct()
+    turned = F.concat(F.split_part("n", F.lit(" "), F.lit(2)), F.lit(" the "), F.split_part("n", F.lit(" "), F.lit(1)), F.lit(" zzq"))
+    one = lambda df, q: df.select(q.alias("q"))
+    key = F.col("c_custkey").cast("string")
+    return T.union([
+        one(part, F.col("n")), one(part, F.concat("n", F.lit("s"))), one(part, turned), one(t.raw("nation"), F.concat(F.lit("alt "), "n_name")), one(t.raw("region"), F.concat(F.lit("qq"), "r_name", F.lit(" xx"))),
+        one(t.raw("supplier"), F.col("s_name")), one(t.raw("customer"), F.concat(F.lit("Customer:"), key)), one(t.raw("customer"), F.concat(F.lit("customer:x"), key)),
+    ])
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -275,6 +287,7 @@ QUERIES = {
     "merge_ops": lambda t: resolve.merge_ops(_merges(t).select(F.col("keep").alias("a"), F.col("drop").alias("b"), F.lit(1.0).alias("score")), t.nodes),
     # search
     "search_tiers": lambda t: search.search(SEARCHES, search.searchable(t.nodes, t.registry)),
+    "phrase_scopes": lambda t: scopes.resolve_scopes(_phrases(t), search.searchable(t.nodes, t.registry), t.nodes).select("q", "mode", "primary", "more", "missing"),
     "vocabulary": lambda t: search.vocabulary(t.nodes),
     "suggestions": lambda t: search.suggestions(t.raw("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct().select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 60)).alias("q")), search.vocabulary(t.nodes)),
     "phrase_lines": lambda t: search.phrase_lines(t.nodes.where("status <> 'archived'").select("id", "name", "aliases").select("id", F.explode(F.array_append("aliases", F.col("name"))).alias("phrase")).unionByName(t.spark.createDataFrame([("w1", "the"), ("w2", "de la")], "id string, phrase string")), t.texts.withColumnRenamed("id", "src")),
