@@ -352,6 +352,19 @@ SQL["search_tiers"] = f""", asked(q, alt, tokens, forms) AS (VALUES {", ".join(_
   SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
 
 
+#: What is wrong with record lines: (every so many customers, but not each so many, field, problem).
+_WRONG = [(7, (29,), "name", "text"), (17, (31,), "summary", "text"), (11, (37,), "aliases", "a list"), (13, (), "attrs", "an object"), (19, (), "prov", "a list"), (23, (), "archived", "an object")]
+_SIGNS = [(29, "name", "a tab or line break U+000A"), (31, "summary", "the control character U+0007"), (37, "aliases", "the invisible formatting character U+202E"), (41, "", "U+D83D, half of a character")]
+SQL["shape_problems"] = " UNION ALL ".join(
+    ["SELECT 'P01' AS code, NULL AS id, '' AS path, 'is no JSON object' AS problem FROM customer WHERE c_custkey % 43 = 0"]
+    + [f"SELECT 'P02', 'customer:' || c_custkey, '{field}', 'is not {want}; it reads as empty until the line is mended' FROM customer WHERE c_custkey % 43 <> 0 AND c_custkey % {n} = 0" + "".join(f" AND c_custkey % {m} <> 0" for m in but) for n, but, field, want in _WRONG]
+    + [f"SELECT 'P02', 'customer:' || c_custkey, '{path}', 'holds {what}' FROM customer WHERE c_custkey % 43 <> 0 AND c_custkey % {n} = 0" for n, path, what in _SIGNS]
+)
+SQL["shaped_records"] = """SELECT 'customer:' || k AS id, CASE WHEN k % 29 = 0 THEN 'two' || chr(10) || 'lines' WHEN k % 7 = 0 OR k % 5 = 0 THEN '' ELSE c_name END AS name, CASE WHEN k % 31 = 0 THEN 'bell' || chr(7) WHEN k % 17 = 0 THEN '' ELSE 'two' || chr(10) || 'lines' END AS summary,
+  CAST(CASE WHEN k % 37 = 0 THEN 2 WHEN k % 11 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_aliases, CASE WHEN k % 13 <> 0 THEN '"' || c_mktsegment || '"' END AS segment, CAST(CASE WHEN k % 19 = 0 THEN 0 ELSE 1 END AS INTEGER) AS n_prov, CAST(NULL AS VARCHAR) AS archived
+  FROM (SELECT *, c_custkey AS k FROM customer) WHERE k % 43 <> 0"""
+
+
 def _hits(name: str, asked: str) -> str:
     """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
     every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"

@@ -1,13 +1,13 @@
 """The registered graph queries: each applies an operator to the whole derived graph."""
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
 from evigraph.operators import answers, briefs, changes, components, compose, evidence, expand, logs, needs, quality, redaction, resolve, scopes, search, traverse
 from evigraph.plans import testgraph as T
-from evigraph.sources import files, texts
+from evigraph.sources import files, shapes, texts
 
 SEARCHES = ["customer#000000007", "spring OR autumn", "order 1", "part:12", "machinery", "alt europe", "regions", "orders 77", "meated spring"]
 
@@ -218,6 +218,19 @@ def _phrases(t: Tables) -> DataFrame:
     ])
 
 
+def _record_lines(t: Tables) -> DataFrame:
+    """(line): customers as record lines, of which some hold fields of other types or characters that may not stand there."""
+    k = F.col("c_custkey")
+    every = lambda n, then, other: F.when(k % n == 0, F.lit(then)).otherwise(other if isinstance(other, Column) else F.lit(other))
+    name = every(29, '"two\\nlines"', every(7, "17", every(5, "null", F.concat(F.lit('"'), "c_name", F.lit('"')))))
+    summary = every(31, '"bell\\u0007"', every(17, '["s"]', '"two\\nlines"'))
+    aliases = every(37, '["ok","x\\u202ey"]', every(11, '"one"', F.concat(F.lit('["alt '), "c_name", F.lit('"]'))))
+    attrs = every(13, "[1]", F.concat(F.lit('{"segment":"'), "c_mktsegment", F.lit('","deep":{"n":1.50}}')))
+    prov = every(19, "{}", '[{"src":"s","quote":"x\\u202ey"}]')
+    parts = [F.lit('{"id":"customer:'), k.cast("string"), F.lit('","name":'), name, F.lit(',"summary":'), summary, F.lit(',"aliases":'), aliases, F.lit(',"attrs":'), attrs, F.lit(',"prov":'), prov, every(23, ',"archived":"gone"', ""), every(41, ',"note":"\\ud83d"', ""), every(43, "", "}")]
+    return t.raw("customer").select(F.concat(*parts).alias("line"))
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -361,6 +374,8 @@ QUERIES = {
     "cue_lines": _cues,
     "extracted_files": lambda t: files.extracted(_files(t)),
     "csv_lines": lambda t: texts.csv_lines(t.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))), ["c_name", "c_mktsegment", "c_nationkey"], "c_custkey"),
+    "shape_problems": lambda t: shapes.shape_problems(_record_lines(t), shapes.NODE, shapes.NODE_TEXTS),
+    "shaped_records": lambda t: shapes.read_nodes(_record_lines(t)).select("id", "name", "summary", F.size("aliases").alias("n_aliases"), F.try_element_at("attrs", F.lit("segment")).alias("segment"), F.size("prov").alias("n_prov"), "archived"),
     "find_text": lambda t: texts.find_text({"nodes": (t.nodes, "id", ["name", "summary"]), "events": (t.raw("events").selectExpr("event_id as id", "event_type"), "id", ["event_type"])}, "Purchase"),
     "html_text": lambda t: t.raw("pages").select("page_id", texts.html_text("html").alias("text")),
     "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("sha256")),
