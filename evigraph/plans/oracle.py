@@ -365,6 +365,10 @@ SQL["shaped_records"] = """SELECT 'customer:' || k AS id, CASE WHEN k % 29 = 0 T
   FROM (SELECT *, c_custkey AS k FROM customer) WHERE k % 43 <> 0"""
 
 
+SQL["redacted_contacts"] = """SELECT c_custkey, CASE WHEN c_custkey % 10 > 2 THEN 'mail [redacted:email] or [redacted:email], no key' || chr(10) || '{"phone": "[redacted:phone]", "size": 4.50}' END AS clean,
+  CAST(2 AS INTEGER) AS emails, CASE WHEN c_custkey % 10 > 2 THEN '' ELSE 'credential' END AS refused FROM customer"""
+
+
 def _hits(name: str, asked: str) -> str:
     """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
     every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"

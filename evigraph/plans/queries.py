@@ -231,6 +231,14 @@ def _record_lines(t: Tables) -> DataFrame:
     return t.raw("customer").select(F.concat(*parts).alias("line"))
 
 
+def _contacts(t: Tables) -> DataFrame:
+    """(c_custkey, text): notes on customers with addresses in many spellings; some hold a credential."""
+    k = F.col("c_custkey")
+    key = k.cast("string")
+    words = ["mail c", key, "%40shop.example or c", key, "\uff20shop.example, ", F.when(k % 10 == 0, "api%5Fkey%3D0123456789abcdef0123").when(k % 10 == 1, "\uff54oken \uff1d 0123456789abcdef0123").otherwise("no key"), "\n", '{"phone": "07700', F.lpad(key, 6, "0"), '", "size": 4.50', F.when(k % 10 == 2, ', "client_secret": "s3cr3t-value"').otherwise(""), "}"]
+    return t.raw("customer").select("c_custkey", F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("text"))
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -380,6 +388,7 @@ QUERIES = {
     "html_text": lambda t: t.raw("pages").select("page_id", texts.html_text("html").alias("text")),
     "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("sha256")),
     "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("sha256"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
+    "redacted_contacts": lambda t: texts.redact(_contacts(t)).select("c_custkey", "clean", F.try_element_at("redactions", F.lit("email")).alias("emails"), F.array_join("refused", ",").alias("refused")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
     "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), redaction.patterns(t.nodes, _hidden(t)), ["x"]).select("key", "clean"),
     "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),

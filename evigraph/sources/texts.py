@@ -183,33 +183,163 @@ def is_card(digits: str) -> bool:
     return any(len(digits) in lengths and re.match(prefix, digits) for prefix, lengths in NETWORKS) and luhn(digits)
 
 
-def redacted(text: str, policy: dict[str, str], most: int = 8) -> tuple[str | None, dict[str, int], list[str]]:
-    """(clean text or None if refused, counts by kind, kinds refused).  Rules repeat until the text is stable."""
-    refused = [kind for kind, rule in CREDENTIALS.items() if re.search(rule, text)]
-    counts: dict[str, int] = {}
+#: Typographic blanks, hyphens and full-width forms that stand for one ASCII character each.
+FOLD = {c: " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {c: "-" for c in (*range(0x2010, 0x2016), 0x2212, 0xFE58, 0xFE63)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+ESCAPES = re.compile("(?:%[0-9A-Fa-f]{2})+")
+#: Names of JSON fields whose text is a credential, those whose number is one too, and those that hold phone numbers.
+SECRET_NAME = re.compile(r"(?i)(?:.*[^a-z0-9])?(?:pass(?:word|wd|phrase)|pwd|secret|(?:api|access|private|secret|signing|encryption)[^a-z0-9]?key|(?:auth|access|refresh|session|bearer|api|id)?[^a-z0-9]?token|client[^a-z0-9]?secret|credentials?)")
+NUMBER_NAME = re.compile(r"(?i).*(?:password|passwd|pwd|secret|key)")
+PHONE_NAME = re.compile(r"(?i)(?:.*[^a-z])?(?:phone|mobile|tel|telephone|cell|fax)(?:[^a-z].*)?|.*(?:Phone|Mobile)(?:Number|No)?")
+PHONE_VALUE = re.compile(r"\+?[\d ().-]{7,40}")
+#: What stands where a credential would: a variable, or a word that says so.
+PLACEHOLDER = re.compile(r"(?is)\$\{?\w+\}?|\{\{.*\}\}|<.*>|%\w+%|(?:your|my|change|example|placeholder|redacted|\[redacted|none|null|todo|dummy|test).*")
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
+
+
+def percent_decoded(text: str) -> tuple[str, list[int]]:
+    """The text with its escapes read as UTF-8, and where each of its characters began; one entry more for the end."""
+    out, starts, at = [], [], 0
+    for run in ESCAPES.finditer(text):
+        out.append(text[at:run.start()])
+        starts += range(at, run.start())
+        place = run.start()
+        for c in bytes.fromhex(run[0].replace("%", "")).decode("utf-8", "surrogateescape"):
+            out.append("\ufffd" if "\udc80" <= c <= "\udcff" else c)
+            starts.append(place)
+            place += 3 * len(c.encode("utf-8", "surrogateescape"))
+        at = run.end()
+    out.append(text[at:])
+    return "".join(out), [*starts, *range(at, len(text) + 1)]
+
+
+def _copies(text: str) -> Iterator[tuple[str, list[int] | None]]:
+    """The text and what it reads as when decoded or folded, with the places that spans of these come from."""
+    yield text, None
+    if ESCAPES.search(text):
+        decoded, starts = percent_decoded(text)
+        yield decoded, starts
+        if (folded := decoded.translate(FOLD)) != decoded:
+            yield folded, starts
+    if (folded := text.translate(FOLD)) != text:
+        yield folded, None
+
+
+def _personal(text: str, policy: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """Spans of personal data and their kind."""
+    for m in re.finditer(CARD, text):
+        if policy.get("payment_card", "redact") != "keep" and is_card(re.sub(r"\D", "", m[0])):
+            yield *m.span(), "payment_card"
+    for kind, rule in PERSONAL.items():
+        if policy.get(kind, "redact") != "keep":
+            yield from ((*m.span(), kind) for m in re.finditer(rule, text))
+
+
+class _Finding:
+    """What was found in a text: counts of what was written over, and kinds that refuse the text."""
+
+    def __init__(self, policy: dict[str, str]):
+        self.policy, self.counts, self.refused = policy, {}, set()
+
+    def over(self, kind: str) -> str:
+        if self.policy.get(kind, "redact") == "refuse":
+            self.refused.add(kind)
+        else:
+            self.counts[kind] = self.counts.get(kind, 0) + 1
+        return f"[redacted:{kind}]"
+
+    def plain(self, text: str) -> str:
+        """One pass over the text and its copies; spans that overlap are written over as one, under the kind of the first and longest."""
+        hits = []
+        for copy, starts in _copies(text):
+            self.refused |= {kind for kind, rule in CREDENTIALS.items() if re.search(rule, copy)}
+            hits += [(s, -e, kind) if starts is None else (starts[s], -starts[e], kind) for s, e, kind in _personal(copy, self.policy)]
+        out, at, merged = [], 0, []
+        for s, less, kind in sorted(hits, key=lambda h: (h[0], h[1], h[2] != "payment_card", h[2])):
+            if merged and s < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], -less)
+            else:
+                merged.append([s, -less, kind])
+        for s, e, kind in merged:
+            out += [text[at:s], self.over(kind)]
+            at = e
+        return "".join(out) + text[at:]
+
+    def of_json(self, text: str) -> str:
+        """The texts inside of a JSON value, by the names they stand under; all else stays as it is spelled."""
+        out, at, names, name = [], 0, [], None
+        tokens = list(TOKEN.finditer(text))
+        for m, following in zip(tokens, [*(t[0] for t in tokens[1:]), ""], strict=True):
+            word = m[0]
+            if word in "{[":
+                names.append(name)
+            elif word in "}]":
+                name = names.pop() if names else None
+            elif word in ",:":
+                continue
+            else:
+                value = json.loads(word) if word[0] == '"' else None
+                kind, new = None, value
+                if following == ":":
+                    name, new = value, self.plain(value)
+                elif value is not None:
+                    if name and SECRET_NAME.fullmatch(name) and len(set(value)) > 2 and not PLACEHOLDER.fullmatch(value):
+                        kind = "credential"
+                    elif name and PHONE_NAME.fullmatch(name) and PHONE_VALUE.fullmatch(value.strip()):
+                        kind = "phone"
+                    else:
+                        new = self.plain(value)
+                elif name and re.fullmatch(r"-?\d.*", word):
+                    if SECRET_NAME.fullmatch(name) and NUMBER_NAME.fullmatch(name):
+                        kind = "credential"
+                    elif PHONE_NAME.fullmatch(name) and re.fullmatch(r"\d{7,15}", word):
+                        kind = "phone"
+                if kind == "credential":
+                    self.refused.add(kind)
+                elif kind == "phone" and self.policy.get(kind, "redact") != "keep":
+                    new = self.over(kind)
+                if new != value and kind != "credential":
+                    out += [text[at:m.start()], json.dumps(new, ensure_ascii=False)]
+                    at = m.end()
+        return "".join(out) + text[at:]
+
+    def whole(self, text: str) -> str:
+        """Lines that are JSON objects or lists, or a whole text that is one, are read by their fields, all else as text."""
+        if _is_json(text):
+            return self.of_json(text)
+        out, run = [], []
+        for line in text.splitlines(keepends=True):
+            if _is_json(line):
+                out += [self.plain("".join(run)), self.of_json(line)]
+                run = []
+            else:
+                run.append(line)
+        return "".join(out) + self.plain("".join(run))
+
+
+def _is_json(text: str) -> bool:
+    if text.lstrip()[:1] not in ("{", "["):
+        return False
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
 
-    def card(m: re.Match) -> str:
-        digits = re.sub(r"\D", "", m[0])
-        if not is_card(digits) or policy.get("payment_card", "redact") == "keep":
-            return m[0]
-        counts["payment_card"] = counts.get("payment_card", 0) + 1
-        return "[redacted:payment_card]"
 
+def redacted(text: str, policy: dict[str, str], most: int = 8) -> tuple[str | None, dict[str, int], list[str]]:
+    """(clean text or None if refused, counts by kind, kinds refused): as it stands, decoded, folded and by JSON fields, again until it is stable."""
+    found = _Finding(policy)
     for _ in range(most):
-        before = text
-        text = re.sub(CARD, card, text)
-        for kind, rule in PERSONAL.items():
-            if policy.get(kind, "redact") == "refuse" and re.search(rule, text):
-                refused.append(kind)
-            elif policy.get(kind, "redact") == "redact":
-                text, n = re.subn(rule, f"[redacted:{kind}]", text)
-                if n:
-                    counts[kind] = counts.get(kind, 0) + n
+        before, text = text, found.whole(text)
         if text == before:
             break
     else:
-        refused.append("unsettled")
-    return (None if refused else text), counts, sorted(set(refused))
+        found.refused.add("unsettled")
+    return (None if found.refused else text), found.counts, sorted(found.refused)
+
+
+#: Texts without any of this hold nothing to redact.
+SUSPECT = r"@|\d{2}|-----BEGIN|AKIA|ASIA|://|(?i)bearer|pass|pwd|secret|key|token|credential|gh[pousr]_|xox|%[0-9a-f]{2}|[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2010}-\x{2015}\x{202f}\x{205f}\x{2212}\x{3000}\x{fe58}\x{fe63}\x{ff01}-\x{ff5e}]"
 
 
 def redact(df: DataFrame, text: str = "text", policy: dict[str, str] | None = None) -> DataFrame:
@@ -221,7 +351,7 @@ def redact(df: DataFrame, text: str = "text", policy: dict[str, str] | None = No
         for texts in batches:
             yield pd.DataFrame([redacted(t, rules) if t is not None else (None, {}, []) for t in texts], columns=["clean", "redactions", "refused"])
 
-    suspect = F.col(text).rlike(r"@|\d{2}|-----BEGIN|AKIA|ASIA|://|(?i)bearer|password|passwd|secret|key|token|gh[pousr]_|xox")
+    suspect = F.col(text).rlike(SUSPECT)
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
     flagged = df.withColumn("_r", run(F.when(suspect, F.col(text))))
     return flagged.select(*df.columns, F.when(suspect, F.col("_r.clean")).otherwise(F.col(text)).alias("clean"), F.when(suspect, F.col("_r.redactions")).otherwise(empty).alias("redactions"), F.when(suspect, F.col("_r.refused")).otherwise(F.array().cast("array<string>")).alias("refused"))
