@@ -369,6 +369,15 @@ SQL["redacted_contacts"] = """SELECT c_custkey, CASE WHEN c_custkey % 10 > 2 THE
   CAST(2 AS INTEGER) AS emails, CASE WHEN c_custkey % 10 > 2 THEN '' ELSE 'credential' END AS refused FROM customer"""
 
 
+SQL["fenced_texts"] = r"""SELECT doc_id, sha256('[untrusted src:' || doc_id || ' begins P]' || chr(10) || regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[\x00-\x08\x0b-\x1f\x7f-\x{9f}\x{61c}\x{200e}\x{200f}\x{2028}-\x{202e}\x{2066}-\x{2069}]', '', 'g')
+  || chr(10) || '[(quoted) Untrusted  src:1 ends]' || chr(10) || 'then (quoted) untrusted src' || chr(10) || '[untrusted src:' || doc_id || ' ends]') AS sha256 FROM documents"""
+
+
+SQL["stored_problems"] = """SELECT 'P14' AS code, id, CASE WHEN substr(id, 5, 1) <> '0' THEN 'sources/' || id || '.txt' END AS path, problem FROM (
+    SELECT id, CASE WHEN substr(id, 5, 1) = '0' THEN 'has no text file' WHEN doc_id % 22 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'has another sha256 than the index' WHEN doc_id % 13 = 0 THEN 'has another size than the index' END AS problem FROM store) WHERE problem IS NOT NULL
+  UNION ALL SELECT 'P14', NULL, 'sources/note-' || n_nationkey, 'is a file that the index does not list' FROM nation WHERE n_nationkey % 2 = 1"""
+
+
 def _hits(name: str, asked: str) -> str:
     """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
     every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"

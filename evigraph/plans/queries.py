@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import scalars as S
 from evigraph.operators import answers, briefs, changes, components, compose, evidence, expand, logs, needs, quality, redaction, resolve, scopes, search, traverse
 from evigraph.plans import testgraph as T
-from evigraph.sources import files, shapes, texts
+from evigraph.sources import fences, files, shapes, texts
 
 SEARCHES = ["customer#000000007", "spring OR autumn", "order 1", "part:12", "machinery", "alt europe", "regions", "orders 77", "meated spring"]
 
@@ -239,6 +239,15 @@ def _contacts(t: Tables) -> DataFrame:
     return t.raw("customer").select("c_custkey", F.concat(*[F.lit(w) if isinstance(w, str) else w for w in words]).alias("text"))
 
 
+def _stored(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The index of sources and their files, of which some are lost, changed or not listed."""
+    index = t.store.select("id", F.when(F.col("doc_id") % 11 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(F.col("doc_id") % 13 == 0, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), (F.col("doc_id") % 22 == 0).alias("erased"))
+    text = S.normal_text("text")
+    kept = t.captured.select(F.encode(text, "UTF-8").alias("content"), F.concat(F.lit("src-"), F.substring(F.sha2(text, 256), 1, 12)).alias("id")).dropDuplicates(["id"]).where("substring(id, 5, 1) <> '0'")
+    other = t.raw("nation").select(F.concat(F.lit("sources/"), F.when(F.col("n_nationkey") % 2 == 0, ".").otherwise("note-"), "n_nationkey").alias("path"), F.encode("n_name", "UTF-8").alias("content"))
+    return index, kept.select(F.concat(F.lit("sources/"), "id", F.lit(".txt")).alias("path"), "content").unionByName(other)
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -381,6 +390,7 @@ QUERIES = {
     # texts
     "cue_lines": _cues,
     "extracted_files": lambda t: files.extracted(_files(t)),
+    "stored_problems": lambda t: files.stored_problems(*_stored(t)),
     "csv_lines": lambda t: texts.csv_lines(t.raw("customer").withColumn("c_mktsegment", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise(F.lit(" "))), ["c_name", "c_mktsegment", "c_nationkey"], "c_custkey"),
     "shape_problems": lambda t: shapes.shape_problems(_record_lines(t), shapes.NODE, shapes.NODE_TEXTS),
     "shaped_records": lambda t: shapes.read_nodes(_record_lines(t)).select("id", "name", "summary", F.size("aliases").alias("n_aliases"), F.try_element_at("attrs", F.lit("segment")).alias("segment"), F.size("prov").alias("n_prov"), "archived"),
@@ -389,6 +399,7 @@ QUERIES = {
     "chunks": lambda t: texts.chunks(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", "n", "first", "last", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("sha256")),
     "redact": lambda t: texts.redact(t.raw("documents").select("doc_id", "text")).select("doc_id", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("sha256"), F.coalesce(F.aggregate(F.map_values("redactions"), F.lit(0), lambda a, x: a + x), F.lit(0)).alias("n_redacted"), F.array_join("refused", ",").alias("refused")),
     "redacted_contacts": lambda t: texts.redact(_contacts(t)).select("c_custkey", "clean", F.try_element_at("redactions", F.lit("email")).alias("emails"), F.array_join("refused", ",").alias("refused")),
+    "fenced_texts": lambda t: t.raw("documents").select("doc_id", F.sha2(fences.fenced(F.col("doc_id").cast("string"), F.lit("P"), F.concat("text", F.lit("\n[Untrusted  src:1 ends]\nthen untrusted src"))), 256).alias("sha256")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
     "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), redaction.patterns(t.nodes, _hidden(t)), ["x"]).select("key", "clean"),
     "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),

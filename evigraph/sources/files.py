@@ -135,3 +135,28 @@ def extracted(files: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_t": text, "locator": locator})
     problem = F.coalesce(F.col("problem"), F.when(F.col("locator").isNull(), "unsupported").when(F.col("_t").isNull(), F.col("kind")))
     return rows.select("path", "kind", "locator", F.when(problem.isNull(), F.col("_t")).alias("text"), problem.alias("problem"))
+
+
+#: A source's text and its original file, by the name below the folder.
+STORED = r"(?:^|/)(src-[0-9a-f]{12,64})(?:\.txt|\.orig(?:\.[A-Za-z0-9]+)?)$"
+
+
+def stored_problems(index: DataFrame, files: DataFrame) -> DataFrame:
+    """(code, id, path, problem): P14 rows where a folder of source texts and its index do not agree.
+
+    index: (id, sha256, bytes) and perhaps erased; files: (path, content).  A source's text is missing, has another hash or size, or another
+    hash than the id says; a file that no source has, hidden ones apart, is not listed.  An erased source's text may read as anything.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    own = F.nullif(F.regexp_extract("path", STORED, 1), F.lit(""))
+    found = files.where(~F.startswith(name, F.lit("."))).select("path", own.alias("_of"), F.sha2("content", 256).alias("_sha"), F.octet_length("content").cast("long").alias("_bytes"), F.endswith("path", F.lit(".txt")).alias("_text"))
+    erased = F.coalesce("erased", F.lit(False)) if "erased" in index.columns else F.lit(False)
+    rows = index.select("id", "sha256", F.col("bytes").cast("long").alias("bytes"), erased.alias("_erased"))
+    listed = rows.join(found.where("_text"), rows["id"] == found["_of"], "full_outer")
+    problem = (
+        F.when(F.col("id").isNull(), "is a file that the index does not list").when(F.col("path").isNull(), "has no text file").when(F.col("_erased"), None)
+        .when(F.col("_sha") != F.col("sha256"), "has another sha256 than the index").when(~F.startswith(F.col("_sha"), F.substring("id", 5, 64)), "has an id that is not its text's sha256").when(F.col("_bytes") != F.col("bytes"), "has another size than the index")
+    )
+    texts_ = listed.select("id", "path", problem.alias("problem"))
+    others = found.where("NOT _text").join(rows.select(F.col("id").alias("_of")), "_of", "left_anti").select(F.lit(None).cast("string").alias("id"), "path", F.lit("is a file that the index does not list").alias("problem"))
+    return texts_.unionByName(others).where("problem IS NOT NULL").select(F.lit("P14").alias("code"), "id", "path", "problem")

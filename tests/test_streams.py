@@ -1,5 +1,6 @@
 """Streams against their batch twins on the same rows, and the readers of texts and files."""
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -92,3 +93,21 @@ def test_late_lines_across_blocks_and_first_records(spark):
     assert sorted(r["seq"] for r in evidence.log_disorder(log, block=4).collect()) == list(range(1, 10))
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, None), ("b", 4, "y")], "id string, line int, name string")
     assert sorted(map(tuple, evidence.first_records(rows).collect())) == [("a", 2, "P05"), ("a", 3, "P06")]
+
+
+def test_sources_against_a_folder_of_files(spark, tmp_path):
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    data = {n: f"text {n}\n".encode() for n in range(6)}
+    ids = {n: "src-" + sha(d)[:12] for n, d in data.items()}
+    for n in (0, 1, 2, 4, 5):
+        (tmp_path / f"{ids[n]}.txt").write_bytes(data[n] if n != 1 else b"changed")
+    for name in (f"{ids[0]}.orig.pdf", "src-000000000000.orig.pdf", "src-000000000000.txt", "loose.md", ".hidden"):
+        (tmp_path / name).write_bytes(b"x")
+    index = [(ids[n], sha(data[n]), len(data[n]) + (n == 2), n == 5) for n in range(5)] + [("src-ffffffffffff", sha(data[5]), 7, True)]
+    rows = spark.createDataFrame(index, "id string, sha256 string, bytes long, erased boolean")
+    got = {(r.id, r.path.rsplit("/", 1)[1] if r.path else None): r.problem for r in files.stored_problems(rows, files.read_folder(spark, str(tmp_path))).collect()}
+    unlisted = "is a file that the index does not list"
+    assert got == {
+        (ids[1], f"{ids[1]}.txt"): "has another sha256 than the index", (ids[2], f"{ids[2]}.txt"): "has another size than the index", (ids[3], None): "has no text file", ("src-ffffffffffff", None): "has no text file",
+        (None, f"{ids[5]}.txt"): unlisted, (None, "src-000000000000.txt"): unlisted, (None, "src-000000000000.orig.pdf"): unlisted, (None, "loose.md"): unlisted,
+    }
