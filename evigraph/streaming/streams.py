@@ -68,3 +68,43 @@ def changed_points(points: DataFrame) -> DataFrame:
 def verified_quotes(prov: DataFrame, texts: DataFrame) -> DataFrame:
     """Quotes of incoming provenance against the stored texts."""
     return quote_check(prov, texts)
+
+
+def stale_alerts(captured: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """(chain, id, at, state): ``stale`` once a source's days are over and nothing has superseded it, ``fresh`` when a later text of its chain does so afterwards.
+
+    captured: (kind, title, url, captured_at, stale_after_days, text); a chain is a url, else kind and title.  The state of a chain is its latest source; an
+    event-time timer at its capture and its days raises the alert, and a source that supersedes it sets the timer anew.  What comes later than ``late`` is
+    dropped; the last row of an id is its state, as ``logs.stale_sources`` has it at that moment.
+    """
+    text = S.normal_text("text")
+    chain = F.coalesce("url", F.concat_ws("\x1f", "kind", "title")).alias("chain")
+    rows = captured.select(chain, F.concat(F.lit("src-"), F.substring(F.sha2(text, 256), 1, 12)).alias("id"), "captured_at", F.coalesce("stale_after_days", F.lit(0)).cast("long").alias("days"))
+    day = 86_400_000
+
+    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, id_, days, alerted = state.get if state.exists else (None, None, 0, False)
+        out = []
+        if state.hasTimedOut:
+            out.append((key[0], id_, pd.Timestamp(at + days * day, unit="ms"), "stale"))
+            alerted = True
+        for part in parts:
+            for when, new, its_days in sorted(zip(part["captured_at"], part["id"], part["days"], strict=True)):
+                when = when.value // 1_000_000
+                if new == id_ or (at is not None and (when, new) < (at, id_)):
+                    continue  # the first capture of a text counts; an older source is superseded already
+                if alerted:
+                    out.append((key[0], id_, pd.Timestamp(when, unit="ms"), "fresh"))
+                at, id_, days, alerted = when, new, int(its_days), False
+        state.update((at, id_, days, alerted))
+        if days > 0 and not alerted:
+            due = at + days * day
+            if due > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(due)
+            else:  # over already, by the time that the stream has reached
+                out.append((key[0], id_, pd.Timestamp(due, unit="ms"), "stale"))
+                state.update((at, id_, days, True))
+        yield pd.DataFrame(out, columns=["chain", "id", "at", "state"])
+
+    keyed = rows.withWatermark("captured_at", late).groupBy("chain")
+    return keyed.applyInPandasWithState(follow, "chain string, id string, at timestamp, state string", "at long, id string, days long, alerted boolean", "append", GroupStateTimeout.EventTimeTimeout)

@@ -111,3 +111,28 @@ def test_sources_against_a_folder_of_files(spark, tmp_path):
         (ids[1], f"{ids[1]}.txt"): "has another sha256 than the index", (ids[2], f"{ids[2]}.txt"): "has another size than the index", (ids[3], None): "has no text file", ("src-ffffffffffff", None): "has no text file",
         (None, f"{ids[5]}.txt"): unlisted, (None, "src-000000000000.txt"): unlisted, (None, "src-000000000000.orig.pdf"): unlisted, (None, "loose.md"): unlisted,
     }
+
+
+def test_stale_alerts_equal_the_batch_at_three_moments(spark, tmp_path):
+    day = lambda n: START + dt.timedelta(days=n)
+    schema = "doc_id long, kind string, title string, url string, text string, captured_at timestamp, stale_after_days int"
+    parts = [
+        [(1, "file", "t", "u1", "one", day(0), 3), (2, "file", "t", "u2", "two", day(1), 10), (3, "file", "a", None, "three", day(1), 2), (4, "file", "b", None, "four", day(0), None), (5, "file", "t", "u1", "one\n", day(2), 9), (6, "web", "c", "u6", "six", day(2), 1)],
+        [(7, "file", "t", "u1", "one b", day(2.5), 30), (8, "file", "c", None, "eight", day(6), 0), (9, "file", "t", "u2", "two b", day(5), 1)],
+        [(10, "file", "a", None, "three b", day(12), 40), (11, "file", "d", None, "eleven", day(13), 1), (12, "file", "c", None, "eight b", day(20), 2)],
+    ]
+    source, seen = tmp_path / "in", []
+    source.mkdir()
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(source / f"p{n}"))
+        seen += part
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(source))
+        query = streams.stale_alerts(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        last = {}
+        for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: (r["at"], r["state"] == "fresh")):
+            last[r["id"]] = r["state"]
+        now = max(r[5] for r in seen)
+        store = logs.source_store(spark.createDataFrame(seen, schema))
+        want = {r["id"] for r in logs.stale_sources(store, F.lit(now)).collect()}
+        assert {i for i, s in last.items() if s == "stale"} == want and (n == 0 or want)
