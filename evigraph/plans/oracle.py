@@ -378,6 +378,14 @@ SQL["stored_problems"] = """SELECT 'P14' AS code, id, CASE WHEN substr(id, 5, 1)
   UNION ALL SELECT 'P14', NULL, 'sources/note-' || n_nationkey, 'is a file that the index does not list' FROM nation WHERE n_nationkey % 2 = 1"""
 
 
+SQL["bundled_exports"] = """SELECT l_orderkey AS key, 'p' || l_partkey AS ns, CAST(1 AS INTEGER) AS depth, '' AS via, sha256('{"bundled":{},"nodes":[{"id":"part:' || l_partkey || '"}]}') AS sha256 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+  UNION ALL SELECT l_orderkey, 's' || l_suppkey, 2, min('p' || l_partkey), sha256('{"bundled":{},"nodes":[{"id":"supplier:' || l_suppkey || '"}]}') FROM lineitem GROUP BY l_orderkey, l_suppkey"""
+SQL["repaired_sources"] = """, own_ AS (SELECT id, h AS sha256, captured, doc_id % 4 AS k FROM store)
+  SELECT id, sha256, CAST(captured - CASE WHEN k = 1 THEN 86400 ELSE 0 END AS BIGINT) * 1000000 AS captured, k = 2 AS erased FROM own_
+  UNION ALL SELECT id, sha256(sha256), CAST(captured AS BIGINT) * 1000000, FALSE FROM own_ WHERE k = 3"""
+SQL["repaired_edges"] = "SELECT id, src, dst FROM edges WHERE conf <= 0.45"
+
+
 def _hits(name: str, asked: str) -> str:
     """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
     every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"

@@ -248,6 +248,25 @@ def _stored(t: Tables) -> tuple[DataFrame, DataFrame]:
     return index, kept.select(F.concat(F.lit("sources/"), "id", F.lit(".txt")).alias("path"), "content").unionByName(other)
 
 
+def _bundles(t: Tables) -> DataFrame:
+    """Exports of orders that bundle those of their parts, which bundle those of their suppliers."""
+    line = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    export = lambda node, inner: F.concat(F.lit('{"nodes":[{"id":"'), node, F.lit('"}], "bundled":{'), inner, F.lit("}}"))
+    entry = lambda ns, of: F.concat(F.lit('"'), ns, F.lit('":{"export":'), of, F.lit("}"))
+    supplier = line.select("l_orderkey", "l_partkey", entry(F.concat(F.lit("s"), "l_suppkey"), export(F.concat(F.lit("supplier:"), "l_suppkey"), F.lit(""))).alias("e"))
+    part = supplier.groupBy("l_orderkey", "l_partkey").agg(F.array_join(F.collect_list("e"), ",").alias("inner"))
+    part = part.select("l_orderkey", entry(F.concat(F.lit("p"), "l_partkey"), export(F.concat(F.lit("part:"), "l_partkey"), F.col("inner"))).alias("e"))
+    return part.groupBy("l_orderkey").agg(F.array_join(F.collect_list("e"), ",").alias("inner")).select(F.col("l_orderkey").alias("key"), export(F.concat(F.lit("order:"), "l_orderkey"), F.col("inner")).alias("export"))
+
+
+def _doubled(t: Tables) -> DataFrame:
+    """Sources whose lines stand twice, some captured later, some erased, some with another text."""
+    own = t.store.select("id", "sha256", F.col("captured_at"), F.lit(False).alias("erased"), "doc_id")
+    k = F.col("doc_id") % 4
+    again = own.select("id", F.when(k == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"), F.when(k == 1, F.col("captured_at") - F.expr("interval 1 day")).otherwise(F.col("captured_at")).alias("captured_at"), (k == 2).alias("erased"), "doc_id")
+    return own.unionByName(again)
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -341,6 +360,9 @@ QUERIES = {
     "exported_edges": lambda t: compose.exported(t.nodes, t.edges, t.prov, t.texts, t.nodes.where("ns = 'b'").select("id"))[1].select("id", "src", "dst"),
     "exported_sources": lambda t: compose.exported(t.nodes, t.edges, t.prov, t.texts, t.nodes.where("ns = 'b'").select("id"))[2].select("id"),
     "hidden_names": lambda t: compose.hidden_names(t.nodes, t.nodes.where("kind = 'part' and conf > 0.05").select("id")),
+    "bundled_exports": lambda t: compose.bundled_exports(_bundles(t)).drop("export"),
+    "repaired_sources": lambda t: compose.repaired(t.nodes, t.edges, _doubled(t), t.edges.where("conf > 0.45"))["sources"].select("id", "sha256", F.unix_micros("captured_at").alias("captured"), "erased"),
+    "repaired_edges": lambda t: compose.repaired(t.nodes, _flat(t.edges).unionByName(_flat(t.edges).where("conf < 0.25")), _doubled(t), t.edges.where("conf > 0.45"))["edges"].select("id", "src", "dst"),
     "data_hash": lambda t: compose.data_hash(_snapshot(t)),
     "extraction_eval": lambda t: compose.extraction_eval(t.raw("part").select("p_name", "p_brand"), t.raw("part").select("p_name", F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(F.lit("Brand#11")).alias("p_brand"))),
     # changes
