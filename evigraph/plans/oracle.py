@@ -350,6 +350,7 @@ SQL["search_tiers"] = f""", asked(q, alt, tokens, forms) AS (VALUES {", ".join(_
       WHEN len(list_filter(ks, lambda k: contains(hay, tokens[k]) OR list_has_any(shay, forms[k]))) = len(ks) THEN 10 + least(30, m) ELSE 0 END AS st FROM c),
   s AS (SELECT q, id, status, boost, max(CASE WHEN lit >= 290 THEN lit ELSE greatest(lit, st) END) AS s FROM l GROUP BY ALL)
   SELECT q, id, score, place FROM (SELECT q, id, CAST(s + 5 * boost AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s + 5 * boost DESC, status = 'archived', length(id), id) AS INTEGER) AS place FROM s WHERE s > 0 AND (status <> 'archived' OR s >= 1000)) WHERE place <= 20"""
+SQL["hidden_archived"] = SQL["search_tiers"].rsplit("  SELECT q, id, score, place", 1)[0] + "  SELECT q, count(*) AS hidden FROM s WHERE s > 0 AND status = 'archived' AND s + 5 * boost < 1000 GROUP BY q"
 
 
 #: What is wrong with record lines: (every so many customers, but not each so many, field, problem).
@@ -386,6 +387,14 @@ SQL["repaired_sources"] = """, own_ AS (SELECT id, h AS sha256, captured, doc_id
 SQL["repaired_edges"] = "SELECT id, src, dst FROM edges WHERE conf <= 0.45"
 
 
+SQL["fresh_problems"] = """, s AS (SELECT s_suppkey AS k, s_suppkey % 5 AS n FROM supplier)
+  SELECT 'P07' AS code, 'Supplier:' || k AS record_id, unnest(['id grammar', 'id of another kind']) AS message FROM s WHERE n = 0
+  UNION ALL SELECT 'P07', 'x/supplier:' || k, unnest(['id grammar', 'id of another kind']) FROM s WHERE n = 1 UNION ALL SELECT 'P16', 'x/supplier:' || k, 'qualified id in local nodes' FROM s WHERE n = 1
+  UNION ALL SELECT 'P08', 'gadget:' || k, 'unknown kind' FROM s WHERE n = 2 UNION ALL SELECT 'P06', 'supplier:' || k, 'reused' FROM s WHERE n = 3
+  UNION ALL SELECT 'P09', e.id, 'kinds not allowed' FROM edges e JOIN s ON e.src = 'supplier:' || k WHERE n = 3 AND rel = 'located_in'
+  UNION ALL SELECT 'P07', 'e-' || lpad(CAST(k AS VARCHAR), 12, '0'), 'edge id differs from its hash' FROM s WHERE n = 4 UNION ALL SELECT 'P09', 'e-' || lpad(CAST(k AS VARCHAR), 12, '0'), unnest(['unknown relation', 'kinds not allowed']) FROM s WHERE n = 4"""
+
+
 def _hits(name: str, asked: str) -> str:
     """CTEs ``name`` (q, id, score, place) of searches for the texts (q) of ``asked``; plurals of the asked words stand for their singulars."""
     every = lambda test: f"len(list_filter(ks, lambda k: {test})) = len(ks)"

@@ -267,6 +267,18 @@ def _doubled(t: Tables) -> DataFrame:
     return own.unionByName(again)
 
 
+def _fresh(t: Tables) -> DataFrame:
+    """Problems that a change of each supplier would add: ids of another grammar, under a namespace, of an unknown kind, used again, and links of an unknown relation."""
+    k, s = F.col("k"), t.nodes.where("kind = 'supplier'")
+    n = (k % 5).cast("int")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("Supplier:", "x/supplier:", "gadget:", "supplier:")]), F.least(n + 1, F.lit(4)))
+    more = s.where(n < 4).withColumns({"id": F.concat(prefix, k), "kind": F.when(n == 2, "gadget").otherwise("supplier"), "name": F.concat(F.lit("planted "), k), "aliases": F.array().cast("array<string>")})
+    link = s.where(n == 4).select(F.concat(F.lit("e-"), F.lpad(k.cast("string"), 12, "0")).alias("id"), F.concat(F.lit("supplier:"), k).alias("src"), F.lit("eats").alias("rel"), F.lit("nation:0").alias("dst"), F.lit(None).cast("string").alias("key"), F.lit("confirmed").alias("status"), F.lit(0.5).alias("conf"), F.lit(False).alias("background"))
+    lines = t.texts.select("id", F.size(F.split("text", "\n")).alias("n_lines"))
+    check = lambda nodes, edges: quality.validate(nodes, edges, t.prov, lines, t.registry)
+    return quality.fresh_problems(check(t.nodes.unionByName(more), t.edges.unionByName(link)), check(t.nodes, t.edges))
+
+
 def _spoken(t: Tables) -> DataFrame:
     """Turns as units: a conversation is a subject, its roles are sections, a turn of a system is essential."""
     c = t.raw("conversations")
@@ -296,6 +308,7 @@ QUERIES = {
     "provenance_index": lambda t: t.prov.groupBy("src").agg(F.count("*").alias("citations"), F.count_distinct("record_id").alias("records")),
     "field_errors": lambda t: quality.field_errors(t.nodes, t.spark.createDataFrame([("customer", "segment", "enum", "BUILDING|MACHINERY"), ("part", "brand", "pattern", "^Brand#[1-3][0-9]$"), ("part", "type", "maxLength", "18")], "kind string, field string, keyword string, value string")),
     "validate": lambda t: quality.validate(t.nodes, t.edges, t.prov, t.texts.select("id", F.size(F.split("text", "\n")).alias("n_lines")), t.registry).groupBy("code").agg(F.count("*").alias("n")),
+    "fresh_problems": _fresh,
     # needs and richness
     "needs_gaps": lambda t: t.gaps,
     "dimension_coverage": lambda t: _coverage(t).withColumn("coverage", F.round("coverage", 6)),
@@ -337,6 +350,7 @@ QUERIES = {
     # search
     "search_tiers": lambda t: search.search(SEARCHES, search.searchable(t.nodes, t.registry)),
     "phrase_scopes": lambda t: scopes.resolve_scopes(_phrases(t), search.searchable(t.nodes, t.registry), t.nodes).select("q", "mode", "primary", "more", "missing"),
+    "hidden_archived": lambda t: search.hidden_archived(SEARCHES, search.searchable(t.nodes, t.registry)),
     "vocabulary": lambda t: search.vocabulary(t.nodes),
     "suggestions": lambda t: search.suggestions(t.raw("part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("w")).distinct().select(F.concat(F.substring("w", 1, 2), F.substring("w", 4, 60)).alias("q")), search.vocabulary(t.nodes)),
     "phrase_lines": lambda t: search.phrase_lines(t.nodes.where("status <> 'archived'").select("id", "name", "aliases").select("id", F.explode(F.array_append("aliases", F.col("name"))).alias("phrase")).unionByName(t.spark.createDataFrame([("w1", "the"), ("w2", "de la")], "id string, phrase string")), t.texts.withColumnRenamed("id", "src")),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
-from evigraph.operators import evidence, logs, search
+from evigraph.operators import evidence, logs, quality, search
 from evigraph.sources import files
 from evigraph.streaming import streams
 
@@ -136,3 +136,17 @@ def test_stale_alerts_equal_the_batch_at_three_moments(spark, tmp_path):
         store = logs.source_store(spark.createDataFrame(seen, schema))
         want = {r["id"] for r in logs.stale_sources(store, F.lit(now)).collect()}
         assert {i for i, s in last.items() if s == "stale"} == want and (n == 0 or want)
+
+
+def test_streamed_sessions_equal_the_batch(spark, tmp_path, log):
+    late = spark.createDataFrame([(999, "q0", "far", "answered", START + dt.timedelta(days=400))], log.schema)  # moves the watermark past all sessions
+    got = streamed(spark, tmp_path, log.unionByName(late), streams.answer_sessions, "append")
+    want = logs.sessions(log, ["node"]).select("node", "started", "n").collect()
+    assert sorted((r.node, r.started, r.n) for r in got.collect() if r.node != "far") == sorted(map(tuple, want))
+
+
+def test_streamed_quotes_equal_the_batch(spark, tmp_path):
+    texts = spark.createDataFrame([("s", "one two\nthree  four\nfive")], "id string, text string")
+    prov = spark.createDataFrame([("r", 1, "s", "L1-L2", "two three four"), ("r", 2, "s", "L1-L1", "three"), ("r", 3, "s", "P", "four five"), ("q", 1, "none", "P", "x")], "record_id string, ord int, src string, loc string, quote string")
+    got = streamed(spark, tmp_path, prov, lambda p: streams.verified_quotes(p, texts), "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, quality.quote_check(prov, texts).collect())) and got.count() == 3
