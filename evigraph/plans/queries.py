@@ -437,7 +437,7 @@ QUERIES = {
     "redacted_contacts": lambda t: texts.redact(_contacts(t)).select("c_custkey", "clean", F.try_element_at("redactions", F.lit("email")).alias("emails"), F.array_join("refused", ",").alias("refused")),
     "fenced_texts": lambda t: t.raw("documents").select("doc_id", F.sha2(fences.fenced(F.col("doc_id").cast("string"), F.lit("P"), F.concat("text", F.lit("\n[Untrusted  src:1 ends]\nthen untrusted src"))), 256).alias("sha256")),
     "secret_scan": lambda t: texts.secret_scan(t.raw("documents").select("doc_id", "text"), "doc_id"),
-    "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), redaction.patterns(t.nodes, _hidden(t)), ["x"]).select("key", "clean"),
+    "redacted_notes": lambda t: redaction.scrub_texts(_order_notes(t), components.written(redaction.patterns(t.nodes, _hidden(t))), ["x"]).select("key", "clean"),
     "canonical_lines": lambda t: texts.canonical_lines(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))),
 }
 
