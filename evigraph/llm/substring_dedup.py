@@ -18,7 +18,7 @@ is matched with its previous occurrence, not its first.  Any ``RUNS * WORDS + WI
 
 In each document the matches with one earlier document are chained: ordered in both texts,
 scored by what they cover less a cost for gaps, the best predecessor found in a Fenwick tree.  A
-chain is kept, even one of a single seed, if as many matched seeds as a passage shares at least, with whatever earlier documents, lie
+chain of short seeds is kept if it spans as many words as two of them and as many matched seeds as a passage shares at least, with whatever earlier documents, lie
 so near that one passage could hold them.  Chains are aligned word by word in both texts, and what
 aligned parts cover without a break, against whichever earlier documents, is a passage if it
 has at least ``min_words`` words.  A part is ``PART`` words long at least: shorter ones are phrases that
@@ -302,29 +302,40 @@ def runs(spans: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, least: int | None = None) -> DataFrame:
-    """Chains of (doc, pos, lead, lead_pos) matches, those of one match too, that a passage can hold: with ``least`` matches as near as a passage is long.
+def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """Chains of (doc, pos, lead, lead_pos, sparse) matches that a passage can hold: of short seeds those that span two of them.
 
+    Matches of long seeds, single ones too, make chains of their own, but for those inside of a chain that is a passage as it stands.
     Rows come grouped by document; one document's matches are bounded by its length.
     """
     # A changed word spoils ``words`` seeds at most.
-    least = least or max(1, min_words - words + 1 - round(min_words * (1 - similarity)) * words)
+    least = max(1, min_words - words + 1 - round(min_words * (1 - similarity)) * words)
 
-    def of_document(doc: int, pos: np.ndarray, lead: np.ndarray, lead_pos: np.ndarray) -> list[tuple]:
-        out = []
-        cuts = np.flatnonzero(np.diff(lead)) + 1
-        places = np.unique(pos)
+    def of_document(doc: int, pos: np.ndarray, lead: np.ndarray, lead_pos: np.ndarray, sparse: np.ndarray) -> list[tuple]:
+        out, sure = [], []
+        places = np.unique(pos[~sparse])
 
-        def near(first: int, last: int) -> int:
+        def near(first: np.ndarray, last: np.ndarray) -> np.ndarray:
             return np.searchsorted(places, last + min_words, "right") - np.searchsorted(places, first - min_words)
 
-        for own in np.split(np.arange(len(pos)), cuts):
-            if near(pos[own[0]], pos[own[-1]]) < least:
-                continue
-            for x in chain(pos[own], lead_pos[own], words):
-                i = own[x]
-                if near(pos[i[0]], pos[i[-1]]) >= least:
-                    out.append((doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + words, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + words))
+        def row(i: np.ndarray, size: int) -> tuple:
+            return doc, int(lead[i[0]]), int(pos[i[0]]), int(pos[i[-1]]) + size, int(lead_pos[i[0]]), int(lead_pos[i[-1]]) + size
+
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(lead) != 0) | (np.diff(sparse) != 0)]))
+        end = np.append(start[1:], len(pos))
+        first, last = pos[start], pos[end - 1]
+        for x, y in zip(start[hold := sparse[start] | ((last - first >= words) & (near(first, last) >= least))].tolist(), end[hold].tolist(), strict=True):
+            for found in chain(pos[x:y], lead_pos[x:y], RUNS * words if sparse[x] else words):
+                i = found + x
+                made = row(i, RUNS * words if sparse[x] else words)
+                if sparse[x]:
+                    if not any(s <= made[2] and made[3] <= e for s, e in sure):
+                        out.append(made)
+                elif made[3] - made[2] >= 2 * words and near(pos[i[0]], pos[i[-1]]) >= least:
+                    out.append(made)
+                    held = words + int(np.minimum(np.diff(pos[i]), words).sum())
+                    if made[3] - made[2] >= min_words and held >= similarity * max(made[3] - made[2], made[5] - made[4]):
+                        sure.append((made[2], made[3]))
         return out
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,13 +350,13 @@ def chains(matches: DataFrame, words: int = WORDS, min_words: int = MIN_WORDS, s
             yield of_rows(rest)
 
     def of_rows(rows: pd.DataFrame) -> pd.DataFrame:
-        doc, pos, lead, lead_pos = (rows[c].to_numpy() for c in ("doc", "pos", "lead", "lead_pos"))
+        doc, *columns = (rows[c].to_numpy() for c in ("doc", "pos", "lead", "lead_pos", "sparse"))
         out = []
         for own in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(doc)) + 1):
-            out += of_document(int(doc[own[0]]), pos[own], lead[own], lead_pos[own])
+            out += of_document(int(doc[own[0]]), *(x[own] for x in columns))
         return pd.DataFrame(out, columns=["doc", "lead", "start", "end", "lead_start", "lead_end"])
 
-    return matches.select("doc", "lead", "pos", "lead_pos").repartition("doc").sortWithinPartitions("doc", "lead", "pos").mapInPandas(chained, CHAIN)
+    return matches.select("doc", "lead", "pos", "lead_pos", "sparse").repartition("doc").sortWithinPartitions("doc", "sparse", "lead", "pos").mapInPandas(chained, CHAIN)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, max_gap: int = MAX_GAP, sure: int = 4, tail: bool = False) -> list[tuple[int, int, int]]:
@@ -483,7 +494,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     copies = durable(keyed.join(first, "_key").where("doc_id <> source_id").select("doc_id", "source_id").distinct())
     heads = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
     found, matches = seed_matches(heads, words)
-    linked = durable(chains(matches.where("NOT sparse"), words, min_words, similarity).unionByName(chains(matches.where("sparse"), RUNS * words, min_words, similarity, 1)))
+    linked = durable(chains(matches, words, min_words, similarity))
     discard(found)
     passages = aligned_passages(linked, heads, min_words, similarity)
     size = F.size(F.split(F.rtrim(F.ltrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))), " "))
