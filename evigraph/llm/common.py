@@ -1,5 +1,6 @@
 """Helpers that several corpus operators share."""
 import contextlib
+import contextvars
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_record: list[list[str]] = []
+#: The lists that ``recorded`` keeps in this thread.
+_record: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("recorded", default=())
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -25,7 +27,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evigraph/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    for paths in _record:
+    for paths in _record.get():
         paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
@@ -34,13 +36,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def recorded() -> Iterator[list[str]]:
-    """The paths of the tables that ``durable`` writes meanwhile."""
+    """The paths of the tables that ``durable`` writes meanwhile in this thread."""
     paths: list[str] = []
-    _record.append(paths)
+    before = _record.set((*_record.get(), paths))
     try:
         yield paths
     finally:
-        _record.remove(paths)
+        _record.reset(before)
 
 
 def remove(spark: SparkSession, paths: Iterable[str]) -> None:
