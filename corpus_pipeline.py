@@ -5,10 +5,11 @@ of equal rows and near copies the smallest doc_id stays; a document left without
 doc_id pass the first four stages and are packed; null lang, source and n_chars pass through; extra columns pass through all stages
 but the last; an empty table gives an empty result.
 
-A stage's own tables in the shared folder are deleted when the next stage begins, which reads what that stage has returned and
-not those.
+A stage's own tables in the shared folder are deleted when the next stage of the same pipeline begins (the same thread and folder), which reads
+what that stage has returned and not those.
 """
 import functools
+import threading
 import uuid
 
 import public_tokenizers
@@ -19,7 +20,8 @@ from evigraph.llm import language, near_dup, packing, quality_rules, substring_d
 from evigraph.llm.common import recorded, remove, shared_dir, table
 
 
-_left: list[str] = []
+#: What the last stage of a pipeline has left, by the thread that runs it and the folder it runs over.
+_left: dict[tuple[int, str], list[str]] = {}
 
 
 def stage(function):
@@ -27,11 +29,11 @@ def stage(function):
 
     @functools.wraps(function)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _left)
-        _left.clear()
+        own = threading.get_ident(), sf_dir
+        remove(spark, _left.pop(own, []))
         with recorded() as paths:
             out = function(spark, docs, sf_dir)
-        _left.extend(paths)
+        _left[own] = paths
         return out
 
     return staged
