@@ -24,6 +24,67 @@ def footer(left: Column, sections: list[str], budget: int) -> Column:
     return F.when(F.size(groups) == 0, "").otherwise(F.concat(F.lit(f"left out to fit {budget} tokens: "), F.array_join(F.concat(told, more), "; ")))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _fitted(budget: int, sections: list[str], head: int) -> Column:
+    """(used, stops, halt, left) of ``_units`` in order and ``_left``: characters used, the first rank of each section that did not fit, the rank that ended all, counts left.
+
+    The footer is spelt only where a unit could fit without it and not with the longest there is.
+    """
+    limit = budget * CHARS_PER_TOKEN
+    longest = len(f"left out to fit {budget} tokens: ") + NAMED * (23 + max(map(len, sections), default=0)) + 27
+    stop = "array<struct<section:int,rank:bigint>>"
+    start = F.struct(F.lit(head).cast("long").alias("used"), F.array().cast(stop).alias("stops"), F.lit(None).cast("long").alias("halt"), F.col("_left").alias("left"))
+
+    def take(acc: Column, u: Column) -> Column:
+        skip = acc["halt"].isNotNull() | F.exists(acc["stops"], lambda s: s["section"] == u["section"])
+        used = acc["used"] + u["size"]
+        less = F.transform(acc["left"], lambda n, i: F.when(i == u["section"], n - u["count"]).otherwise(n))
+
+        def judged(left: Column) -> Column:
+            foot = _let(F.length(footer(left, sections, budget)), lambda n: F.when(n > 0, n + 1).otherwise(0))
+            fits = F.when(used > limit, False).when(used + longest <= limit, True).otherwise(used + foot <= limit)
+            refused = F.struct(
+                acc["used"].alias("used"), F.array_append(acc["stops"], F.struct(u["section"].alias("section"), u["rank"].alias("rank"))).cast(stop).alias("stops"),
+                F.when(u["essential"], u["rank"]).alias("halt"), acc["left"].alias("left"),
+            )
+            return F.when(fits, F.struct(used.alias("used"), acc["stops"].alias("stops"), acc["halt"].alias("halt"), left.alias("left"))).otherwise(refused)
+
+        return F.when(skip, acc).otherwise(_let(less, judged))
+
+    return F.aggregate("_units", start, take)
+
+
+def _taken(fit: Column, u: Column) -> Column:
+    """Whether the unit was taken: it stands before what ended all, and before what ended its section."""
+    after = F.exists(fit["stops"], lambda s: ((s["section"] == u["section"]) & (u["rank"] >= s["rank"])) | (s["rank"] == u["rank"]))
+    return (fit["halt"].isNull() | (u["rank"] < fit["halt"])) & ~F.coalesce(after, F.lit(False))
+
+
+def _foot(fit: Column, budget: int, sections: list[str]) -> Column:
+    """The footer, or how many items are left out where it does not fit itself."""
+    whole = footer(fit["left"], sections, budget)
+    items = F.aggregate(fit["left"], F.lit(0).cast("long"), lambda a, n: a + n)
+    short = F.concat(F.lit(f"left out to fit {budget} tokens: "), items.cast("string"), F.lit(" items"))
+    return _let(whole, lambda w: F.when((w != "") & (fit["used"] + F.length(w) + 1 > budget * CHARS_PER_TOKEN), short).otherwise(w))
+
+
+def _listed_units(units: DataFrame, limit: int, sections: list[str], *more: str) -> DataFrame:
+    """(subject, _units, _left): a subject's units in order of rank, and how many items each section has; no more units of a section than ``limit`` characters fit (0: all)."""
+    number = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section")) - 1
+    rows = units.select("subject", F.col("rank").cast("long"), number.cast("int").alias("section"), F.col("size").cast("long"), "essential", F.col("count").cast("long"), *more)
+    unit = F.struct("rank", "section", "size", "essential", "count", *more)
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("section") == k, F.col("count"))), F.lit(0)).alias(f"_t{k}")
+    if limit:
+        front = Window.partitionBy("subject", "section").orderBy("rank")
+        rows, unit = rows.withColumn("_n", F.row_number().over(front)), F.when(F.col("_n") <= limit + 1, unit)
+    found = rows.groupBy("subject").agg(F.array_sort(F.collect_list(unit)).alias("_units"), *[count(k) for k in range(len(sections))])
+    return found.select("subject", "_units", F.array(*[F.col(f"_t{k}") for k in range(len(sections))]).alias("_left"))
+
+
 def select_units(units: DataFrame, budget: int, sections: list[str], head: int = 0) -> DataFrame:
     """(subject, ranks, used, left, foot): the units of each subject that fit ``budget`` tokens (0: all), taken by rank.
 
@@ -31,47 +92,36 @@ def select_units(units: DataFrame, budget: int, sections: list[str], head: int =
     that would then stand, ends its section; an essential one ends everything.  This is a fold, which no window expresses: it runs as one
     ``aggregate`` over a subject's units.  A section is taken from its front, so no more units of it are gathered than characters fit.
     """
-    limit = budget * CHARS_PER_TOKEN
-    number = F.array_position(F.array(*[F.lit(s) for s in sections]), F.col("section")) - 1
-    rows = units.select("subject", "rank", number.cast("int").alias("section"), F.col("size").cast("long"), "essential", F.col("count").cast("long"))
-    totals = rows.groupBy("subject").agg(*[F.coalesce(F.sum(F.when(F.col("section") == k, F.col("count"))), F.lit(0)).alias(f"_t{k}") for k in range(len(sections))])
-    if limit:
-        front = Window.partitionBy("subject", "section").orderBy("rank")
-        rows = rows.withColumn("_n", F.row_number().over(front)).where(F.col("_n") <= limit + 1).drop("_n")
-    lists = rows.groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("rank", "section", "size", "essential", "count"))).alias("_units"))
-    start = F.struct(
-        F.lit(head).cast("long").alias("used"), F.array().cast("array<int>").alias("stopped"), F.lit(False).alias("halted"), F.array().cast("array<bigint>").alias("ranks"),
-        F.array(*[F.col(f"_t{k}") for k in range(len(sections))]).alias("left"),
-    )
-    foot_size = lambda left: F.when(F.length(footer(left, sections, budget)) > 0, F.length(footer(left, sections, budget)) + 1).otherwise(0)
+    lists = _listed_units(units, budget * CHARS_PER_TOKEN, sections)
+    if not budget:
+        used = F.aggregate("_units", F.lit(head).cast("long"), lambda a, u: a + u["size"])
+        none = F.transform("_left", lambda _: F.lit(0).cast("long"))
+        return lists.select("subject", F.transform("_units", lambda u: u["rank"]).alias("ranks"), used.alias("used"), none.alias("left"), F.lit("").alias("foot"))
+    done = lists.withColumn("r", _fitted(budget, sections, head))
+    ranks = F.transform(F.filter("_units", lambda u: _taken(F.col("r"), u)), lambda u: u["rank"])
+    return done.select("subject", ranks.alias("ranks"), "r.used", "r.left", _foot(F.col("r"), budget, sections).alias("foot"))
 
-    def take(acc: Column, u: Column) -> Column:
-        left = F.transform(acc["left"], lambda n, i: F.when(i == u["section"], n - u["count"]).otherwise(n))
-        skip = acc["halted"] | F.array_contains(acc["stopped"], u["section"])
-        fits = F.lit(True) if not limit else acc["used"] + u["size"] + foot_size(left) <= limit
-        pick = lambda name, taken, refused: F.when(skip, acc[name]).when(fits, taken).otherwise(refused).alias(name)
-        return F.struct(
-            pick("used", acc["used"] + u["size"], acc["used"]), pick("stopped", acc["stopped"], F.array_append(acc["stopped"], u["section"])), pick("halted", acc["halted"], u["essential"]),
-            pick("ranks", F.array_append(acc["ranks"], u["rank"].cast("long")), acc["ranks"]), pick("left", left, acc["left"]),
-        )
-
-    done = lists.join(totals, "subject").select("subject", F.aggregate("_units", start, take).alias("r")).select("subject", "r.ranks", "r.used", "r.left")
-    if not limit:
-        return done.withColumn("foot", F.lit(""))
-    whole = footer(F.col("left"), sections, budget)
-    items = F.aggregate("left", F.lit(0).cast("long"), lambda a, n: a + n)
-    short = F.concat(F.lit(f"left out to fit {budget} tokens: "), items.cast("string"), F.lit(" items"))
-    return done.withColumn("foot", F.when((whole != "") & (F.col("used") + F.length(whole) + 1 > limit), short).otherwise(whole))
 
+def fitted_texts(units: DataFrame, budgets: int | list[int], sections: list[str]) -> DataFrame:
+    """(subject, budget, taken, text, tokens): the lines of the units that fit, in order of rank, and the footer.  units: see ``select_units``, with text.
 
-def fitted_texts(units: DataFrame, budget: int, sections: list[str]) -> DataFrame:
-    """(subject, budget, taken, text, tokens): the lines of the units that fit, in order of rank, and the footer.  units: see ``select_units``, with text."""
-    chosen = select_units(units, budget, sections)
-    lines = chosen.select("subject", F.explode("ranks").alias("rank")).join(units.select("subject", "rank", "text"), ["subject", "rank"])
-    texts = lines.groupBy("subject").agg(F.count("*").alias("taken"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n").alias("_body"))
-    text = F.concat_ws("\n", F.col("_body"), F.when(F.col("foot") != "", F.col("foot")))
-    out = chosen.join(texts, "subject", "left").select("subject", F.lit(budget).alias("budget"), F.coalesce("taken", F.lit(0)).alias("taken"), text.alias("text"))
-    return out.withColumn("tokens", S.estimated_tokens(F.col("text")).cast("long"))
+    A subject's units are gathered once, with their texts, for all budgets.
+    """
+    each = [budgets] if isinstance(budgets, int) else list(budgets)
+    out = _listed_units(units, 0 if 0 in each else max(each) * CHARS_PER_TOKEN, sections, "text")
+    for budget in filter(None, each):
+        out = out.withColumn(f"_r{budget}", _fitted(budget, sections, 0))
+
+    def brief(budget: int) -> Column:
+        fit = F.col(f"_r{budget}")
+        kept = F.transform(F.filter("_units", lambda u: _taken(fit, u)) if budget else F.col("_units"), lambda u: u["text"])
+        foot = _foot(fit, budget, sections) if budget else F.lit("")
+        # No line but the footer: then nothing goes before it.
+        text = lambda k: F.concat_ws("\n", F.when(F.size(k) > 0, F.array_join(k, "\n")), _let(foot, lambda f: F.when(f != "", f)))
+        return _let(kept, lambda k: F.struct(F.lit(budget).alias("budget"), F.size(k).cast("long").alias("taken"), text(k).alias("text")))
+
+    rows = out.select("subject", F.explode(F.array(*[brief(b) for b in each])).alias("_b")).select("subject", "_b.*")
+    return rows.withColumn("tokens", S.estimated_tokens(F.col("text")).cast("long"))
 
 
 def _numbered(rows: DataFrame, tier: int, order: list[Column | str]) -> DataFrame:

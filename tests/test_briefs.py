@@ -46,3 +46,20 @@ def test_units_are_taken_as_a_plain_fold_takes_them(spark):
 def test_no_units_no_rows(spark):
     frame = spark.createDataFrame([], "subject string, rank long, section string, size long, essential boolean, count long, text string")
     assert briefs.fitted_texts(frame, 10, SECTIONS).count() == 0
+
+
+def test_all_budgets_come_from_one_gathering(spark):
+    rng = random.Random(5)
+    rows = {f"s{k}": [(r, rng.choice(SECTIONS), rng.choice([5, 20, 40, 90]), rng.random() < 0.3, rng.choice([1, 12])) for r in range(rng.randint(1, 30))] for k in range(30)}
+    text = lambda u: f"{u[0]}".rjust(u[2] - 1, ".")
+    frame = spark.createDataFrame([(s, *u, text(u)) for s, units in rows.items() for u in units], "subject string, rank long, section string, size long, essential boolean, count long, text string")
+    fitted = briefs.fitted_texts(frame, [0, 15, 60], SECTIONS)
+    want = {}
+    for subject, units in rows.items():
+        for budget in (0, 15, 60):
+            ranks, _, line = taken_plainly(units, budget)
+            want[subject, budget] = (len(ranks), "\n".join([text(u) for u in sorted(units) if u[0] in ranks] + [line] * bool(line)))
+    assert {(r.subject, r.budget): (r.taken, r.text) for r in fitted.collect()} == want
+    # One aggregate gathers a subject's units, whatever the budgets, and no unit meets its text again.
+    plan = fitted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Join" not in plan
