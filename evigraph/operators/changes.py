@@ -3,9 +3,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import scalars as S
+from evigraph.operators.components import written
 
 #: A symmetric relation's ends are stored sorted.
 SYMMETRIC = ("same_as",)
+#: Rows of merges, or of numbers of ids that meet, that are sent to every task.
+MOST_SENT = 2_000_000
 
 
 def merge_targets(merges: DataFrame) -> DataFrame:
@@ -25,25 +28,37 @@ def apply_merges(nodes: DataFrame, edges: DataFrame, merges: DataFrame) -> tuple
     """
     to = merge_targets(merges)
     # A merge into an archived record is refused whole.
-    to = to.join(nodes.where("status <> 'archived'").select(F.col("id").alias("keep")), "keep", "left_semi").select("drop", "keep")
+    to = written(to.join(nodes.where("status <> 'archived'").select(F.col("id").alias("keep")), "keep", "left_semi").select("drop", "keep"))
     names = to.join(nodes.select(F.col("id").alias("drop"), "name", "aliases"), "drop").groupBy(F.col("keep").alias("id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_append("aliases", F.col("name")))))).alias("_more"))
     new_nodes = (
         nodes.join(names, "id", "left").join(to.select(F.col("drop").alias("id"), F.col("keep").alias("superseded_by")), "id", "left")
         .withColumn("aliases", F.when(F.col("_more").isNotNull(), F.array_except(F.array_union("aliases", "_more"), F.array("name"))).otherwise(F.col("aliases")))
         .withColumn("status", F.when(F.col("superseded_by").isNotNull(), "archived").otherwise(F.col("status"))).drop("_more")
     )
-    a, b = to.select(F.col("drop").alias("src"), F.col("keep").alias("_s")), to.select(F.col("drop").alias("dst"), F.col("keep").alias("_d"))
+    a, b = (_sent(to.select(F.col("drop").alias(end), F.col("keep").alias(c))) for end, c in (("src", "_s"), ("dst", "_d")))
     e = edges.join(a, "src", "left").join(b, "dst", "left").select(*edges.columns, "_s", "_d")
     touched = F.col("_s").isNotNull() | F.col("_d").isNotNull()
-    ends = e.where(touched & (F.col("status") != "archived")).withColumns({"_a": F.coalesce("_s", "src"), "_z": F.coalesce("_d", "dst")})
-    turned = F.col("rel").isin(*SYMMETRIC) & (F.col("_a") > F.col("_z"))
-    ends = ends.withColumns({"src": F.when(turned, F.col("_z")).otherwise(F.col("_a")), "dst": F.when(turned, F.col("_a")).otherwise(F.col("_z"))})
-    moved = ends.where("src <> dst").withColumn("id", S.edge_id("src", "rel", "dst", "key")).select(*edges.columns)
-    old = e.withColumn("status", F.when(touched, "archived").otherwise(F.col("status"))).select(*edges.columns)
+    a, z = F.coalesce("_s", "src"), F.coalesce("_d", "dst")
+    turned = F.col("rel").isin(*SYMMETRIC) & (a > z)
+    src, dst = F.when(turned, z).otherwise(a), F.when(turned, a).otherwise(z)
+    # One reading of the edges gives the old and the moved ones.
+    like = lambda **new: F.struct(*[new.get(c, F.col(c)).alias(c) for c in edges.columns])
+    old = like(status=F.when(touched, "archived").otherwise(F.col("status")))
+    moved = F.when(touched & (F.col("status") != "archived") & (a != z), like(id=S.edge_id(src, "rel", dst, "key"), src=src, dst=dst))
+    every = e.select(F.explode(F.array_compact(F.array(old, moved))).alias("e")).select("e.*")
     keep = [c for c in edges.columns if c != "id"]
     rank = F.struct(F.when(F.col("status") == "confirmed", 0).when(F.col("status") == "proposed", 1).otherwise(2).alias("s"), (-F.col("conf")).alias("c"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in keep])
-    new_edges = old.unionByName(moved).groupBy("id").agg(F.min_by(F.struct(*keep), rank).alias("e")).select("id", *[F.col(f"e.{c}").alias(c) for c in keep])
-    return new_nodes, new_edges.select(*edges.columns)
+    # Only edges whose id others have too are dealt by it; numbers of the ids tell which.
+    number = F.xxhash64("id").alias("_h")
+    shared = _sent(written(every.select(number).groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")))
+    told = every.withColumn("_h", number)
+    one = told.join(shared, "_h", "left_semi").groupBy("id").agg(F.min_by(F.struct(*keep), rank).alias("e")).select("id", *[F.col(f"e.{c}").alias(c) for c in keep])
+    return new_nodes, told.join(shared, "_h", "left_anti").select(edges.columns).unionByName(one.select(edges.columns))
+
+
+def _sent(small: DataFrame) -> DataFrame:
+    """A written table that is sent to every task up to ``MOST_SENT`` rows, else joined."""
+    return F.broadcast(small) if small.limit(MOST_SENT + 1).count() <= MOST_SENT else small
 
 
 def apply_archive(nodes: DataFrame, edges: DataFrame, archived: DataFrame) -> tuple[DataFrame, DataFrame]:
